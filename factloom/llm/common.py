@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +47,13 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
     """The texts of a batch one by one, null as empty."""
     for value in batch.column(column):
         yield value.as_py() or ""
+
+
+def ship(sc: SparkContext, model: object) -> Broadcast[bytes]:
+    """Broadcast a model of bounded size, its code included."""
+    return sc.broadcast(cloudpickle.dumps(model))
+
+
+def shipped(model: Broadcast[bytes]) -> object:
+    """What ship() was given, on an executor."""
+    return pickle.loads(model.value)
