@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from factloom.llm.common import table
 from factloom.llm.decontamination import contamination
 from factloom.llm.exact_dedup import exact_groups
+from factloom.llm.language_id import languages
+from factloom.llm.lattice_lm import lattice_scores
 from factloom.llm.mixing import mixed_documents
 from factloom.llm.secret_scan import secret_spans
 from factloom.llm.simhash import near_components
 from factloom.llm.substring import remove_repeats
 from factloom.llm.token_count import token_counts
+from factloom.llm.toxicity import toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -49,6 +52,18 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -56,7 +71,18 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_exact_dedup, op2_simhash, op3_token_counts, op4_secrets, op6_mixing, op8_substring_dedup, op10_decontamination)
+        for f in (
+            op1_exact_dedup,
+            op2_simhash,
+            op3_token_counts,
+            op4_secrets,
+            op5_language_id,
+            op6_mixing,
+            op7_toxicity,
+            op8_substring_dedup,
+            op9_lattice_lm,
+            op10_decontamination,
+        )
     }
 
 
