@@ -1,11 +1,12 @@
 """Token counts without token ids: pieces are counted once for each distinct pre-token.
 
-A tokenizer's text pipeline is: special strings, normaliser, splitter, model. Only the model is costly,
-and it sees one pre-token at a time, so the number of pieces is a function of the pre-token. Each task
-keeps that function as a table (pre-token, pieces), filled once per distinct pre-token, and joins it to
-the pre-token frequencies of each document; the products are summed. The join stays in the task: by the
-law of word frequencies its table is a small part of the task's text, whereas a shuffle would move a row
-for each document and word. The table is emptied when it reaches `table_rows`, so memory is bounded.
+No piece of these tokenizers crosses white space: their splitter keeps no match with white space in it, and
+their normaliser changes no character by one beyond it. So a text's pre-tokens are what ASCII white space
+separates, and the number of pieces is a function of the pre-token. Each task keeps that function as a
+table (pre-token, pieces), filled once per distinct pre-token, and joins it to the pre-token frequencies
+of each document; the products are summed. The join stays in the task: by the law of word frequencies its
+table is a small part of the task's text, whereas a shuffle would move a row for each document and word.
+The table is emptied when it reaches `table_rows`, so memory is bounded.
 """
 
 from __future__ import annotations
@@ -25,43 +26,41 @@ from factloom.llm.common import texts
 class PieceTable:
     """Pre-token -> number of pieces for one tokenizer file (JSON), as its library counts them."""
 
-    def __init__(self, path: str, table_rows: int = 1 << 18) -> None:
+    def __init__(self, path: str, table_rows: int = 1 << 19) -> None:
         import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.normal = Tokenizer.from_file(path).normalizer
-        specials = [t["content"] for t in spec["added_tokens"]]
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("only special strings that are matched in the raw text as they are")
-        self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         steps = spec["pre_tokenizer"]["pretokenizers"]
         if [s["type"] for s in steps] != ["Split", "ByteLevel"] or steps[0]["behavior"] != "Removed" or not steps[0]["invert"] or steps[1]["use_regex"]:
-            raise ValueError("the splitter must keep the matches of one pattern and then map bytes")
-        self.split = regex.compile(steps[0]["pattern"]["Regex"]).findall
-        # the same model behind the byte mapping alone: a pre-token goes in whole
-        self.model = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "normalizer": None, "pre_tokenizer": steps[1]}))
-        self.pieces: dict[str, int] = {}
+            raise ValueError("the splitter must keep the matches of one pattern, none of them with white space")
+        specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, specials))) if specials else None
+        self.first = {t[:2] for t in specials}
+        # special strings are taken out first; what is left has none
+        self.model = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
+        self.pieces: dict[bytes, int] = {}
         self.table_rows = table_rows
 
     def frequencies(self, text: str) -> tuple[Counter, int]:
         """Pre-token frequencies of a text, and how many special strings it holds."""
-        special = len(self.special.findall(text)) if self.special and "<|" in text else 0
-        parts = self.special.split(text) if special else [text]
+        special = len(self.special.findall(text)) if self.special and any(f in text for f in self.first) else 0
         out: Counter = Counter()
-        for part in parts:
-            out.update(self.split(self.normal.normalize_str(part)))
+        for part in self.special.split(text) if special else [text]:
+            out.update(part.encode().split())
         return out, special
 
-    def fill(self, wanted: set[str]) -> None:
+    def fill(self, wanted: set[bytes]) -> None:
         """Count the pieces of the pre-tokens that the table lacks."""
         if len(self.pieces) + len(wanted) > self.table_rows:
             self.pieces = {}
         new = [t for t in wanted if t not in self.pieces]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            encoded = self.model.encode_batch_fast(part, add_special_tokens=False)
+            encoded = self.model.encode_batch_fast([t.decode() for t in part], add_special_tokens=False)
             self.pieces.update(zip(part, (len(e) for e in encoded), strict=True))
 
     def count(self, texts_: list[str]) -> list[int]:
