@@ -31,13 +31,15 @@ from factloom.llm.common import cut, texts
 
 #: A perfect difference set; every residue modulo 31 but 0 is one difference of two of them.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: A null id counts as the largest.
+#: A null id counts as the largest, and stands as this number, which is no id.
 LAST = (1 << 63) - 1
 #: Odd multipliers of the two rolling hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Rows that a task combines before they are shuffled, and words whose hashes it remembers.
 BLOCK, MEMORY = 1 << 20, 1 << 20
-ROW = "h long, c long, doc long, key int, pos int, known boolean"
+#: at holds the key in its upper half, and below it the position and, in bit 31, whether the row is known to repeat.
+ROW = "h long, c long, doc long, at long"
+KNOWN = 1 << 31
 
 
 class WordHashes(dict):
@@ -85,8 +87,9 @@ def combine(h: np.ndarray, c: np.ndarray, doc: np.ndarray, key: np.ndarray, pos:
     new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
     least = doc[new][np.cumsum(new) - 1] if len(h) else doc
     known = doc > least
-    spread = (doc * 0x1F123BB5 + pos.astype(np.int64) * 0x9E3779B1).astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, h)), pa.array(c), pa.array(doc), pa.array(key), pa.array(pos), pa.array(known)], ["h", "c", "doc", "key", "pos", "known"])
+    spread = doc * 0x1F123BB5 + pos * np.int64(0x9E3779B1)
+    at = (key.astype(np.int64) << 32) | pos | np.where(known, KNOWN, 0)
+    return pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, h)), pa.array(c), pa.array(doc), pa.array(at)], ["h", "c", "doc", "at"])
 
 
 def blocks(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +139,6 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     class, and, as fine, the smallest document's rows wherever an h has several classes. Held between
     batches: the first class's rows of its smallest document while no second class is seen, or else two
     rows without a position that stand for what was seen."""
-    names = ("h", "c", "doc", "key", "pos")
     held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int32, np.int32)]
 
     def out(doc: np.ndarray, key: np.ndarray, pos: np.ndarray, fine: np.ndarray) -> pa.RecordBatch:
@@ -145,8 +147,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        arrays = [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
-        known = batch.column("known").to_numpy(zero_copy_only=False)
+        h, c, doc, at = (batch.column(n).to_numpy() for n in ("h", "c", "doc", "at"))
+        known = (at & KNOWN) > 0
+        arrays = [h, c, doc, (at >> 32).astype(np.int32), (at & (KNOWN - 1)).astype(np.int32)]
         if known.any():
             yield out(*(x[known] for x in arrays[2:]), np.zeros(known.sum(), bool))
         h, c, doc, key, pos = (np.concatenate([a, b[~known]]) for a, b in zip(held, arrays, strict=True))
@@ -239,7 +242,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"a window must have more than {PERIOD} words")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.xxhash64(text).cast("string").cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), (F.crc32(key) - F.lit(1 << 31)).cast("int").alias("key"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), (F.crc32(key) - F.lit(1 << 31)).cast("int").alias("key"), text.alias("text"))
     found = "doc long, key int, pos int, fine boolean"
     anchors = rows.select("doc", "key", "text").mapInArrow(partial(_anchors, window=window), ROW)
     met = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_meet, found)
@@ -251,5 +254,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = fine.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_meet, found)
     repeats = same.filter(~F.col("fine")).groupBy("doc", "key").agg(F.collect_set("pos").alias("repeats"))
     whole = rows.join(marks.select("doc", "key", "covered"), ["doc", "key"], "left").join(repeats, ["doc", "key"], "left")
+    whole = whole.select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "covered", "repeats")
     out = whole.select("id", "text", "covered", "repeats").mapInArrow(partial(_cut_words, window=window, with_text=with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))
