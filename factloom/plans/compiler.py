@@ -77,7 +77,7 @@ def root_facts(df: DataFrame, seq: str, key: str | None = None, value: Column |
 class Compiled:
     """The frames and outputs of a workflow over given root facts; everything in it is lazy."""
 
-    def __init__(self, workflow: Workflow, roots: DataFrame, context: dict[str, Any] | None = None, policies: tuple[PolicyRule, ...] = (), mode: str = "merge", max_depth: int | None = None) -> None:
+    def __init__(self, workflow: Workflow, roots: DataFrame, context: dict[str, Any] | None = None, policies: tuple[PolicyRule, ...] = (), mode: str = "merge", max_depth: int | None = None, only: set[str] | None = None) -> None:
         self.workflow = workflow.put_context(context) if context else workflow
         if missing := self.workflow.validate_context():
             raise UnresolvedReferenceError(f"no value for context {', '.join(missing)}")
@@ -90,7 +90,7 @@ class Compiled:
         self.root = Frame(roots)
         self.outs: dict[str, Out] = {"": Out(self.root, "value", None, None, 0)}
         for node in self.workflow.order():
-            if max_depth is None or self.workflow.depth(node.name) <= max_depth:
+            if (max_depth is None or self.workflow.depth(node.name) <= max_depth) and (only is None or node.name in only):
                 self.outs[node.name] = self._compile(node)
 
     # ---- nodes -----------------------------------------------------------------------------------
@@ -125,12 +125,13 @@ class Compiled:
         of a finer one, any element that holds counts."""
         if out.frame is frame:
             return column
+        if (name := f"b:{tag}".replace(".", "/")) in frame.df.columns:
+            return F.coalesce(F.col(f"`{name}`"), F.lit(False))
         shared = [c for c in frame.positions if c in out.frame.positions]
         on = [*KEYS, *shared] if len(shared) == len(out.frame.positions) else [*KEYS]
-        name = f"b:{tag}".replace(".", "/")
         other = out.frame.df.groupBy(*on).agg(F.max(column).alias(name)) if len(on) < len(out.frame.keys) else out.frame.df.select(*on, column.alias(name))
         frame.df = frame.df.join(other, on, "left")
-        return F.coalesce(F.col(name), F.lit(False))
+        return F.coalesce(F.col(f"`{name}`"), F.lit(False))
 
     def _arguments(self, node: Node, parent: Out) -> list[Column]:
         n, value = arity(node.fn), F.col(f"`{parent.value}`")
@@ -345,9 +346,10 @@ class Compiled:
     def _as_of(self, node: Node, frame: Frame, target: Out, ref: Ref, last: int) -> tuple[Column, Column, Any, Column]:
         """The target's last value and count for each root fact, joined to this frame."""
         tag = f"{node.name}|{target.node.name}".replace(".", "/")
-        order = F.struct(*(F.col(f"`{p}`") for p in target.frame.positions)) if target.frame.positions else F.lit(0)
-        per = target.frame.df.filter(target.fired()).groupBy(*KEYS).agg(F.max_by(F.col(f"`{target.value}`"), order).alias(f"m:{tag}"), F.count(F.lit(1)).alias(f"c:{tag}"))
-        frame.df = frame.df.join(per, [*KEYS], "left")
+        if f"m:{tag}" not in frame.df.columns:
+            order = F.struct(*(F.col(f"`{p}`") for p in target.frame.positions)) if target.frame.positions else F.lit(0)
+            per = target.frame.df.filter(target.fired()).groupBy(*KEYS).agg(F.max_by(F.col(f"`{target.value}`"), order).alias(f"m:{tag}"), F.count(F.lit(1)).alias(f"c:{tag}"))
+            frame.df = frame.df.join(per, [*KEYS], "left")
         first = F.lit(True)
         for p in frame.positions:
             first = first & (F.col(f"`{p}`") == 0)

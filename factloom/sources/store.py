@@ -87,8 +87,7 @@ class ParquetStore(Store):
         rows.withColumn("workflow_id", F.lit(workflow_id)).write.mode("append").partitionBy("workflow_id").parquet(f"{self.path}/{kind}")
 
     def stream(self, workflow_id: str, kind: str) -> DataFrame | None:
-        df = self._read(kind)
-        return None if df is None else df.filter(F.col("workflow_id") == workflow_id).drop("workflow_id")
+        return self._read(f"{kind}/workflow_id={workflow_id}")
 
     def save(self, workflow_id: str, spec: Any) -> None:
         self._note(workflow_id, json.dumps(spec, default=str))

@@ -40,7 +40,7 @@ def stream_rowwise(workflow: Workflow, roots: DataFrame, name: str, **options: A
             open_ += [*workflow.nodes[n].parents, *workflow.nodes[n].gates]
             if workflow.nodes[n].kind in STATEFUL or any(r.kind != "context" for r in workflow.nodes[n].refs.values()):
                 raise ValueError(f"{n} keeps or reads state; use stream_fold()")
-    return Compiled(workflow, roots, **options).value_of(name)
+    return Compiled(workflow, roots, only=found, **options).value_of(name)
 
 
 def stream_fold(fold: Any, events: DataFrame, timeout_ms: int = 0, on_timeout: Callable[[Any], list[tuple[str, Any]]] | None = None) -> DataFrame:
