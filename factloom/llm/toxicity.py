@@ -4,7 +4,7 @@ Two bigram models, one of toxic and one of ordinary labelled texts, give each wo
 ratio. Both use absolute discounting and back off the same way: bigram to the class's own words, and those to one
 shared continuation distribution (after how many different words does a word come, in either class). A
 rare expression so gets nearly the same probability from both. A text's ratio is normalised by its length
-in three ways (per word, per root of the length, and its strongest words), and a logistic regression fitted on
+in several ways (per word, per root of the length, its strongest words, and what is strong evidence), and a logistic regression fitted on
 labelled texts that the models have not seen turns these into a probability.
 
 The classifier learns from a bounded sample: about `per_class` rows of each label. Scoring reads every text whole.
@@ -29,14 +29,22 @@ from factloom.llm.decontamination import words_of
 DISCOUNT = 0.75
 #: How many of a text's strongest words count as its peak.
 PEAK = 5
+#: What a word's log-likelihood ratio exceeds this by is strong evidence.
+STRONG = 2.0
+#: Words and pairs in fewer training texts are no strong evidence.
+SUPPORT = 5
+#: Hash functions under which near copies are told from the least of their shingles.
+MINIMA = 4
+FEATURES = 6
 
 
 class Model:
     """Log-likelihood ratios of words and word pairs, and the regression's weights."""
 
-    def __init__(self, words: list[bytes], ratio: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray, unseen: float) -> None:
+    def __init__(self, words: list[bytes], ratio: np.ndarray, texts_: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray, unseen: float) -> None:
         self.number = {w: i + 1 for i, w in enumerate(words)}
         self.ratio = np.r_[unseen, ratio]
+        self.firm = np.r_[0.0, np.where(texts_ >= SUPPORT, ratio, 0.0)]
         order = np.argsort(pairs)
         self.pairs, self.pair_ratio = np.r_[pairs[order], np.int64(-1)], np.r_[pair_ratio[order], 0.0]
         self.weights: np.ndarray | None = None
@@ -45,18 +53,19 @@ class Model:
         words = words_of(text)
         n = len(words)
         if not n:
-            return [0.0, 0.0, 0.0, 0.0]
+            return [0.0] * FEATURES
         get = self.number.get
         ids = np.fromiter((get(w, 0) for w in words), np.int64, n)
-        ratio = self.ratio[ids]
+        ratio, firm = self.ratio[ids], self.firm[ids]
         if n > 1 and len(self.pairs) > 1:
             pair = ids[:-1] * len(self.ratio) + ids[1:]
             at = np.searchsorted(self.pairs[:-1], pair)
             known = (self.pairs[at] == pair) & (ids[:-1] > 0)
             ratio[1:][known] = self.pair_ratio[at[known]]
         total = float(ratio.sum())
-        top = np.partition(ratio, n - PEAK)[-PEAK:] if n > PEAK else ratio
-        return [total / n, total / math.sqrt(n), float(top.sum()) / PEAK, math.log1p(n)]
+        top = np.partition(firm, n - PEAK)[-PEAK:] if n > PEAK else firm
+        strong = float(np.maximum(firm - STRONG, 0).sum())
+        return [total / n, total / math.sqrt(n), float(top.sum()) / PEAK, math.log1p(n), math.log1p(strong), strong / math.sqrt(n)]
 
     def score(self, text: str) -> float:
         z = float(self.weights @ np.r_[1.0, self.features(text)])
@@ -77,19 +86,34 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
             words = words_of(text)
-            held[label].update(words)
-            held[label].update(zip(words, words[1:], strict=False))
+            held[label].update(set(words))  # once for each text, so that lines repeated in it do not weigh
+            held[label].update(set(zip(words, words[1:], strict=False)))
         if len(held[0]) + len(held[1]) > 400_000:
             yield out()
             held = (Counter(), Counter())
     yield out()
 
 
+def _minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The least hash of a text's shingles of five words under several functions."""
+    import xxhash
+
+    for batch in batches:
+        out = np.zeros((batch.num_rows, MINIMA), np.uint64)
+        for i, text in enumerate(texts(batch)):
+            words = words_of(text)
+            grams = map(b" ".join, zip(*(words[j:] for j in range(5)), strict=False)) if len(words) > 5 else [b" ".join(words)]
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64)
+            for k in range(MINIMA):
+                out[i, k] = (hashes * np.uint64(2 * k + 0x9E3779B97F4A7C15) ^ np.uint64(0xD6E8FEB86659FD93)).min()
+        yield pa.RecordBatch.from_arrays([batch.column("__id"), *(pa.array(out[:, k].view(np.int64)) for k in range(MINIMA))], ["__id", *(f"k{k}" for k in range(MINIMA))])
+
+
 def _features(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
     found = shipped(model)
     for batch in batches:
-        rows = np.array([found.features(t) for t in texts(batch)], float).reshape(-1, 4)
-        yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(4)), batch.column("label")], ["f0", "f1", "f2", "f3", "label"])
+        rows = np.array([found.features(t) for t in texts(batch)], float).reshape(-1, FEATURES)
+        yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(FEATURES)), batch.column("label")], [*(f"f{i}" for i in range(FEATURES)), "label"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
@@ -125,8 +149,8 @@ def _smoothed(own: Column, total: float, types: float, shared: Column) -> Column
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000, max_words: int = 150_000, max_pairs: int = 150_000) -> Model:
     """Fit on labelled rows outside the held-out fold: about per_class of each label, those whose hash
-    of the id falls below that share; a fifth of them fits the regression, the rest the two models. The
-    models keep the max_words most frequent words and max_pairs most frequent pairs. Of several labels
+    of the id falls below that share; a fifth of them fits the regression, the rest the two models. Of
+    near copies in the sample one is learned from, or their words would pass for toxic ones. The models keep the max_words most frequent words and max_pairs most frequent pairs. Of several labels
     for one id the largest counts; rows with a null id or label are left out."""
     sc = docs.sparkSession.sparkContext
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != held_out_fold))
@@ -136,8 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     part = F.when(F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(5)) == 0, 1).otherwise(0)
     limit = F.when(F.col("label") == 1, per_class / max(1, sizes.get(1, 0))).otherwise(per_class / max(1, sizes.get(0, 0)))
     sample = own.filter(at < limit).select("__id", "label", part.alias("part"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id")  # 2 * per_class rows or so
-    rows = cut(rows.select("text", "label", "part"))
+    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select(F.col("__id").cast("long"), "text", "label", "part")  # 2 * per_class rows or so
+    rows = cut(rows)
+    keys = rows.select("__id", "text").mapInArrow(_minima, "__id long, " + ", ".join(f"k{i} long" for i in range(MINIMA))).toPandas().sort_values("__id")
+    for i in range(MINIMA):  # of texts that share a least shingle, the one with the smallest id stays
+        keys = keys.drop_duplicates(f"k{i}")
+    stay = docs.sparkSession.createDataFrame(keys[["__id"]], "__id long")
+    rows = rows.join(F.broadcast(stay), "__id").select("text", "label", "part")
 
     counts = rows.filter("part = 0").select("text", "label").mapInArrow(_count, "first string, word string, toxic long, ordinary long")
     counts = cut(counts.groupBy("first", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
@@ -149,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = alone.select("word", "toxic", "ordinary").join(after, "word", "left").withColumn("shared", (F.coalesce("after", F.lit(0)) + 0.5) / max(1.0, n_pairs))
     words = words.withColumn("p_t", _smoothed(F.col("toxic"), tokens_t, types_t, F.col("shared"))).withColumn("p_o", _smoothed(F.col("ordinary"), tokens_o, types_o, F.col("shared")))
     words = cut(words.select("word", "toxic", "ordinary", "p_t", "p_o"))
-    top = words.orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(max_words).select("word", F.log(F.col("p_t") / F.col("p_o")).alias("ratio")).toPandas()
+    top = words.orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(max_words).select("word", F.log(F.col("p_t") / F.col("p_o")).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("texts")).toPandas()
 
     follow = pairs.groupBy("first").agg(*(f(c) for c in ("toxic", "ordinary") for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
     often = pairs.filter("toxic + ordinary >= 3").orderBy((F.col("toxic") + F.col("ordinary")).desc(), "first", "word").limit(max_pairs)
@@ -167,16 +196,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     keys = [(a * (len(names) + 1) + b, r) for a, b, r in keys if a and b]
     # a word that was never seen has its shared share from both sides
     unseen = math.log((max(types_t, 1) / max(tokens_t, 1)) / (max(types_o, 1) / max(tokens_o, 1)))
-    model = Model(names, top["ratio"].to_numpy(float), np.array([k for k, _ in keys], np.int64), np.array([r for _, r in keys], float), unseen)
+    model = Model(names, top["ratio"].to_numpy(float), top["texts"].to_numpy(), np.array([k for k, _ in keys], np.int64), np.array([r for _, r in keys], float), unseen)
 
-    seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=ship(sc, model)), "f0 double, f1 double, f2 double, f3 double, label int").toPandas()
+    seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=ship(sc, model)), ", ".join(f"f{i} double" for i in range(FEATURES)) + ", label int").toPandas()
     y = seen["label"].to_numpy(float)
     prior = sizes.get(1, 0) / max(1, sizes.get(0, 0) + sizes.get(1, 0))
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.weights = logistic(seen[["f0", "f1", "f2", "f3"]].to_numpy(float), y, weight)
+        model.weights = logistic(seen[[f"f{i}" for i in range(FEATURES)]].to_numpy(float), y, weight)
     else:  # nothing to compare: the share of toxic labels
-        model.weights = np.r_[math.log((prior + 1e-9) / (1 - prior + 1e-9)), np.zeros(4)]
+        model.weights = np.r_[math.log((prior + 1e-9) / (1 - prior + 1e-9)), np.zeros(FEATURES)]
     return model
 
 
