@@ -22,7 +22,7 @@ from factloom.functions.patterns import ANY, match
 from factloom.plans.types import Port, ports
 
 #: Primitive kinds that the compiler knows; everything else is lowered to these.
-KINDS = ("step", "condition", "all_of", "any_of", "join", "fan_out", "fan_in", "accumulator", "fold")
+KINDS = ("step", "condition", "all_of", "any_of", "join", "fan_out", "fan_in", "accumulator", "fold", "custom")
 
 
 @dataclass(frozen=True)
@@ -296,6 +296,18 @@ class Accumulator(Component):
         return [*nodes, self._node("accumulator", "accumulator", parents, self.fn, self.name, init=self.init, native=self.native, state_type=self.state_type)]
 
 
+@dataclass(frozen=True, kw_only=True)
+class Custom(Component):
+    """A node of one's own: compile(df, value, out) gets the rows of its frame and the name of the input
+    column, and returns the same rows with a column `out` more, by whatever plan."""
+
+    compile: Callable[..., Any]
+
+    def lower(self, parents: tuple[str, ...]) -> list[Node]:
+        nodes, parents = self._joined(parents)
+        return [*nodes, self._node("custom", "custom", parents, None, self.name, compile=self.compile)]
+
+
 def as_component(x: Any, name: str = "") -> Component:
     """A component from a function, a list or tuple pipeline, a dict description, a plain value."""
     if isinstance(x, Component):

@@ -29,7 +29,7 @@ from factloom.plans.workflow import Workflow
 
 KEYS = ("k", "seq", "root_id")
 PRODUCED = ("produced", "state_initiated", "state_produced", "reduced")
-LABELS = {"step": "produced", "join": "produced", "fan_out": "fan_out", "fan_in": "reduced", "accumulator": "state_produced", "fold": "state_produced"}
+LABELS = {"step": "produced", "custom": "produced", "join": "produced", "fan_out": "fan_out", "fan_in": "reduced", "accumulator": "state_produced", "fold": "state_produced"}
 
 
 @dataclass
@@ -163,6 +163,12 @@ class Compiled:
         parent.frame.add(**{value: F.col(f"`{got}`")["value"], fired: F.coalesce(F.col(f"`{got}`")["status"] == "completed", F.lit(False))})
         return Out(parent.frame, value, fired, node, 0, status=got)
 
+    def _custom(self, node: Node, parents: list[Out]) -> Out:
+        (parent,) = parents
+        name = self._name(node)
+        parent.frame.df = node.options["compile"](parent.frame.df, parent.value, name)
+        return Out(parent.frame, name, self._gated(node, parent), node, 0)
+
     def _condition(self, node: Node, parents: list[Out]) -> Out:
         (parent,) = parents
         made = node.fn(*self._arguments(node, parent), **self._reads(node, parent))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.plans.compiler import Compiled, root_facts
@@ -40,6 +40,37 @@ def check(rule_workflow: Workflow, roots: DataFrame) -> bool:
     return not plan(rule_workflow, roots).isEmpty()
 
 
+def run_component(spark: SparkSession, component: Any, value: Any, schema: str, **options: Any) -> list[Any]:
+    """What one component makes of one value: a list with its output, or an empty one if it does not fire.
+    schema is the value's type."""
+    wf = Workflow().add(component)
+    rows = spark.createDataFrame([(0, value)], f"seq long, value {schema}")
+    done = Compiled(wf, root_facts(rows, "seq", value=F.col("value")), **options)
+    return [r["value"] for r in done.value_of(list(wf.components)[-1]).collect()]
+
+
+def check_component(spark: SparkSession, component: Any, value: Any, schema: str, **options: Any) -> bool:
+    """Whether a rule or condition fires for one value."""
+    return bool(run_component(spark, component, value, schema, **options))
+
+
+def invoke(workflow: Workflow, roots: DataFrame, name: str, **options: Any) -> DataFrame:
+    """One component's values, with nothing compiled but what it depends on."""
+    found, open_ = set(), [workflow.output_of(name)]
+    while open_:
+        n = open_.pop()
+        if n and n not in found:
+            found.add(n)
+            node = workflow.nodes[n]
+            open_ += [*node.parents, *node.gates, *(workflow.output_of(r.target) for r in node.refs.values() if r.kind != "context")]
+    return Compiled(workflow, roots, only=found, **options).value_of(name)
+
+
+def resolve(log: DataFrame, ids: DataFrame) -> DataFrame:
+    """(fact_id, value) of the facts named in ids (column fact_id)."""
+    return log.join(ids.select("fact_id").distinct(), "fact_id", "left_semi").select("fact_id", "value")
+
+
 def events_since(log: DataFrame, root_id: Any, depth: int) -> DataFrame:
     """Facts that a root fact caused beyond a causal depth."""
     return log.filter((F.col("root_id") == F.lit(root_id)) & (F.col("depth") > depth))
@@ -65,4 +96,4 @@ def rehydrated(log: DataFrame, values: DataFrame) -> DataFrame:
     return out.withColumn("value", F.coalesce("value", "__value")).withColumn("value_stripped", F.lit(False)).drop("__value")
 
 
-__all__ = ["Compiled", "check", "dehydrated", "events_since", "feedback", "frontier", "plan", "react", "react_until_satisfied", "rehydrated", "root_facts"]
+__all__ = ["Compiled", "check", "check_component", "dehydrated", "events_since", "feedback", "frontier", "invoke", "plan", "react", "react_until_satisfied", "rehydrated", "resolve", "root_facts", "run_component"]

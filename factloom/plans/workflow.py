@@ -78,6 +78,11 @@ class Workflow:
         out.order()  # raises on circles and unknown reads
         return out
 
+    def add_with_events(self, component: Any, to: Target = None, **options: Any) -> tuple[Workflow, list[Any]]:
+        """The workflow with the component, and the build events that this made."""
+        out = self.add(component, to, **options)
+        return out, list(out.log[len(self.log) :])
+
     def _free(self, name: str) -> str:
         i = 2
         while f"{name}_{i}" in self.components:

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from factloom.functions import meta
 from factloom.functions.patterns import ANY, Bind
 from factloom.functions.text import first, frequencies, last, tokenize
-from factloom.operators.components import accumulator, all_of, any_of, condition, go_on, halt, map_each, python_step, reduce, rule, step
+from factloom.operators.components import Custom, accumulator, all_of, any_of, condition, go_on, halt, map_each, python_step, reduce, rule, step
 from factloom.operators.state import Aggregate, Fsm, ProcessManager, Saga, StateMachine
 from factloom.plans.compiler import Compiled
 from factloom.plans.policy import Policy, PolicyRule
-from factloom.plans.runtime import dehydrated, frontier, plan, react, react_until_satisfied, rehydrated, root_facts
+from factloom.plans.runtime import dehydrated, frontier, invoke, plan, react, react_until_satisfied, rehydrated, resolve, root_facts
 from factloom.plans.workflow import Workflow, from_log, workflow
 from factloom.runner import pending
+from factloom.sources.inputs import read_facts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -578,6 +579,38 @@ def pending_runnables(spark: SparkSession, d: str) -> DataFrame:
     return pending(log).select("runnable_id")
 
 
+@query("SELECT vec_id, round(list_max(embedding)::DOUBLE, 4) AS top FROM embeddings")
+def custom_component(spark: SparkSession, d: str) -> DataFrame:
+    """A component that brings its own plan, over a source read as facts."""
+    top = Custom(name="top", compile=lambda df, value, out: df.withColumn(out, F.array_max(F.col(f"`{value}`.embedding")).cast("double")))
+    done = run(workflow().add(top), read_facts(spark, f"{d}/embeddings.parquet", "vec_id"))
+    return done.value_of("top").select(F.col("root_id").alias("vec_id"), F.round("value", 4).alias("top"))
+
+
+@query("SELECT count(*)::BIGINT AS facts, count(DISTINCT n_nationkey)::BIGINT AS roots FROM (SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation)")
+def reactions_once(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs and productions, each once."""
+    wf = workflow().add(step(lambda v: v["n_nationkey"] + 1, "plus"))
+    facts = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).reactions()
+    return facts.agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("root_id").alias("roots"))
+
+
+@query("SELECT n_nationkey::BIGINT AS root_id, n_nationkey + 1 AS value FROM nation WHERE n_regionkey = 1")
+def fact_resolver(spark: SparkSession, d: str) -> DataFrame:
+    """Values of named facts, looked up by id."""
+    wf = workflow().add(step(lambda v: v["n_nationkey"] + 1, "plus")).add(rule(lambda v: v["n_regionkey"], lambda v: v["n_regionkey"] == 1, "one"))
+    log = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).facts()
+    wanted = log.filter("producer = 'one'").select("root_id").join(log.filter("producer = 'plus'"), "root_id")
+    got = resolve(log, wanted).join(log.select("fact_id", "root_id"), "fact_id")
+    return got.select(F.col("root_id").cast("long").alias("root_id"), F.get_json_object("value", "$.v").cast("int").alias("value"))
+
+
+@query("SELECT o_orderkey, (o_custkey + 1) * 2 AS value FROM orders WHERE (o_custkey + 1) % 3 = 0")
+def invoke_one_component(spark: SparkSession, d: str) -> DataFrame:
+    wf = workflow().add(step(lambda v: v["o_custkey"] + 1, "a")).add(rule(lambda x: x * 2, lambda x: x % 3 == 0, "b"), to="a").add(step(lambda x: x - 1, "unused"), to="a")
+    return invoke(wf, orders(spark, d), "b").select(F.col("root_id").alias("o_orderkey"), "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -272,6 +272,30 @@ def test_feedback_and_hooks(spark):
     assert values(react_until_satisfied(hooked, facts(spark, [1])).value_of("late")) == [4] and seen == [1, 3]
 
 
+def test_single_components_and_events(spark):
+    from factloom.plans.runtime import check_component, run_component
+    from factloom.sources.inputs import table_facts, value_facts
+
+    r = rule(lambda x: x * 2, lambda x: x > 0, "r")
+    assert run_component(spark, r, 4, "bigint") == [8] and run_component(spark, r, -4, "bigint") == []
+    assert check_component(spark, condition(lambda x: x > 1), 2, "bigint") and not check_component(spark, condition(lambda x: x > 1), None, "bigint")
+    wf, made = Workflow().add_with_events(r)
+    assert [e.component.name for e in made] == ["r"] and len(wf.log) == 1
+    assert values(react_until_satisfied(wf, value_facts(spark, [1, -1, 3], "bigint")).value_of("r")) == [2, 6]
+    spark.range(3).createOrReplaceTempView("three")
+    assert table_facts(spark, "three", "id").count() == 3
+
+
+def test_sources_of_files(spark, tmp_path):
+    from factloom.sources.inputs import read_facts
+
+    spark.createDataFrame([(1, "a"), (2, "b")], "i long, s string").write.json(str(tmp_path / "j"))
+    wf = Workflow().add(step(lambda v: F.upper(v["s"]), "up"))
+    got = react_until_satisfied(wf, read_facts(spark, str(tmp_path / "j"), "i", format="json", schema="i long, s string")).value_of("up")
+    assert values(got) == ["A", "B"]
+    assert read_facts(spark, str(tmp_path / "j"), format="json").select("root_id").distinct().count() == 2
+
+
 # policies
 
 
