@@ -141,7 +141,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     own = rates.join(high, "gram").filter("rate >= high / 3").select("lang", "gram", "rate").orderBy(F.col("rate").desc(), "gram", "lang").limit(max_grams)
     languages = sorted(sizes)
     number = {lang: i for i, lang in enumerate(languages)}
-    return Filters(languages, [(r["gram"], number[r["lang"]]) for r in own.collect()])
+    found = own.toArrow()
+    return Filters(languages, list(zip(found["gram"].to_pylist(), map(number.get, found["lang"].to_pylist()), strict=True)))
 
 
 def _predict(batches: Iterator[pa.RecordBatch], filters: object) -> Iterator[pa.RecordBatch]:

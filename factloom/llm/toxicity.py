@@ -149,10 +149,11 @@ def _smoothed(own: Column, total: float, types: float, shared: Column) -> Column
     return F.greatest(own - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * max(types, 1.0) / total * shared
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000, max_words: int = 150_000, max_pairs: int = 150_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000, max_words: int = 100_000, max_pairs: int = 100_000) -> Model:
     """Fit on labelled rows outside the held-out fold: about per_class of each label, those whose hash
     of the id falls below that share; a fifth of them fits the regression, the rest the two models. Of
-    near copies with one label in the sample one is learned from, or their words would pass for toxic ones. The models keep the max_words most frequent words and max_pairs most frequent pairs. Of several labels
+    near copies with one label in the sample one is learned from, or their words would pass for toxic ones. The models keep
+    the max_words most frequent words of two texts or more, and the max_pairs most frequent pairs of three. Of several labels
     for one id the largest counts; rows with a null id or label are left out."""
     sc = docs.sparkSession.sparkContext
     own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != held_out_fold))
@@ -164,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = own.filter(at < limit).select("__id", "label", part.alias("part"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select(F.col("__id").cast("long"), "text", "label", "part")  # 2 * per_class rows or so
     rows = cut(rows)
-    keys = rows.select("__id", "label", "text").mapInArrow(_bands, "__id long, label int, " + ", ".join(f"k{i} long" for i in range(BANDS))).toPandas().sort_values("__id")
+    keys = rows.select("__id", "label", "text").mapInArrow(_bands, "__id long, label int, " + ", ".join(f"k{i} long" for i in range(BANDS))).toArrow().to_pandas().sort_values("__id")
     for i in range(BANDS):  # of texts of one label that share a band, the one with the smallest id stays
         keys = keys.drop_duplicates([f"k{i}", "label"])
     stay = docs.sparkSession.createDataFrame(keys[["__id"]], "__id long")
@@ -180,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     words = alone.select("word", "toxic", "ordinary").join(after, "word", "left").withColumn("shared", (F.coalesce("after", F.lit(0)) + 0.5) / max(1.0, n_pairs))
     words = words.withColumn("p_t", _smoothed(F.col("toxic"), tokens_t, types_t, F.col("shared"))).withColumn("p_o", _smoothed(F.col("ordinary"), tokens_o, types_o, F.col("shared")))
     words = cut(words.select("word", "toxic", "ordinary", "p_t", "p_o"))
-    top = words.orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(max_words).select("word", F.log(F.col("p_t") / F.col("p_o")).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("texts")).toPandas()
+    top = words.filter("toxic + ordinary >= 2").orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(max_words).select("word", F.log(F.col("p_t") / F.col("p_o")).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("texts")).toArrow().to_pandas()
 
     follow = pairs.groupBy("first").agg(*(f(c) for c in ("toxic", "ordinary") for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
     often = pairs.filter("toxic + ordinary >= 3").orderBy((F.col("toxic") + F.col("ordinary")).desc(), "first", "word").limit(max_pairs)
@@ -191,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         back = F.when(F.col(f"sum_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / total).otherwise(1.0)
         return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + back * F.col(below)
 
-    known_pairs = met.select("first", "word", F.log(pair_p("toxic", "p_t") / pair_p("ordinary", "p_o")).alias("ratio")).toPandas()
+    known_pairs = met.select("first", "word", F.log(pair_p("toxic", "p_t") / pair_p("ordinary", "p_o")).alias("ratio")).toArrow().to_pandas()
     names = [w.encode() for w in top["word"]]
     number = {w: i + 1 for i, w in enumerate(top["word"])}
     keys = [(number.get(a), number.get(b), r) for a, b, r in known_pairs.itertuples(index=False)]
@@ -200,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     unseen = math.log((max(types_t, 1) / max(tokens_t, 1)) / (max(types_o, 1) / max(tokens_o, 1)))
     model = Model(names, top["ratio"].to_numpy(float), top["texts"].to_numpy(), np.array([k for k, _ in keys], np.int64), np.array([r for _, r in keys], float), unseen)
 
-    seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=ship(sc, model)), ", ".join(f"f{i} double" for i in range(FEATURES)) + ", label int").toPandas()
+    seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=ship(sc, model)), ", ".join(f"f{i} double" for i in range(FEATURES)) + ", label int").toArrow().to_pandas()
     y = seen["label"].to_numpy(float)
     prior = sizes.get(1, 0) / max(1, sizes.get(0, 0) + sizes.get(1, 0))
     if 0 < y.sum() < len(y):
