@@ -228,12 +228,12 @@ def frequency_map(spark: SparkSession, d: str) -> DataFrame:
     return run(wf, roots).value_of("top").select(F.col("root_id").alias("doc_id"), F.col("value").alias("max_n"))
 
 
-@query("SELECT vec_id, (pos - 1)::BIGINT AS pos, round(x * 2, 4) AS doubled FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)")
+@query("SELECT vec_id, (pos - 1)::BIGINT AS pos, x * 2 AS doubled FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings)")
 def map_double(spark: SparkSession, d: str) -> DataFrame:
     wf = workflow().add(step(lambda v: v["embedding"], "values")).add(map_each(lambda x: x.cast("double") * 2, "double"), to="values")
     df = run(wf, root_facts(read(spark, d, "embeddings"), "vec_id")).value_of("double")
     pos = next(c for c in df.columns if c.startswith("p:"))
-    return df.select(F.col("root_id").alias("vec_id"), F.col(f"`{pos}`").cast("long").alias("pos"), F.round("value", 4).alias("doubled"))
+    return df.select(F.col("root_id").alias("vec_id"), F.col(f"`{pos}`").cast("long").alias("pos"), F.col("value").alias("doubled"))
 
 
 @query(
@@ -579,12 +579,12 @@ def pending_runnables(spark: SparkSession, d: str) -> DataFrame:
     return pending(log).select("runnable_id")
 
 
-@query("SELECT vec_id, round(list_max(embedding)::DOUBLE, 4) AS top FROM embeddings")
+@query("SELECT vec_id, list_max(embedding)::DOUBLE AS top FROM embeddings")
 def custom_component(spark: SparkSession, d: str) -> DataFrame:
     """A component that brings its own plan, over a source read as facts."""
     top = Custom(name="top", compile=lambda df, value, out: df.withColumn(out, F.array_max(F.col(f"`{value}`.embedding")).cast("double")))
     done = run(workflow().add(top), read_facts(spark, f"{d}/embeddings.parquet", "vec_id"))
-    return done.value_of("top").select(F.col("root_id").alias("vec_id"), F.round("value", 4).alias("top"))
+    return done.value_of("top").select(F.col("root_id").alias("vec_id"), F.col("value").alias("top"))
 
 
 @query("SELECT count(*)::BIGINT AS facts, count(DISTINCT n_nationkey)::BIGINT AS roots FROM (SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation)")
