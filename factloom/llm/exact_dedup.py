@@ -9,19 +9,24 @@ map side of that aggregation folds copies before anything is shuffled. All other
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.llm.common import without_spaces
 
 
+def _never_null(digest: Column) -> Column:
+    """A digest is never null; when the planner knows, it does not compute it once more in a filter."""
+    return F.coalesce(digest, F.expr("X''"))
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     norm = without_spaces(F.col(text_col))
     return docs.select(
         F.col(id_col).alias("id"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"),
         norm.alias("norm"),
-        F.unhex(F.md5(norm.cast("binary"))).alias("hash"),
+        _never_null(F.unhex(F.md5(norm.cast("binary")))).alias("hash"),
     )
 
 
@@ -47,7 +52,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     best = F.min(F.struct((-F.col("points")).alias("minus"), F.col("id").isNull().alias("none"), F.col("id").alias("id")))
-    groups = rows.groupBy(*key).agg(F.sum("copies").alias("group_size"), best.alias("best"))
+    # A hot group is first folded in 64 parts. Its rows then meet one row: with the hash computed anew the
+    # groups come to the join through an exchange of their own, and so adaptive execution can split the hot rows.
+    parts = rows.groupBy(*key, F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.sum("copies").alias("copies"), best.alias("best"))
+    groups = parts.groupBy(*key).agg(F.sum("copies").alias("group_size"), F.min("best").alias("best"))
+    groups = groups.withColumn("hash", F.expr("concat(hash, X'')"))
     each = rows.join(groups, key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select(
         F.col("id").alias(id_col),
@@ -67,12 +76,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = (
         exact_groups(docs, id_col, text_col)
         .filter("kept")
-        .select(F.col(id_col).alias("__id"), F.unhex("text_sha256").alias("__sha"))
+        .select(F.col(id_col).alias("__id"), _never_null(F.unhex("text_sha256")).alias("__sha"))
     )
     norm = without_spaces(F.col(text_col)).cast("binary")
     marked = docs.withColumns(
         {
-            "__sha": F.unhex(F.sha2(norm, 256)),
+            "__sha": _never_null(F.unhex(F.sha2(norm, 256))),
             "__points": F.char_length(F.coalesce(F.col(text_col), F.lit(""))),
             "__key": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
         }
