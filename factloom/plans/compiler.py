@@ -230,6 +230,8 @@ class Compiled:
     def _fan_in(self, node: Node, parents: list[Out]) -> Out:
         (parent,) = parents
         frame, value, name, o = parent.frame, F.col(f"`{parent.value}`"), self._name(node), node.options
+        if (inline := self._in_row(node)) is not None:
+            return inline
         if not frame.positions:
             kind = frame.df.schema[parent.value].dataType
             if not isinstance(kind, T.ArrayType):
@@ -254,6 +256,57 @@ class Compiled:
         result.value = name
         return result
 
+    def _in_row(self, node: Node) -> Out | None:
+        """A reduce of elements that only went through steps and joins since their fan-out needs no
+        regrouping: they are still one array of one row. None if that is not so."""
+        source: list[Node] = []
+
+        def element(name: str, x: Column) -> Any:
+            n = self.workflow.nodes.get(name)
+            if n is None or n.gates or n.options.get("returns") or any(r.kind != "context" for r in n.refs.values()):
+                raise LookupError
+            if n.kind == "fan_out":
+                source.append(n)
+                return x
+            if n.kind == "join":
+                return [element(p, x) for p in n.parents]
+            if n.kind != "step":
+                raise LookupError
+            below, count = element(n.parents[0], x), arity(n.fn)
+            if count > 1 and not isinstance(below, list):
+                raise LookupError
+            if count < 2 and isinstance(below, list):
+                below = F.struct(*(b.alias(f"_{i + 1}") for i, b in enumerate(below)))
+            made = n.fn(*(below[:count] if count > 1 else [below] * count), **{k: F.lit(self._context(n, r)) for k, r in n.refs.items()})
+            return made if isinstance(made, Column) else F.lit(made)
+
+        def whole(x: Column) -> Column:
+            made = element(node.parents[0], x)
+            return F.struct(*(b.alias(f"_{i + 1}") for i, b in enumerate(made))) if isinstance(made, list) else made
+
+        try:
+            whole(F.lit(None))
+        except (LookupError, TypeError):
+            return None
+        if len({n.name for n in source}) != 1:
+            return None
+        parent = self.outs[source[0].parents[0]]
+        frame, name, o = parent.frame, self._name(node), node.options
+        if not isinstance(frame.df.schema[parent.value].dataType, T.ArrayType):
+            return None
+        array = F.transform(F.col(f"`{parent.value}`"), whole)
+        if o.get("native"):
+            kind = frame.df.select(array.alias("x")).schema["x"].dataType.elementType
+            made = _native_in_row(o["native"], array, kind)
+            if made is None:
+                return None
+            made = made if o["init"] is None else (o.get("combine") or (lambda a, b: a + b))(F.lit(o["init"]), made)
+        else:
+            made = self._folded(node, parent, array)
+        active = self._name(node, "a")
+        frame.add(**{name: made, active: F.coalesce(parent.fired() & (F.size(f"`{parent.value}`") > 0), F.lit(False))})
+        return Out(frame, name, active, node, 0)
+
     def _folded(self, node: Node, parent: Out, array: Column) -> Column:
         reads = self._reads(node, parent)
         init = node.options["init"]
@@ -448,7 +501,11 @@ class Compiled:
             if out.frame is self.root:
                 plain[name] = F.array_compact(F.array(value)) if many == "many" else value
             else:
-                order = F.struct(*(F.col(f"`{p}`") for p in out.frame.positions)) if out.frame.positions else F.struct(F.lit(0))
+                if not out.frame.positions:  # one row for each root fact already
+                    single = F.col(f"`{out.value}`")
+                    others.append((name, out.frame.df.filter(out.fired()).select(*KEYS, (F.array_compact(F.array(single)) if many == "many" else single).alias(name))))
+                    continue
+                order = F.struct(*(F.col(f"`{p}`") for p in out.frame.positions))
                 listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(f"`{out.value}`").alias("x")))), lambda s: s["x"])
                 made = listed if many == "many" else F.max_by(F.col(f"`{out.value}`"), order)
                 others.append((name, out.frame.df.filter(out.fired()).groupBy(*KEYS).agg(made.alias(name))))
@@ -465,6 +522,21 @@ class Compiled:
         return _union([o.frame.df.select(*KEYS, F.lit(o.node.name).alias("producer"), F.col(f"`{o.status}`.status").alias("status"), F.col(f"`{o.status}`.error").alias("error"), F.col(f"`{o.status}`.attempts").alias("attempts")).filter("status in ('failed', 'skipped') and attempts > 0") for o in outs])
 
 
+def _native_in_row(native: Callable[[Column], Column], array: Column, kind: T.DataType) -> Column | None:
+    """What a native aggregate makes of an array's elements, nulls ignored; None if it is not known here."""
+    known = F.filter(array, lambda x: x.isNotNull())
+    if native is F.min:
+        return F.array_min(array)
+    if native is F.max:
+        return F.array_max(array)
+    if native is F.count:
+        return F.size(known).cast("long")
+    if native is F.sum and isinstance(kind, (T.IntegralType, T.DoubleType, T.FloatType)):
+        to = "bigint" if isinstance(kind, T.IntegralType) else "double"
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(to), lambda a, x: a + x.cast(to)))
+    return None
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
     out = frames[0]
     for f in frames[1:]:
