@@ -18,6 +18,7 @@ from factloom.plans.runtime import dehydrated, frontier, invoke, plan, react, re
 from factloom.plans.workflow import Workflow, from_log, workflow
 from factloom.runner import pending
 from factloom.sources.inputs import read_facts
+from factloom.streaming.stream import drain, sessions, stream_fold, stream_roots, stream_rowwise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -611,6 +612,38 @@ def invoke_one_component(spark: SparkSession, d: str) -> DataFrame:
     return invoke(wf, orders(spark, d), "b").select(F.col("root_id").alias("o_orderkey"), "value")
 
 
+# ---- streams ------------------------------------------------------------------------------------
+
+
+def event_stream(spark: SparkSession, d: str, value: object = None) -> DataFrame:
+    schema = read(spark, d, "events").schema
+    # a pattern, as a stream's plain path must be a folder, and the table may be one file
+    return stream_roots(spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]"), "event_id", "user_id", value)
+
+
+@query(f"SELECT event_id, {CENTS} AS cents FROM events WHERE event_type = 'purchase'")
+def stream_rule(spark: SparkSession, d: str) -> DataFrame:
+    """A row-wise graph over a stream."""
+    wf = workflow().add(rule(lambda v: money(v["value"]), lambda v: v["event_type"] == "purchase", "bought"))
+    out = drain(stream_rowwise(wf, event_stream(spark, d), "bought"), "stream_rule")
+    return out.select(F.col("root_id").alias("event_id"), F.col("value").alias("cents"))
+
+
+@query(SQL["fsm_user_lifecycle"])
+def stream_state_machine(spark: SparkSession, d: str) -> DataFrame:
+    """The machine of fsm_user_lifecycle with its state in the state store."""
+    machine = Fsm(name="life", initial_state="new", states=LIFECYCLE, on_entry={"blocked": "alert"})
+    out = drain(stream_fold(machine, event_stream(spark, d, F.col("event_type"))), "stream_fsm")
+    return out.filter("tag is null").select(F.col("root_id").alias("event_id"), F.get_json_object(F.concat(F.lit('{"v":'), "state", F.lit("}")), "$.v").alias("state"))
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def event_time_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions over event time lose no event."""
+    df = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return sessions(df, "ts", "1 hour", "1 day", ["event_type"]).groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -9,11 +9,13 @@ watermarks are there for counts over time.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -88,6 +90,25 @@ def sessions(df: DataFrame, time: str, gap: str, late: str, by: list[str]) -> Da
     return grouped.agg(F.count(F.lit(1)).alias("n")).select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: below spark.checkpoint.dir, or a temporary one in
+    local mode."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="factloom-stream-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def drain(df: DataFrame, name: str) -> DataFrame:
+    """Run a stream over what is there now and read what it wrote."""
+    spark = df.sparkSession
+    at = shared_folder(spark, name)
+    run_stream(df, f"{at}/out", f"{at}/state").awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{at}/out")
+
+
 def run_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write a stream to Parquet and stop when what is there now is done. A restart goes on where the
     checkpoint says; no fact is written twice."""
