@@ -31,10 +31,10 @@ class Letters:
     """Code point -> is it a letter."""
 
     def __init__(self) -> None:
-        self.low = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        self.low = np.fromiter((chr(c).isalpha() for c in range(0x33000)), bool, 0x33000)
 
     def __call__(self, points: np.ndarray) -> np.ndarray:
-        return self.low[np.minimum(points, 0x2FFFF)] & (points < 0x30000)
+        return self.low[np.minimum(points, 0x32FFF)] & (points < 0x33000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -122,17 +122,18 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, max_grams: int = 200_000) -> Filters:
-    """Fit on a sample of labelled rows: about per_language rows of each language, those whose hash of the id
-    falls below that share. The most frequent max_grams (language, n-gram) entries make the filter.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 4000, max_grams: int = 200_000, max_languages: int = 256) -> Filters:
+    """Fit on a sample of labelled rows: about per_language rows of each of the max_languages most frequent
+    languages, those whose hash of the id falls below that share. The most frequent max_grams (language, n-gram) entries make the filter.
     Rows with a null language are left out; no rows give a filter without languages."""
     labelled = docs.filter(F.col(lang_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).agg(F.count(F.lit(1))).collect()}
+    often = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(max_languages)
+    sizes = {r["lang"]: r["n"] for r in often.collect()}
     if not sizes:
         return Filters([], [])
     at = F.shiftrightunsigned(F.xxhash64(F.lit("language"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 11) / F.lit(float(1 << 53))
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, per_language / n)))
-    sample = labelled.filter(at < F.element_at(share, F.col(lang_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = labelled.filter(at < F.try_element_at(share, F.col(lang_col))).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     counts = sample.mapInArrow(_collect, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts = counts.filter("n >= 3")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
