@@ -514,6 +514,19 @@ class Compiled:
             df = df.join(other, [*KEYS], "left")
         return df.select(*KEYS, *wanted)
 
+    def outcomes(self, name: str, also: list[str] | None = None) -> DataFrame:
+        """(k, seq, root_id, value, status, error, attempts) of a Python step, completed or not, in one pass;
+        also: components of the same frame whose values come along, null where they did not fire."""
+        out = self.outs[self.workflow.output_of(name)]
+        if not out.status:
+            raise UnresolvedReferenceError(f"{name} is no Python step")
+        got = F.col(f"`{out.status}`")
+        more = [(n, self.outs[self.workflow.output_of(n)]) for n in also or []]
+        if any(o.frame is not out.frame for _, o in more):
+            raise ValueError("these components are of another grain")
+        values = [F.when(o.fired(), F.col(f"`{o.value}`")).alias(n) for n, o in more]
+        return out.frame.df.filter(got["attempts"] > 0).select(*KEYS, got["value"].alias("value"), got["status"].alias("status"), got["error"].alias("error"), got["attempts"].alias("attempts"), *values)
+
     def failures(self) -> DataFrame:
         """(k, seq, root_id, producer, status, error, attempts) of Python steps that did not complete."""
         outs = [o for o in self.outs.values() if o.status]

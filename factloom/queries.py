@@ -547,6 +547,11 @@ def lean_replay(spark: SparkSession, d: str) -> DataFrame:
     return met.agg(F.count(F.lit(1)).alias("facts"), F.count_if("value_stripped").alias("stripped"), F.count_if(~F.col("value").eqNullSafe(F.col("again"))).alias("lost"))
 
 
+def needed() -> object:
+    """What the Python step reads, so that no other column is read or sent to Python."""
+    return step(lambda v: F.struct(v["event_id"], v["props"]), "needed")
+
+
 def safe_k(v: dict) -> int:
     """A Python step that fails on every third event."""
     import json
@@ -559,17 +564,17 @@ def safe_k(v: dict) -> int:
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k FROM events")
 def policy_fallback_value(spark: SparkSession, d: str) -> DataFrame:
-    wf = workflow().add(python_step(safe_k, "bigint", "k")).add_policy(PolicyRule("k", Policy(fallback=lambda v, e: -1)))
+    wf = workflow().add(needed()).add(python_step(safe_k, "bigint", "k"), to="needed").add_policy(PolicyRule("k", Policy(fallback=lambda v, e: -1)))
     return run(wf, events(spark, d)).value_of("k").select(F.col("root_id").alias("event_id"), F.col("value").alias("k"))
 
 
 @query("SELECT event_id, 'next' AS producer FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT event_id, 'failed:2' FROM events WHERE event_id % 3 = 0")
 def failure_skip_downstream(spark: SparkSession, d: str) -> DataFrame:
     """A fact that fails after its retries stops what is below it, for that root fact alone."""
-    wf = workflow().add(python_step(safe_k, "bigint", "k")).add(step(lambda k: k + 1, "next"), to="k")
+    wf = workflow().add(needed()).add(python_step(safe_k, "bigint", "k"), to="needed").add(step(lambda k: k + 1, "next"), to="k")
     done = run(wf.add_policy(PolicyRule("default", Policy(retries=1))), events(spark, d))
-    ok = done.value_of("next").select(F.col("root_id").alias("event_id"), F.lit("next").alias("producer"))
-    return ok.unionByName(done.failures().select(F.col("root_id").alias("event_id"), F.concat("status", F.lit(":"), F.col("attempts").cast("string")).alias("producer")))
+    said = F.concat("status", F.lit(":"), F.col("attempts").cast("string"))
+    return done.outcomes("k", ["next"]).select(F.col("root_id").alias("event_id"), F.when(F.col("next").isNotNull(), "next").otherwise(said).alias("producer"))
 
 
 @query("SELECT o_orderkey AS runnable_id FROM orders WHERE o_orderstatus = 'P'")
