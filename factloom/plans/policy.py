@@ -56,8 +56,8 @@ class Policy:
                 return self._once(fn, args, kw), "completed", None, attempt
             except Exception as e:  # noqa: BLE001 - any failure of user code counts
                 error = e
-                if attempt <= self.retries:
-                    sleep(self.delay(attempt))
+                if attempt <= self.retries and (wait := self.delay(attempt)):
+                    sleep(wait)
         if self.fallback is not None:
             try:
                 made = self.fallback(args[0] if args else None, error)
