@@ -42,6 +42,11 @@ class PieceTable:
         self.first = {t[:2] for t in specials}
         # special strings are taken out first; what is left has none
         self.model = Tokenizer.from_str(json.dumps(spec | {"added_tokens": []}))
+        # a run of ASCII letters is one pre-token of the model, in lower case and byte for byte, if the file
+        # says so; the model then counts it by itself
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        plain = normal == ["NFC", "Replace", "Lowercase"] and "|[\\p{L}]+|" in steps[0]["pattern"]["Regex"]
+        self.letters = self.model.model.tokenize if plain else None
         self.pieces: dict[bytes, int] = {}
         self.table_rows = table_rows
 
@@ -58,6 +63,16 @@ class PieceTable:
         if len(self.pieces) + len(wanted) > self.table_rows:
             self.pieces = {}
         new = [t for t in wanted if t not in self.pieces]
+        if self.letters:
+            end, other = {t: len(self.model.encode(t, add_special_tokens=False).ids) for t in (".", ",")}, []
+            for t in new:
+                tail = t[-1:].decode("ascii", "ignore")
+                core = t[:-1] if tail in end else t
+                if core.isalpha():  # of bytes: ASCII letters alone
+                    self.pieces[t] = len(self.letters(core.lower().decode())) + (end[tail] if tail in end else 0)
+                else:
+                    other.append(t)
+            new = other
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             encoded = self.model.encode_batch_fast([t.decode() for t in part], add_special_tokens=False)
