@@ -20,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,7 +142,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = list(seen.keys() | trained.keys())
         train = [trained[w] for w in words]
         total = [seen[w] + t for w, t in zip(words, train, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in words], pa.string()), pa.array(train, pa.int64()), pa.array(total, pa.int64())], ["word", "c", "uses"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(train, pa.int64()), pa.array(total, pa.int64())], ["word", "c", "uses"])
 
     for batch in batches:
         for text, train in zip(texts(batch), batch.column("train").to_pylist(), strict=True):
@@ -199,31 +200,32 @@ def _documents(batches: Iterator[pa.RecordBatch], heavy: object) -> Iterator[pa.
 
     table, end = shipped(heavy)
     number = TaskContext.get().partitionId() << 40
+    doc_type = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    names = ["rid", "word", "freq", "doc"]
+    get = table.get
     for batch in batches:
-        rid, word, freq, n_tokens, n_known, base, model, is_doc, ids, held = [], [], [], [], [], [], [], [], [], []
-        for text, doc, out in zip(texts(batch), batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), strict=True):
+        words, freq, rare, sums = [], [], [], []
+        for text in texts(batch):
             counts = Counter(lower_words(text))
-            tokens, known, b, m = 1, end[0], end[1], end[2]
+            tokens, known, b, m, before = 1, end[0], end[1], end[2], len(words)
             for w, n in counts.items():
                 tokens += n
-                if (t := table.get(w)) is not None:
+                if (t := get(w)) is not None:
                     known += t[0] * n
                     b += t[1] * n
                     m += t[2] * n
                 else:
-                    rid.append(number)
-                    word.append(w.decode())
+                    words.append(w)
                     freq.append(n)
-                    is_doc.append(None)
-            rid.append(number)
-            word.append(None)
-            freq.append(None)
-            is_doc.append({"id": doc, "held_out": out, "n_tokens": tokens, "n_known": known, "base": b, "model": m})
-            number += 1
-        doc_type = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+            rare.append(len(words) - before)
+            sums.append((tokens, known, b, m))
+        numbers = np.arange(number, number + batch.num_rows, dtype=np.int64)
+        number += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, rare)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(freq, pa.int64()), pa.nulls(len(words), doc_type)], names)
+        columns = [pa.array(c, k.type) for c, k in zip(zip(*sums, strict=True), list(doc_type)[2:], strict=True)] if sums else [pa.array([], k.type) for k in list(doc_type)[2:]]
+        doc = pa.StructArray.from_arrays([batch.column("id"), batch.column("held_out"), *columns], fields=list(doc_type))
         # a document's own row is dealt by its number; no word begins with a space
-        word = [w if w is not None else f" {r}" for w, r in zip(word, rid, strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(word, pa.string()), pa.array(freq, pa.int64()), pa.array(is_doc, doc_type)], ["rid", "word", "freq", "doc"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array([f" {r}" for r in numbers]), pa.nulls(batch.num_rows, pa.int64()), doc], names)
 
 
 def lattice_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 1, heavy: int = 100_000) -> DataFrame:
