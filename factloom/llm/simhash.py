@@ -51,7 +51,8 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.fromiter((fingerprint(t.encode().lower().split(), shingle) for t in texts(batch)), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64))], ["id", "fp"])
+        more = batch.schema.names[2:]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out.view(np.int64)), *map(batch.column, more)], ["id", "fp", *more])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -98,27 +99,47 @@ def near_links(points: DataFrame, distance: int = 3) -> DataFrame:
     return met.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b"))
 
 
+def _components(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, id, component): for each fingerprint of rows, its smallest id and the smallest fingerprint that
+    can be reached. Copies are never expanded into pairs: each distinct fingerprint is one node."""
+    points = rows.groupBy("fp").agg(F.min("id").alias("id"))
+    found = connected_components(near_links(points.select("fp", F.col("fp").alias("node")), distance)).withColumnRenamed("node", "fp")
+    return points.join(found, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+
+
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
     """(id, fingerprint as 16 hex digits, component_id) for each row of docs.
 
     ASCII letters are lower-cased; words are separated by common.SPACES. component_id is the smallest id
     that can be reached over links between fingerprints of up to `distance` differing bits. A null text
     counts as empty and gets fingerprint zero. Rows of equal text, repeated rows included, share a
-    fingerprint and so a component. A null id never names a component that has another id. Copies are
-    never expanded into pairs: each distinct fingerprint is one node, named by its smallest id.
+    fingerprint and so a component. A null id never names a component that has another id. Two components
+    have the same component_id only if both hold rows of that id, or if both have null ids alone.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle))
-    points = rows.groupBy("fp").agg(F.min("id").alias("node"))
-    found = connected_components(near_links(points.filter("node is not null"), distance))
-    named = points.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    members = cut(_components(rows, distance))
+    least = members.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = members.join(least, "component").select("fp", "component_id")
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row of each component of near_components(), with all its columns: the smallest id. Rows that
-    repeat that id stay one; a component of null ids only keeps one row."""
-    found = near_components(docs, id_col, text_col, shingle, distance)
-    first = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("__key")).distinct()
-    marked = docs.withColumn("__key", F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    order = Window.partitionBy("__key").orderBy(F.length(text_col).desc())
-    return marked.join(first, "__key", "left_semi").withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
+    """One row of each component, with all its columns: that of the smallest id, null last; of rows that
+    share it, that of the smallest fingerprint and of its texts the longest.
+
+    The kept (id, text hash) pairs meet the documents in one join on both, so that neither null ids nor
+    rows of one id with different texts stand for one another.
+    """
+    mark = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
+    rows = cut(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "id long, fp long, mark binary, size int"))
+    members = _components(rows, distance)
+    no_id = F.col("id").isNull().alias("no_id")
+    first = members.groupBy("component").agg(F.min(F.struct(no_id, "id", "fp")).alias("first")).select("first.id", "first.fp")
+    same = F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.fp") == F.col("f.fp"))
+    kept = rows.alias("r").join(first.alias("f"), same, "left_semi").groupBy("id", "fp").agg(F.min(F.struct((-F.col("size")).alias("minus"), "mark")).alias("best"))
+    kept = kept.select(F.col("id").alias("__id"), F.col("best.mark").alias("__mark"))
+    marked = docs.withColumns({"__key": F.col(id_col).cast("long"), "__sha": mark})
+    stay = marked.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__mark")), "left_semi")
+    order = Window.partitionBy("__key", "__sha").orderBy(F.length(text_col).desc_nulls_last())
+    return stay.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)

@@ -101,6 +101,27 @@ def test_near_components(docs):
     assert simhash.near_components(docs([]).limit(0)).count() == 0
 
 
+def test_near_copies_of_null_and_shared_ids(docs):
+    """Each component keeps one row, whatever its ids; an id does not link the texts that share it."""
+    texts = ["same words here now", "quite another text about things", "a third one that is of its own", "the fourth has yet other words in it"]
+    rows = [(None, texts[0]), (None, "Same  words here now"), (None, texts[1]), (4, texts[2]), (4, texts[3]), (4, texts[3]), (None, texts[3]), (None, None), (None, "")]
+    kept = [(r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs(rows)).collect()]
+    assert len(kept) == 5 and {t or "" for _, t in kept} in ({*texts, ""}, {"Same  words here now", *texts[1:], ""})
+    assert {t: i for i, t in kept}[texts[2]] == 4 and {t: i for i, t in kept}[texts[3]] == 4
+    by_hand = {simhash.fingerprint(t.encode().lower().split()): t for t in texts}
+    found = {int(r["fingerprint"], 16): r["component_id"] for r in simhash.near_components(docs([(9, texts[0]), (4, texts[1]), (4, texts[0]), (7, texts[1])])).collect()}
+    assert {by_hand[f]: c for f, c in found.items()} == {texts[0]: 4, texts[1]: 4}
+    apart = [(5, texts[0]), (5, texts[1]), (6, texts[1]), (7, texts[0])]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_copies(docs(apart)).collect()) == sorted(apart[:2])
+
+
+def test_near_null_ids_are_linked(docs, monkeypatch):
+    """A null id's fingerprint joins those within the distance."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda d, *a: d.selectExpr("doc_id as id", "cast(text as long) as fp"))
+    got = [(r["doc_id"], r["component_id"]) for r in simhash.near_components(docs([(None, "0"), (8, "7"), (None, "63"), (3, "4095")])).collect()]
+    assert sorted(got, key=str) == [(3, 3), (8, 8), (None, 8), (None, 8)]
+
+
 def test_components_of_chains_and_cycles(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(50)] + [(100, 101), (101, 102), (102, 100), (7, 7)] + [(200 + rnd.randrange(40), 200 + rnd.randrange(40)) for _ in range(30)]
