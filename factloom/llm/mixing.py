@@ -1,7 +1,8 @@
 """Mixing sources to target weights through a multivariate-hypergeometric splitting tree.
 
 Only DataFrame functions run here. Every document is cut into blocks of at most `block_words` consecutive
-words; a hash deals each source's blocks out to the output shards, its pools. A source's quota is whole passes over
+words; a hash deals each source's blocks out to the output shards. A source's pools are the shards or, if it is
+small, the nodes of the tree above them at which it still has POOL_BLOCKS blocks. Its quota is whole passes over
 the source plus a part of one more pass. That part is split over the pools by a binary tree: at a node
 the left half's share is drawn from the hypergeometric law of its population, so the shares are those of
 a uniform draw without replacement, and add up to the quota exactly. Each pool then takes its share from
@@ -22,6 +23,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_SOURCES = 100_000
 #: Above this variance the hypergeometric deviate is drawn from its normal limit, below by inversion.
 NORMAL_FROM = 64.0
+#: A pool rounds its share to whole blocks, which only means little if it holds at least so many.
+POOL_BLOCKS = 64
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -130,7 +133,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     drawn block within its shuffled shard.
 
     No block is taken more than twice. A source's taken words differ from its target by at most half a
-    block for each shard. Null texts have size 0 and are in the plan with nothing taken; a null source is
+    block for each of its pools, of which there is one for each POOL_BLOCKS blocks of words at most. Null texts have size 0 and are in the plan with nothing taken; a null source is
     a source of its own, weighed last; null ids and repeated rows are documents like any other.
     """
     sized = cut(sizes(docs, id_col, text_col, source_col))
@@ -142,6 +145,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     quotas = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("int"))
     quotas = quotas.withColumn("quota", (F.round("target") - F.col("passes") * F.col("source_size")).cast("long"))
 
+    # so many words a pool that a source which is the whole table has a pool for each shard
+    pool_words = max(shard_words / (2 * total_share), float(POOL_BLOCKS * block_words))
+    above = F.lit(depth) - F.floor(F.log2(F.greatest(F.lit(1.0), F.col("source_size") / pool_words)))
+    quotas = quotas.withColumn("above", F.greatest(F.lit(0), above).cast("int"))
+
     def with_sources(left: DataFrame, columns: list[str]) -> DataFrame:
         right = quotas.select(F.col("source").alias("__source"), *columns)
         right = F.broadcast(right) if n_sources <= BROADCAST_SOURCES else right
@@ -153,14 +161,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = blocks.withColumn("words", F.least(F.lit(block_words), F.col("size") - block_words * F.col("block").cast("long")))
     key = (F.coalesce("source", F.lit("")), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("copy"), F.col("block"), F.col("size"))
     blocks = blocks.withColumn("shard", F.pmod(F.xxhash64(F.lit("pool"), F.lit(seed), *key), F.lit(1 << depth)).cast("int"))
-    pools = blocks.groupBy("source", "shard").agg(F.sum("words").alias("units"))
+    # a pool is named by its first shard; blocks without words stay dealt out
+    pool = F.when(F.col("words") == 0, F.col("shard")).otherwise(F.expr("shiftleft(shiftright(shard, above), above)"))
+    blocks = with_sources(blocks, ["passes", "above"]).withColumn("pool", pool).drop("above")
+    pools = blocks.groupBy("source", F.col("pool").alias("shard")).agg(F.sum("words").alias("units"))
     shares = split_quotas(pools, quotas.select("source", "quota"), depth, seed)
-    here = F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.shard") == F.col("s.shard"))
+    here = F.col("b.source").eqNullSafe(F.col("s.source")) & (F.col("b.pool") == F.col("s.shard"))
     order = [F.xxhash64(F.lit("order"), F.lit(seed), *key), F.col("id"), F.col("copy"), F.col("block"), F.col("size")]
-    before = Window.partitionBy("source", "shard").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source", "pool").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     dealt = blocks.alias("b").join(shares.alias("s"), here).select("b.*", "s.share")
-    dealt = with_sources(dealt, ["passes"]).withColumn("extra", (F.col("before") + F.col("words") / 2 <= F.col("share")).cast("int"))
+    dealt = dealt.withColumn("extra", (F.col("before") + F.col("words") / 2 <= F.col("share")).cast("int"))
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit("shuffle"), F.lit(seed), *key), "id", "copy", "block")
     dealt = dealt.withColumn("position", F.row_number().over(shuffled))
     return plan, dealt.select("id", "source", "copy", "size", "block", "words", "passes", "extra", "shard", "position")

@@ -168,6 +168,16 @@ def test_mix_invariants(spark, docs):
     assert mixed_documents(docs([]).limit(0)).count() == 0
 
 
+def test_mix_of_many_small_sources(spark):
+    """3,000 sources with 8 blocks each over 2,048 shards: each is within half a block of its target."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(24_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 128).alias("text"), F.format_string("s%04d", F.col("id") % 3000).alias("source"))
+    by = mixed_documents(df, shard_words=4096).groupBy("source").agg(F.first("target").alias("target"), F.sum("taken").alias("taken")).toPandas()
+    off = by.taken - by.target
+    assert len(by) == 3000 and (off.abs() <= 65).all(), (off.abs().max(), off.groupby(by.target.round()).mean())
+
+
 CONTRACTS = {
     "op1": {"doc_id": "bigint", "keep_id": "bigint", "group_size": "bigint", "kept": "boolean", "text_sha256": "string"},
     "op2": {"doc_id": "bigint", "fingerprint": "string", "component_id": "bigint"},
