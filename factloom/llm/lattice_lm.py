@@ -4,7 +4,7 @@ A word is a path through a lattice: each edge is a piece of the vocabulary, at t
 a word, and the path ends with a stop. A forward recursion in log space adds up the probabilities of all
 paths. The vocabulary's own scores (they order its pieces; rank r counts as 1 / (r + 3)) weight a first
 lattice; expected counts over the distinct training words then give the piece probabilities (two EM
-rounds, the last over all of them). A second kind of edge spans a whole word that was seen in training, with its discounted share of
+rounds, each over all of them). A second kind of edge spans a whole word that was seen in training, with its discounted share of
 the training tokens; what the discounts free goes to the piece paths. The sum over both is the word's
 probability, and a text's is the product over its words and its end.
 
@@ -32,6 +32,8 @@ END = " "
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 300_000
 MARK = "▁"
+#: EM rounds over the distinct training words.
+ROUNDS = 2
 DISCOUNT = 0.75
 
 
@@ -250,9 +252,8 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
     ranked = {p: 1.0 / (r + 3) for r, (p, _) in enumerate(sorted(pieces, key=lambda x: -x[1]))}
     seen = counts.filter((F.col("c") > 0) & (F.col("word") != END)).select("word")
     fitted = Lattice(ranked, 1.0)
-    # a first round over a sixteenth of the words settles most; the last is over all of them
-    for words in (seen.filter(F.pmod(F.xxhash64("word"), F.lit(16)) == 0), seen):
-        expected = words.mapInArrow(partial(_expect, lattice=ship(sc, fitted)), "piece string, n double")
+    for _ in range(ROUNDS):
+        expected = seen.mapInArrow(partial(_expect, lattice=ship(sc, fitted)), "piece string, n double")
         found = {r["piece"]: r["n"] for r in expected.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # a row for each piece
         fitted = Lattice({p: found.get(p, 0.0) + 0.05 for p in ranked}, found.get("", 0.0) + 1.0)
     spelled = cut(counts.mapInArrow(partial(_spell, lattice=ship(sc, fitted)), "word string, c long, uses long, spelled double"))

@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__
 from factloom.llm.language_id import Filters, Letters, grams, languages
-from factloom.llm.lattice_lm import MARK, Lattice, lattice_scores, vocabulary
+from factloom.llm.lattice_lm import MARK, Lattice, Terms, lattice_scores, vocabulary
 from factloom.llm.mixing import hypergeometric, mix, mixed_documents, source_targets
 from factloom.llm.toxicity import toxicity
 
@@ -140,6 +140,23 @@ def test_source_targets(spark, sizes):
     assert got == pytest.approx(want)
 
 
+def test_both_rounds_are_over_every_word(docs):
+    """An unseen word's score against two rounds over the few distinct training words by hand."""
+    words, new = ["walking", "talked", "houses", "river", "stone"], "walked"
+    train, held = [i for i in range(40) if fold(i) != 1][:5], next(i for i in range(40) if fold(i) == 1)
+    ranked = {p: 1.0 / (r + 3) for r, (p, _) in enumerate(sorted(vocabulary(PIECES), key=lambda x: -x[1]))}
+    fitted = Lattice(ranked, 1.0)
+    for _ in range(2):
+        found = {}
+        for w in words:
+            fitted.expected(w, found)
+        fitted = Lattice({p: found.get(p, 0.0) + 0.05 for p in ranked}, len(words) + 1.0)
+    terms = Terms(10, 6)
+    got = {r["doc_id"]: r["score"] for r in lattice_scores(docs([*zip(train, words), (held, new)]), PIECES).collect()}
+    assert got[held] == pytest.approx(terms.model(0, fitted.log10(new)) + terms.model(5, None), abs=1e-9)
+    assert got[train[0]] == pytest.approx(terms.model(1, fitted.log10(words[0])) + terms.model(5, None), abs=1e-9)
+
+
 def test_hypergeometric_law(spark):
     from pyspark.sql import functions as F
 
