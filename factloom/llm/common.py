@@ -20,6 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def column(name: str) -> Column:
+    """The column of that name, whatever characters the name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame, name: str) -> Column:
+    """All columns of df as one struct, so that no other column can clash with theirs; unpacked() undoes it."""
+    return F.struct(*map(column, df.columns)).alias(name)
+
+
+def unpacked(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
+    """The named columns of the struct that whole() made."""
+    return df.select(*(F.col(name).getField(c).alias(c) for c in columns))
+
+
+def kind_of(df: DataFrame, name: str) -> str:
+    """A column's type in DDL."""
+    return df.schema[name].dataType.simpleString()
+
+
 def without_spaces(text: Column) -> Column:
     """The text with every character of SPACES deleted; null counts as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -36,12 +36,40 @@ def test_language_edges(docs):
     assert languages(docs([]).limit(0)).count() == 0
 
 
+def test_language_repeated_rows_ties_and_text_ids(spark, docs):
+    rows = [(i, "das ist ein Satz" if i % 2 else "this is a sentence") for i in range(40)]
+    df = docs(rows).selectExpr("'d' || doc_id as doc_id", "text", "if(doc_id % 2 = 1, 'de', 'en') as lang")
+    got = languages(df.unionByName(df)).toPandas()
+    assert len(got) == 80 and got.groupby("doc_id")[["lang_pred", "score"]].nunique().eq(1).all().all() and got.doc_id.str.startswith("d").all()
+    same = languages(spark.createDataFrame([(i, "ab cd", lang) for i in range(9) for lang in ("y", "x")], "doc_id long, text string, lang string")).toPandas()
+    assert set(same.lang_pred) == {"x"}  # of equal shares the first by name
+
+
+def test_language_all_of_many_languages_are_learned(spark):
+    """300 languages with words of their own, each with one row: none is left out."""
+    word = lambda i: "".join(chr(0x4E00 + (i * 7 + j) % 20000) for j in range(4))
+    rows = [(2 * k, f"{word(40 * k)} {word(40 * k + 13)}", f"l{k:03d}") for k in range(300)]
+    got = languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas().sort_values("doc_id")
+    learned = [not h for h in got.held_out]
+    assert (got.lang_pred[learned] == [f"l{k:03d}" for k, ok in enumerate(learned) if ok]).all()
+
+
+@pytest.mark.parametrize("text", ["one two " * 50, "abc", "ΑΣ' ΟΔΟΣ " * 20, "x" * 500 + " tail", " \n ", "日本 語" * 60])
+def test_grams_do_not_depend_on_steps(text):
+    letters = Letters()
+    whole, parts = (sorted(h for x in grams(text, letters, step) for h in x.tolist()) for step in (1 << 20, 16))
+    assert whole == parts
+
+
 def test_filters_hold_every_entry_and_correct_for_false_hits():
     rnd = np.random.default_rng(2)
     own = rnd.integers(-(1 << 62), 1 << 62, (70, 200))
-    f = Filters([f"l{i:02d}" for i in range(70)], [(int(h), i) for i in range(70) for h in own[i]])
-    hits = f.hits(own[69].view(np.uint64))
-    assert hits[69] == 200 and hits[:69].max() < 30
+    f = Filters([f"l{i:02d}" for i in range(70)], own.ravel(), np.repeat(np.arange(70), 200))
+    probe = np.r_[own[69], own[3][:50]].view(np.uint64)
+    masks = np.bitwise_and.reduce([f.masks[at] for at in f._positions(probe)])
+    by_hand = [int((masks[:, i // 8] >> (i % 8) & 1).sum()) for i in range(70)]
+    hits = f.hits(probe)
+    assert hits.tolist() == by_hand and hits[69] >= 200 and hits[3] >= 50 and np.delete(hits, [3, 69]).max() < 30
     assert sum(len(x) for x in grams("ab c", Letters())) == 3 + 5 + 3
 
 
