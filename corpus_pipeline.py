@@ -37,13 +37,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as an index of the documents: what it takes of each, and the drawn runs of words in their
     output shards (first_word, n_words, passes, extra, shard, position). A document of which nothing is
     taken stays in the table with taken 0, so that the mix can be accounted for."""
-    plan, blocks = mix(docs)
-    drawn = blocks.filter("passes + extra > 0 and words > 0").withColumn("times", F.col("passes") + F.col("extra"))
-    run = F.struct((F.col("block") * 128).cast("long").alias("first_word"), F.col("words").alias("n_words"), "times", "shard", "position")
-    taken = drawn.groupBy("id", "source", "copy", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_sort(F.collect_list(run)).alias("draws"))
-    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("id", "source", "copy", "size")]
-    met = plan.alias("p").join(taken.alias("t"), same, "left")
-    return met.select(F.col("p.id").alias("doc_id"), "p.source", "p.size", "p.source_size", "p.target", F.coalesce("t.taken", F.lit(0)).cast("long").alias("taken"), "t.draws")
+    words, times = F.col("words"), F.col("passes") + F.col("extra")
+    run = F.struct((F.col("block") * 128).cast("long").alias("first_word"), words.alias("n_words"), times.alias("times"), "shard", "position")
+    drawn = F.when((times > 0) & (words > 0), run)
+    by = mix(docs).groupBy("id", "source", "copy", "size", "source_size", "target")
+    taken = by.agg(F.sum(words * times).cast("long").alias("taken"), F.array_sort(F.collect_list(drawn)).alias("draws"))
+    return taken.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken", "draws")
 
 
 STAGES = [("toxicity", toxic), ("exact_dedup", exact), ("simhash_near_dedup", near), ("decontamination", decontaminated), ("mixing", mixed)]
