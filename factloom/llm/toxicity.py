@@ -7,7 +7,8 @@ rare expression so gets nearly the same probability from both. A text's ratio is
 in several ways (per word, per root of the length, its strongest words, and what is strong evidence), and a logistic regression fitted on
 labelled texts that the models have not seen turns these into a probability.
 
-The classifier learns from a bounded sample: about `per_class` rows of each label. Scoring reads every text whole.
+The classifier learns from a bounded sample: about `per_class` rows of each label. Every word and pair of the
+sample is in the models, under a 64-bit hash. Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from factloom.llm.common import cut, fold, ship, shipped, texts
+from factloom.llm.common import column, cut, fold, ship, shipped, texts, unpacked, whole
 from factloom.llm.decontamination import words_of
 
 DISCOUNT = 0.75
@@ -31,37 +32,71 @@ DISCOUNT = 0.75
 PEAK = 5
 #: What a word's log-likelihood ratio exceeds this by is strong evidence.
 STRONG = 2.0
-#: Words and pairs in fewer training texts are no strong evidence.
+#: Words in fewer training texts are no strong evidence; their ratios count in the sums alone.
 SUPPORT = 5
 #: Bands of a text's least shingle hashes, and hashes in a band; near copies agree in a band.
 BANDS, BAND = 6, 3
 FEATURES = 6
+#: What is counted of a word or pair.
+COUNTS = ("toxic", "ordinary", "in_toxic", "in_ordinary")
+#: Seed of the hashes of words, as Spark's own function has it.
+SEED = 42
+
+
+def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value or 0, found) for each wanted key; keys are sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.float32), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    found = keys[at] == wanted
+    return np.where(found, values[at], np.float32(0)), found
+
+
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A pair's hash from those of its words; spark_pair_hash() is the same in SQL."""
+    return (first << np.uint64(21) | first >> np.uint64(43)) ^ second
+
+
+def spark_pair_hash(first: str, second: str) -> Column:
+    a = F.xxhash64(first)
+    return F.shiftleft(a, 21).bitwiseOR(F.shiftrightunsigned(a, 43)).bitwiseXOR(F.xxhash64(second))
 
 
 class Model:
-    """Log-likelihood ratios of words and word pairs, and the regression's weights."""
-
-    def __init__(self, words: list[bytes], ratio: np.ndarray, texts_: np.ndarray, pairs: np.ndarray, pair_ratio: np.ndarray, unseen: float) -> None:
-        self.number = {w: i + 1 for i, w in enumerate(words)}
-        self.ratio = np.r_[unseen, ratio]
-        self.firm = np.r_[0.0, np.where(texts_ >= SUPPORT, ratio, 0.0)]
-        order = np.argsort(pairs)
-        self.pairs, self.pair_ratio = np.r_[pairs[order], np.int64(-1)], np.r_[pair_ratio[order], 0.0]
+    """Log-likelihood ratios of words and word pairs by hash, and the regression's weights.
+
+    words: hash, ratio, firm (the ratio when a text counts a word once, so that lines repeated in it do not weigh; 0 for
+    words of fewer than SUPPORT texts), back (log ratio of the two classes' backoff weights after the word);
+    pairs: hash, ratio. unseen: the ratio of a word in neither class.
+    """
+
+    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], unseen: float) -> None:
+        order = np.argsort(words["hash"])
+        self.keys = words["hash"][order]
+        self.ratio, self.firm, self.back = (words[c][order].astype(np.float32) for c in ("ratio", "firm", "back"))
+        order = np.argsort(pairs["hash"])
+        self.pairs, self.pair_ratio = pairs["hash"][order], pairs["ratio"][order].astype(np.float32)
+        self.unseen = unseen
         self.weights: np.ndarray | None = None
 
+    def ratios(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(log-likelihood ratio of each word after the one before it, firm evidence of each)."""
+        from xxhash import xxh64_intdigest
+
+        hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
+        alone, known = _look_up(self.keys, self.ratio, hashes)
+        alone = np.where(known, alone, np.float32(self.unseen)).astype(float)
+        after = alone.copy()
+        pair, met = _look_up(self.pairs, self.pair_ratio, pair_hash(hashes[:-1], hashes[1:]))
+        after[1:] = np.where(met, pair, alone[1:] + _look_up(self.keys, self.back, hashes[:-1])[0])
+        return after, _look_up(self.keys, self.firm, hashes)[0].astype(float)
+
     def features(self, text: str) -> list[float]:
         words = words_of(text)
         n = len(words)
         if not n:
             return [0.0] * FEATURES
-        get = self.number.get
-        ids = np.fromiter((get(w, 0) for w in words), np.int64, n)
-        ratio, firm = self.ratio[ids], self.firm[ids]
-        if n > 1 and len(self.pairs) > 1:
-            pair = ids[:-1] * len(self.ratio) + ids[1:]
-            at = np.searchsorted(self.pairs[:-1], pair)
-            known = (self.pairs[at] == pair) & (ids[:-1] > 0)
-            ratio[1:][known] = self.pair_ratio[at[known]]
+        ratio, firm = self.ratios(words)
         total = float(ratio.sum())
         top = np.partition(firm, n - PEAK)[-PEAK:] if n > PEAK else firm
         strong = float(np.maximum(firm - STRONG, 0).sum())
@@ -73,24 +108,26 @@ class Model:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(first, word, toxic, ordinary) counts; first is null for the word alone."""
-    held = (Counter(), Counter())
+    """(first, word, toxic, ordinary, in_toxic, in_ordinary): how often a word comes after a first one in the texts of each
+    label; first is null for the word alone, which also has the number of its texts."""
+    held, seen = (Counter(), Counter()), (Counter(), Counter())
 
     def out() -> pa.RecordBatch:
         keys = list(held[0].keys() | held[1].keys())
         pair = [k if isinstance(k, tuple) else (None, k) for k in keys]
-        columns = [[a and a.decode() for a, _ in pair], [b.decode() for _, b in pair], [held[1][k] for k in keys], [held[0][k] for k in keys]]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["first", "word", "toxic", "ordinary"])
+        columns = [[a and a.decode() for a, _ in pair], [b.decode() for _, b in pair], [held[1][k] for k in keys], [held[0][k] for k in keys], [seen[1][k] for k in keys], [seen[0][k] for k in keys]]
+        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["first", "word", *COUNTS])
 
     for batch in batches:
         for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
             words = words_of(text)
-            held[label].update(set(words))  # once for each text, so that lines repeated in it do not weigh
-            held[label].update(set(zip(words, words[1:], strict=False)))
+            held[label].update(words)
+            held[label].update(zip(words, words[1:], strict=False))
+            seen[label].update(set(words))
         if len(held[0]) + len(held[1]) > 400_000:
             yield out()
-            held = (Counter(), Counter())
+            held, seen = (Counter(), Counter()), (Counter(), Counter())
     yield out()
 
 
@@ -144,62 +181,69 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w
 
 
+def _arrays(df: DataFrame) -> dict[str, np.ndarray]:
+    """The columns of a model's table, hashes as unsigned numbers."""
+    found = df.toArrow()
+    return {c: found[c].to_numpy().view(np.uint64) if c == "hash" else found[c].to_numpy() for c in found.column_names}
+
+
 def _smoothed(own: Column, total: float, types: float, shared: Column) -> Column:
     total = max(total, 1.0)
     return F.greatest(own - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * max(types, 1.0) / total * shared
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000, max_words: int = 100_000, max_pairs: int = 100_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000) -> Model:
     """Fit on labelled rows outside the held-out fold: about per_class of each label, those whose hash
     of the id falls below that share; a fifth of them fits the regression, the rest the two models. Of
-    near copies with one label in the sample one is learned from, or their words would pass for toxic ones. The models keep
-    the max_words most frequent words of two texts or more, and the max_pairs most frequent pairs of three. Of several labels
-    for one id the largest counts; rows with a null id or label are left out."""
+    near copies with one label in the sample one is learned from, or their words would pass for toxic ones.
+    Of several labels for one id the largest counts; rows with a null id or label are left out."""
     sc = docs.sparkSession.sparkContext
-    own = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (fold(F.col(id_col), folds) != held_out_fold))
-    own = own.groupBy(F.col(id_col).alias("__id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("label"))
+    own = labels.select(column(id_col).alias("__id"), column(label_col).alias("label"), (fold(column(id_col), folds) != held_out_fold).alias("learn"))
+    own = own.filter(F.col("learn") & F.col("__id").isNotNull() & F.col("label").isNotNull())
+    own = own.groupBy("__id").agg(F.max((F.col("label") > 0).cast("int")).alias("label"))
     sizes = {r[0]: r[1] for r in own.groupBy("label").agg(F.count(F.lit(1))).collect()}
     at = F.shiftrightunsigned(F.xxhash64(F.lit("toxicity"), "__id"), 11) / F.lit(float(1 << 53))
     part = F.when(F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(5)) == 0, 1).otherwise(0)
     limit = F.when(F.col("label") == 1, per_class / max(1, sizes.get(1, 0))).otherwise(per_class / max(1, sizes.get(0, 0)))
     sample = own.filter(at < limit).select("__id", "label", part.alias("part"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "__id").select(F.col("__id").cast("long"), "text", "label", "part")  # 2 * per_class rows or so
-    rows = cut(rows)
+    rows = docs.select(column(id_col).alias("__id"), column(text_col).alias("text")).join(F.broadcast(sample), "__id")  # 2 * per_class rows or so
+    rows = cut(rows.select(F.xxhash64("__id").alias("__id"), "text", "label", "part"))
     keys = rows.select("__id", "label", "text").mapInArrow(_bands, "__id long, label int, " + ", ".join(f"k{i} long" for i in range(BANDS))).toArrow().to_pandas().sort_values("__id")
-    for i in range(BANDS):  # of texts of one label that share a band, the one with the smallest id stays
+    for i in range(BANDS):  # of texts of one label that share a band, the one with the smallest hashed id stays
         keys = keys.drop_duplicates([f"k{i}", "label"])
     stay = docs.sparkSession.createDataFrame(keys[["__id"]], "__id long")
     rows = rows.join(F.broadcast(stay), "__id").select("text", "label", "part")
 
-    counts = rows.filter("part = 0").select("text", "label").mapInArrow(_count, "first string, word string, toxic long, ordinary long")
-    counts = cut(counts.groupBy("first", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
+    counts = rows.filter("part = 0").select("text", "label").mapInArrow(_count, "first string, word string, " + ", ".join(f"{c} long" for c in COUNTS))
+    counts = cut(counts.groupBy("first", "word").agg(*(F.sum(c).alias(c) for c in COUNTS)))
     alone, pairs = counts.filter("first is null"), counts.filter("first is not null")
-    tokens_t, tokens_o, types_t, types_o = (float(x or 0) for x in alone.agg(F.sum("toxic"), F.sum("ordinary"), F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0)).first())
+    total = dict(zip(COUNTS, (float(x or 0) for x in alone.agg(*map(F.sum, COUNTS)).first()), strict=True))
+    types_t, types_o = (float(x or 0) for x in alone.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0)).first())
+    types = dict(zip(COUNTS, (types_t, types_o) * 2, strict=True))
     n_pairs = float(pairs.count())
 
     after = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("after"))
-    words = alone.select("word", "toxic", "ordinary").join(after, "word", "left").withColumn("shared", (F.coalesce("after", F.lit(0)) + 0.5) / max(1.0, n_pairs))
-    words = words.withColumn("p_t", _smoothed(F.col("toxic"), tokens_t, types_t, F.col("shared"))).withColumn("p_o", _smoothed(F.col("ordinary"), tokens_o, types_o, F.col("shared")))
-    words = cut(words.select("word", "toxic", "ordinary", "p_t", "p_o"))
-    top = words.filter("toxic + ordinary >= 2").orderBy((F.col("toxic") + F.col("ordinary")).desc(), "word").limit(max_words).select("word", F.log(F.col("p_t") / F.col("p_o")).alias("ratio"), (F.col("toxic") + F.col("ordinary")).alias("texts")).toArrow().to_pandas()
-
-    follow = pairs.groupBy("first").agg(*(f(c) for c in ("toxic", "ordinary") for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
-    often = pairs.filter("toxic + ordinary >= 3").orderBy((F.col("toxic") + F.col("ordinary")).desc(), "first", "word").limit(max_pairs)
-    met = often.join(follow, "first").join(words.select("word", "p_t", "p_o"), "word")
-
-    def pair_p(c: str, below: str) -> Column:
-        total = F.greatest(F.col(f"sum_{c}"), F.lit(1))
-        back = F.when(F.col(f"sum_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / total).otherwise(1.0)
-        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / total + back * F.col(below)
-
-    known_pairs = met.select("first", "word", F.log(pair_p("toxic", "p_t") / pair_p("ordinary", "p_o")).alias("ratio")).toArrow().to_pandas()
-    names = [w.encode() for w in top["word"]]
-    number = {w: i + 1 for i, w in enumerate(top["word"])}
-    keys = [(number.get(a), number.get(b), r) for a, b, r in known_pairs.itertuples(index=False)]
-    keys = [(a * (len(names) + 1) + b, r) for a, b, r in keys if a and b]
+    follow = pairs.groupBy(F.col("first").alias("word")).agg(*(f(c) for c in ("toxic", "ordinary") for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
+    words = alone.select("word", *COUNTS).join(after, "word", "left").join(follow, "word", "left").withColumn("shared", (F.coalesce("after", F.lit(0)) + 0.5) / max(1.0, n_pairs))
+    words = words.withColumns({f"p_{c}": _smoothed(F.col(c), total[c], types[c], F.col("shared")) for c in COUNTS})
+    for c in ("toxic", "ordinary"):  # what a first word leaves to single words, all of it where it was never followed
+        after = F.greatest(F.col(f"sum_{c}"), F.lit(1))
+        words = words.withColumn(f"back_{c}", F.when(F.col(f"sum_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / after).otherwise(1.0)).withColumn(f"total_{c}", after)
+    words = cut(words)
+    firm = F.when(F.col("in_toxic") + F.col("in_ordinary") >= SUPPORT, F.log(F.col("p_in_toxic") / F.col("p_in_ordinary"))).otherwise(0.0)
+    back = F.log(F.col("back_toxic") / F.col("back_ordinary"))
+    found = _arrays(words.select(F.xxhash64("word").alias("hash"), F.log(F.col("p_toxic") / F.col("p_ordinary")).cast("float").alias("ratio"), firm.cast("float").alias("firm"), back.cast("float").alias("back")))
+
+    first = words.select(F.col("word").alias("first"), "back_toxic", "back_ordinary", "total_toxic", "total_ordinary")
+    met = pairs.join(first, "first").join(words.select("word", "p_toxic", "p_ordinary"), "word")
+
+    def pair_p(c: str) -> Column:
+        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{c}") + F.col(f"back_{c}") * F.col(f"p_{c}")
+
+    known_pairs = _arrays(met.select(spark_pair_hash("first", "word").alias("hash"), F.log(pair_p("toxic") / pair_p("ordinary")).cast("float").alias("ratio")))
     # a word that was never seen has its shared share from both sides
-    unseen = math.log((max(types_t, 1) / max(tokens_t, 1)) / (max(types_o, 1) / max(tokens_o, 1)))
-    model = Model(names, top["ratio"].to_numpy(float), top["texts"].to_numpy(), np.array([k for k, _ in keys], np.int64), np.array([r for _, r in keys], float), unseen)
+    unseen = math.log((max(types_t, 1) / max(total["toxic"], 1)) / (max(types_o, 1) / max(total["ordinary"], 1)))
+    model = Model(found, known_pairs, unseen)
 
     seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=ship(sc, model)), ", ".join(f"f{i} double" for i in range(FEATURES)) + ", label int").toArrow().to_pandas()
     y = seen["label"].to_numpy(float)
@@ -217,10 +261,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The score uses the text alone. A null text counts as empty, and an empty text, or one without a
     letter or digit, gets the score of no evidence. Without labels of both kinds every score is the
-    share of toxic labels. Repeated rows get equal scores.
+    share of toxic labels. Repeated rows get equal scores; an empty table gives an empty result.
     """
     model = train(docs, labels, id_col, text_col, label_col, folds, held_out_fold, **options)
-    rows = docs.select(F.col(id_col).alias("id"), (fold(F.col(id_col), folds) == held_out_fold).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), (fold(column(id_col), folds) == held_out_fold).alias("held_out"), column(text_col).alias("text"))
     scored = rows.mapInArrow(partial(_score, model=ship(docs.sparkSession.sparkContext, model)), _with_score(rows))
     return scored.select(F.col("id").alias(id_col), "held_out", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
@@ -228,6 +272,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs with a score below 0.5, with all their columns."""
     model = train(docs, labels, id_col, text_col, **options)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text_col).alias("text"))
+    rows = docs.select(whole(docs, "row"), column(text_col).alias("text"))
     scored = rows.mapInArrow(partial(_score, model=ship(docs.sparkSession.sparkContext, model)), _with_score(rows))
-    return scored.filter("__score < 0.5").select("__row.*")
+    return unpacked(scored.filter("__score < 0.5"), "row", docs.columns)

@@ -13,7 +13,7 @@ from factloom.llm.language_id import Filters, Letters, grams, languages
 from factloom.llm.lattice_lm import MARK, Lattice, Terms, lattice_scores, vocabulary
 from factloom.llm import mixing
 from factloom.llm.mixing import hypergeometric, mix, mixed_documents, source_targets
-from factloom.llm.toxicity import toxicity
+from factloom.llm.toxicity import drop_toxic, toxicity, train
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -91,6 +91,64 @@ def test_toxicity_separates_planted_words(spark, docs):
     assert none.score.between(0, 1).all() and none.predicted.eq(0).all()
 
 
+def kneser_ney_by_hand(texts):
+    """{(first or None, word): ratio of the two classes' probabilities} and {word: firm evidence}; texts: (words, label)."""
+    d, alone, pairs, inside = 0.75, (Counter(), Counter()), (Counter(), Counter()), (Counter(), Counter())
+    for words, y in texts:
+        alone[y].update(words)
+        inside[y].update(set(words))
+        pairs[y].update(zip(words, words[1:], strict=False))
+    every = pairs[0].keys() | pairs[1].keys()
+    after = Counter(b for _, b in every)
+    shared = {w: (after[w] + 0.5) / len(every) for w in alone[0].keys() | alone[1].keys()}
+
+    def one(counts, y, w):
+        n = sum(counts[y].values())
+        return max(counts[y][w] - d, 0) / n + d * len(alone[y]) / n * shared[w]
+
+    def two(y, a, w):
+        n = sum(c for (x, _), c in pairs[y].items() if x == a)
+        types = sum(x == a for x, _ in pairs[y])
+        return max(pairs[y][a, w] - d, 0) / n + d * types / n * one(alone, y, w) if n else one(alone, y, w)
+
+    ratio = {(None, w): math.log(one(alone, 1, w) / one(alone, 0, w)) for w in shared}
+    ratio |= {(a, w): math.log(two(1, a, w) / two(0, a, w)) for a in shared for w in shared}
+    firm = {w: math.log(one(inside, 1, w) / one(inside, 0, w)) if inside[0][w] + inside[1][w] >= 5 else 0.0 for w in shared}
+    return ratio, firm
+
+
+def test_toxicity_ratios_by_hand(spark, docs):
+    """Every word and pair of the sample, the rare ones too, and pairs that were never seen."""
+    rnd = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rnd.choice(names, 12, p=np.arange(40, 0, -1) / 820))) for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = train(docs(rows), labels, per_class=10_000)
+    parts = {r[0]: r[1] for r in spark.createDataFrame(rows, "id long, t string").selectExpr("id", "pmod(xxhash64('part', id), 5) <> 0").collect()}
+    learned = [([w.encode() for w in t.split()], int(i % 3 == 0)) for i, t in rows if fold(i) != 0 and parts[i]]
+    ratio, firm = kneser_ney_by_hand(learned)
+    words = sorted(firm)
+    assert len(model.keys) == len(words) and len(model.pairs) == len({p for t, _ in learned for p in zip(t, t[1:], strict=False)})
+    for a in words:
+        for b in words:
+            after, own = model.ratios([a, b])
+            assert after == pytest.approx([ratio[None, a], ratio[a, b]], abs=1e-4) and own == pytest.approx([firm[a], firm[b]], abs=1e-4)
+    assert model.ratios([b"never", words[0]])[0] == pytest.approx([model.unseen, ratio[None, words[0]]], abs=1e-4)
+
+
+def test_toxicity_edges(spark, docs):
+    plain = [(i, f"calm words number {i % 9} and more of them {i}") for i in range(60)] + [(100 + i, f"you idiot number {i % 9} and more of them {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in plain], "doc_id long, toxic int")
+    df = docs(plain)
+    twice = toxicity(df.unionByName(df), labels).toPandas()
+    assert len(twice) == 240 and twice.groupby("doc_id").score.nunique().eq(1).all()
+    assert toxicity(docs([]).limit(0), labels).count() == 0
+    odd = df.selectExpr("*", "1 as label", "2 as row", "3 as `a.b`", "4 as __score", "5 as __id")
+    kept = drop_toxic(odd, labels)
+    assert kept.columns == odd.columns and {r["a.b"] for r in kept.collect()} == {3}
+    assert drop_toxic(docs([(None, None), (None, ""), (1, "calm words")]), labels.limit(0)).count() == 3
+
+
 def test_toxicity_repeatable(spark, small):
     d, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     a, b = (toxicity(d, labels).orderBy("doc_id").toPandas() for _ in range(2))
