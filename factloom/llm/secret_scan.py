@@ -1,9 +1,11 @@
 """Secrets in texts: three patterns, and random strings found by their token efficiency.
 
 Ordinary words cost few tokens for their length under a trained vocabulary; keys and passwords cost many.
-A candidate is a run of key characters that mixes letters and digits, or cases. Digests (hexadecimal of a known
-length), UUIDs, numbers, dates and plain identifiers are no candidates. A candidate with fewer than
-`ratio` characters per token is a span of kind `random`, unless a base span already covers it.
+What is known for something else is blanked first: scheme and host of a URL, UUIDs, digests (hexadecimal of a known
+length). Candidates are then the runs of key characters, over `-` and `/` too, and the parts between these; numbers
+and dates are none. A candidate with fewer than `ratio` characters per token is a span of kind `random`, unless a base
+span already covers it. Random letters of one case cost fewer tokens than mixed ones, and rare words more than
+frequent ones, so strings that look like one word have a lower limit of their own.
 """
 
 from __future__ import annotations
@@ -16,9 +18,8 @@ from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from factloom.llm.common import texts
+from factloom.llm.common import column, kind_of, texts
 
 #: The kinds in the order in which equal starts are listed, and their patterns.
 KINDS = ("assign", "access", "hex", "random")
@@ -27,9 +28,15 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 DIGESTS = {32, 40, 56, 64, 96, 128}
-RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+#: What is blanked before the token test: scheme and host of a URL, UUIDs, digests.
+URL = re.compile(r"\b[A-Za-z][A-Za-z0-9+.-]*://(?:(?=[^\s/@]*@)|[A-Za-z0-9.-]*)")
+HOST = re.compile(r"(?<=@)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE)
+DIGEST = re.compile(r"(?<![A-Za-z0-9])(?:" + "|".join(f"[0-9a-f]{{{n}}}" for n in sorted(DIGESTS, reverse=True)) + r")(?![A-Za-z0-9])", re.IGNORECASE)
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 PART = re.compile(r"[A-Za-z0-9+_=]{16,}")
+NUMBER = re.compile(r"[0-9+/_=-]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 Span = tuple[int, int, str]
 
@@ -43,18 +50,6 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers made of words, which are no secrets."""
-    low = run.lower()
-    if len(run) in DIGESTS and re.fullmatch(r"[0-9a-f]+", low):
-        return True
-    if UUID.fullmatch(run) or re.fullmatch(r"[0-9.+/_=-]+", run):
-        return True
-    letters = re.sub(r"[^A-Za-z]", "", run)
-    mixed = any(c.isdigit() for c in run) or re.search(r"[a-z][A-Z]|[A-Z]{2}[a-z]", run)
-    return not letters or not mixed
-
-
 class TokenRatio:
     """Characters per token of a string under a tiktoken vocabulary file."""
 
@@ -69,24 +64,35 @@ class TokenRatio:
         return len(run) / max(1, len(self.encode(run)))
 
 
-def random_spans(text: str, ratio: TokenRatio, below: float) -> list[Span]:
-    """Spans of kind random: parts of key-like runs whose characters per token are below the limit."""
+def _blank(m: re.Match) -> str:
+    return " " * (m.end() - m.start())
+
+
+def random_spans(text: str, ratio: TokenRatio, below: float, word_below: float) -> list[Span]:
+    """Spans of kind random, in order: runs whose characters per token are below the limit, or else their parts."""
+    if not RUN.search(text):
+        return []
+    for known in (URL, HOST, UUID, DIGEST):
+        text = known.sub(_blank, text)
+
+    def is_random(s: str) -> bool:
+        return not NUMBER.fullmatch(s) and ratio(s) < (word_below if WORD.fullmatch(s) else below)
+
     out = []
     for run in RUN.finditer(text):
-        whole = run.group()
-        if UUID.search(whole) or "://" in text[max(0, run.start() - 8) : run.start() + 8]:
+        if is_random(run.group()):
+            out.append((run.start(), run.end(), "random"))
             continue
-        for part in PART.finditer(whole):
-            s = part.group()
-            if not is_known(s) and ratio(s) < below:
+        for part in PART.finditer(run.group()):
+            if part.end() - part.start() < run.end() - run.start() and is_random(part.group()):
                 out.append((run.start() + part.start(), run.start() + part.end(), "random"))
     return out
 
 
-def scan(text: str, ratio: TokenRatio, below: float = 2.2) -> tuple[list[Span], list[Span]]:
+def scan(text: str, ratio: TokenRatio, below: float = 2.1, word_below: float = 1.85) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of one whole text."""
     base = base_spans(text)
-    extra = [s for s in random_spans(text, ratio, below) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
+    extra = [s for s in random_spans(text, ratio, below, word_below) if not any(b[0] < s[1] and s[0] < b[1] for b in base)]
     return base, sorted(base + extra, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -94,10 +100,10 @@ def said(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, below: float) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, below: float, word_below: float) -> Iterator[pa.RecordBatch]:
     ratio = TokenRatio(path, pattern)
     for batch in batches:
-        rows = [scan(t, ratio, below) for t in texts(batch)]
+        rows = [scan(t, ratio, below, word_below) for t in texts(batch)]
         n = {k: pa.array([sum(s[2] == k for s in every) for _, every in rows], pa.int64()) for k in KINDS}
         yield pa.RecordBatch.from_arrays(
             [batch.column("id"), *n.values(), pa.array([sha256(said(base).encode()).hexdigest() for base, _ in rows]), pa.array([said(every) for _, every in rows])],
@@ -105,15 +111,15 @@ def _scan(batches: Iterator[pa.RecordBatch], path: str, pattern: str, below: flo
         )
 
 
-def secret_spans(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", below: float = 2.2) -> DataFrame:
+def secret_spans(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", below: float = 2.1, word_below: float = 1.85) -> DataFrame:
     """One row per row of docs: id, n_assign, n_access, n_hex, n_random, base_sha256, spans.
 
     vocabulary_path is a tiktoken rank file, pattern its splitting pattern, below the characters per
-    token under which a string counts as random. Spans are kind:start:end in code points of the whole
-    text. A null text counts as empty: no spans, the digest of the empty string. Rows that repeat are
-    scanned each.
+    token under which a string counts as random, word_below the same for letters that look like one word. Spans are
+    kind:start:end in code points of the whole text. A null text counts as empty: no spans, the digest of
+    the empty string. Rows that repeat are scanned each; ids of any type, null too, are passed through.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
-    out = rows.mapInArrow(partial(_scan, path=vocabulary_path, pattern=pattern, below=below), f"id long, {kinds}, base_sha256 string, spans string")
+    out = rows.mapInArrow(partial(_scan, path=vocabulary_path, pattern=pattern, below=below, word_below=word_below), f"id {kind_of(rows, 'id')}, {kinds}, base_sha256 string, spans string")
     return out.withColumnRenamed("id", id_col)

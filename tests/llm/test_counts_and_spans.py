@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -161,3 +162,54 @@ def test_benchmark_in_blocks_gives_the_same(spark, small):
     cols = ["n_words", "starts", "ends", "items"]
     whole = find_items(d, b).select("__row.doc_id", *cols).orderBy("doc_id").collect()
     assert find_items(d, b, block_words=500).select("__row.doc_id", *cols).orderBy("doc_id").collect() == whole
+
+
+PLANTED = {
+    "lower": (string.ascii_lowercase, 24, 0.8),
+    "upper": (string.ascii_uppercase, 24, 0.9),
+    "lower and digits": (string.ascii_lowercase + string.digits, 24, 0.95),
+    "mixed": (string.ascii_letters + string.digits, 20, 0.97),
+    "base64": (string.ascii_letters + string.digits + "+/", 32, 0.97),
+    "base64url": (string.ascii_letters + string.digits + "-_", 32, 0.97),
+}
+
+
+@pytest.mark.parametrize("kind", PLANTED)
+def test_random_strings_are_found_by_their_tokens(kind):
+    """Recall on planted strings of six kinds: in prose, in a URL's path, after a UUID."""
+    letters, n, least = PLANTED[kind]
+    ratio, rnd = TokenRatio(RANKS, public_tokenizers.PATTERN), random.Random(kind)
+    found = 0
+    for i in range(300):
+        key = "".join(rnd.choice(letters) for _ in range(n))
+        before = ("the value is ", "see https://hooks.example.com/services/", "entry 123e4567-e89b-12d3-a456-426614174000 ")[i % 3]
+        _, spans = scan(f"{before}{key} in the notes", ratio)
+        found += any(a <= len(before) and b >= len(before) + n for a, b, k in spans if k == "random")
+    assert found >= least * 300
+
+
+def test_known_strings_are_no_secrets(spark):
+    ratio = TokenRatio(RANKS, public_tokenizers.PATTERN)
+    known = ["https://www.example.com/articles/2024/01/some-long-title-of-a-page", "123e4567-e89b-12d3-a456-426614174000", "2024-01-02-12-30-45-0001", "getElementsByTagNameFromDocument", "D41D8CD98F00B204E9800998ECF8427E", "internationalization", "Donaudampfschifffahrtsgesellschaft", "MAX_NUMBER_OF_OPEN_CONNECTIONS"]
+    for text in known:
+        assert [s for s in scan(f"look at {text} there", ratio)[1] if s[2] == "random"] == [], text
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("text is not null")
+    assert sum(s[2] == "random" for r in df.select("text").collect() for s in scan(r["text"], ratio)[1]) <= 2
+
+
+def test_secret_scan_edges(docs):
+    key = "x7Qp2LmZ9vRt4KsW8yBn"
+    long = "plain words " * 20000 + key
+    rows = docs([(1, long), (None, key), (None, None), (1, long)])
+    got = [r.asDict() for r in secret_spans(rows, RANKS, public_tokenizers.PATTERN).collect()]
+    assert sorted(str(r["spans"]) for r in got) == sorted([f"random:240000:{240000 + len(key)}"] * 2 + [f"random:0:{len(key)}", ""])
+    assert secret_spans(docs([]).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    named = secret_spans(rows.selectExpr("concat('d', doc_id) as doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    assert dict(named.dtypes)["doc_id"] == "string"
+
+
+def test_token_counts_repeated_rows_and_ids(docs):
+    rows = docs([(1, "a b"), (1, "a b"), (None, "a b"), (None, None)])
+    got = sorted((r["n_tokens"], str(r["doc_id"])) for r in token_counts(rows, WORDS).collect())
+    assert got == [(0, "None"), (2, "1"), (2, "1"), (2, "None")]
+    assert {r["doc_id"] for r in token_counts(rows.selectExpr("'x' as doc_id", "text"), WORDS).collect()} == {"x"}
