@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import texts
+from factloom.llm.common import column, kind_of, texts
 
 
 class PieceTable:
@@ -103,8 +103,9 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Tokens are those of Tokenizer.from_file(tokenizer_path).encode(text, add_special_tokens=False) over
     the whole text; special strings inside a text are one token each, as is the library's default. A null
-    text counts as empty: no bytes, no tokens. Repeated rows are counted each; ids are passed through.
+    text counts as empty: no bytes, no tokens. Repeated rows are counted each; ids of any type, null too,
+    are passed through.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    out = rows.mapInArrow(partial(_counts, path=tokenizer_path, group=group), "id long, n_bytes long, n_tokens long")
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    out = rows.mapInArrow(partial(_counts, path=tokenizer_path, group=group), f"id {kind_of(rows, 'id')}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
