@@ -2,39 +2,41 @@
 
 A word is a path through a lattice: each edge is a piece of the vocabulary, at the start one that begins
 a word, and the path ends with a stop. A forward recursion in log space adds up the probabilities of all
-paths. The vocabulary's own scores (they order its pieces; rank r counts as 1 / (r + 3)) weight a first
-lattice; expected counts over the distinct training words then give the piece probabilities (two EM
-rounds, each over all of them). A second kind of edge spans a whole word that was seen in training, with its discounted share of
-the training tokens; what the discounts free goes to the piece paths. The sum over both is the word's
-probability, and a text's is the product over its words and its end.
-
-What is gathered from the corpus grows with it: a row for each distinct word. Words that make up 1 in
-`heavy` tokens or more, at most `heavy` of them, are looked up in each task; all others meet their
-counts in a join, where no key can be hot.
+paths. The vocabulary's own scores (they order its pieces; rank r counts as 1 / (r + 3)) weight the first
+lattice; expected counts over all distinct training words then give the piece probabilities (one EM round).
+lattice_score is a text's probability by these pieces alone: the product over its words and its end.
+
+A vocabulary has a fixed number of weights, whatever the corpus. So that what is learned grows with the
+corpus, `score` has a second kind of edge, which spans a whole word that was seen in training, with its discounted
+share of the training tokens; what the discounts free goes to the piece paths. There is a row for each distinct word.
+Words that make up 1 in `heavy` tokens or more, at most `heavy` of them, are looked up in each task; all
+others meet their counts in a join, where no key can be hot.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, fold, ship, shipped, texts
+from factloom.llm.common import column, cut, fold, kind_of, ship, shipped, stable, texts
 
 #: The key under which the ends of texts are counted; no word holds a space.
 END = " "
 #: Distinct words that a task counts before it passes the counts on.
 FLUSH = 300_000
 MARK = "▁"
-#: EM rounds over the distinct training words.
-ROUNDS = 2
+#: Fixed value: how the vocabulary names its byte pieces.
+BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 DISCOUNT = 0.75
+TEN = math.log(10)
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -46,91 +48,89 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(sp.id_to_piece(i), sp.get_score(i)) for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
 
 
+def _sum(logs: list[float]) -> float:
+    """log of the sum of what the logs stand for."""
+    if len(logs) == 1:
+        return logs[0]
+    top = max(logs)
+    return top + math.log(sum([math.exp(x - top) for x in logs]))
+
+
 class Lattice:
-    """Piece probabilities and the recursions over a word's segmentations.
+    """Piece probabilities and the recursions over a word's segmentations, all in log space.
 
     weights: piece -> positive weight; the pieces that begin with the mark start a word and share a
     probability of 1, and so do all others together with the stop. A character that is in no piece is
-    spelled in its UTF-8 byte pieces.
+    spelled in its UTF-8 byte pieces, which stand for nothing else.
     """
 
     def __init__(self, weights: dict[str, float], stop: float) -> None:
         first = sum(w for p, w in weights.items() if p.startswith(MARK))
         later = stop + sum(w for p, w in weights.items() if not p.startswith(MARK))
-        self.p = {p: w / (first if p.startswith(MARK) else later) for p, w in weights.items()}
-        self.stop = stop / later
-        #: every prefix of a piece -> the piece's probability, 0 if the prefix itself is none
-        self.prefixes = {p[:i]: 0.0 for p in self.p for i in range(1, len(p))} | self.p
-
-    def _bytes(self, ch: str) -> list[str]:
-        return [f"<0x{b:02X}>" for b in ch.encode()]
+        self.p = {p: math.log(w / (first if p.startswith(MARK) else later)) for p, w in weights.items()}
+        self.stop = math.log(stop / later)
+        own = {p: q for p, q in self.p.items() if not BYTE.fullmatch(p)}
+        #: every prefix of a piece -> the piece's log probability, None if the prefix itself is none
+        self.prefixes = dict.fromkeys((p[:i] for p in own for i in range(1, len(p)))) | own
+        self.byte = [self.p.get(f"<0x{b:02X}>", -math.inf) for b in range(256)]
 
     def edges(self, word: str) -> list[tuple[int, int, float]]:
-        """(start, end, probability), by start. An edge over one character that is no piece stands for
+        """(start, end, log probability), by start. An edge over one character that is no piece stands for
         its bytes. A mark inside the word is a character like others, which only bytes can spell."""
-        text, get, out = MARK + word, self.prefixes.get, []
+        text, prefixes, out = MARK + word, self.prefixes, []
         n = len(text)
         for start in range(n):
-            if start and (text[start] == MARK or not get(text[start])):
-                out.append((start, start + 1, math.prod(self.p[b] for b in self._bytes(text[start]))))
+            if start and (text[start] == MARK or prefixes.get(text[start]) is None):
+                out.append((start, start + 1, sum(self.byte[b] for b in text[start].encode())))
                 if text[start] == MARK:
                     continue
             for end in range(start + 1, n + 1):
-                q = get(text[start:end])
-                if q is None:
+                piece = text[start:end]
+                if piece not in prefixes:
                     break
-                if q:
+                if (q := prefixes[piece]) is not None:
                     out.append((start, end, q))
         return out
 
-    def forward(self, n: int, edges: list[tuple[int, int, float]]) -> tuple[list[float], list[float]]:
-        """(a, offset): the summed probability of all paths to position i is a[i] * exp(offset[i]). The
-        offsets stay 0 unless a sum would leave the range of numbers."""
-        a = [0.0] * (n + 1)
-        a[0] = 1.0
-        for start, end, q in edges:
-            a[end] += a[start] * q
-        if a[n] > 1e-250:
-            return a, [0.0] * (n + 1)
-        log = [-math.inf] * (n + 1)
-        log[0] = 0.0
+    def forward(self, n: int, edges: list[tuple[int, int, float]]) -> list[float]:
+        """Log of the summed probability of all paths to each position."""
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        log, at = [-math.inf] * (n + 1), -1
+        into[0].append(0.0)
         for start, end, q in edges:
-            x, y = log[end], log[start] + math.log(q)
-            log[end] = y if x == -math.inf else max(x, y) + math.log1p(math.exp(-abs(x - y)))
-        return [float(x > -math.inf) for x in log], [x if x > -math.inf else 0.0 for x in log]
+            if start != at:  # edges come by start, so all that lead here are known
+                at, log[start] = start, _sum(into[start]) if into[start] else -math.inf
+            into[end].append(log[at] + q)
+        log[n] = _sum(into[n])
+        return log
 
     def log10(self, word: str) -> float:
         """log10 of the word's probability as a product of pieces and the stop, over all segmentations."""
         n = len(word) + 1
-        a, offset = self.forward(n, self.edges(word))
-        return (math.log(a[n]) + offset[n] + math.log(self.stop)) / math.log(10)
+        return (self.forward(n, self.edges(word))[n] + self.stop) / TEN
 
-    def expected(self, word: str, into: dict[str, float], longest: int = 24) -> None:
-        """Add the expected number of uses of each piece in the word. Longer words are cut into stretches
-        for this count, so that its cost is even and no product leaves the range of numbers."""
-        for at in range(0, len(word), longest):
-            self._expected(word[at : at + longest], into)
-
-    def _expected(self, word: str, into: dict[str, float]) -> None:
+    def expected(self, word: str, into: dict[str, float]) -> None:
+        """Add the expected number of uses of each piece in the word."""
         text, n = MARK + word, len(word) + 1
         edges = self.edges(word)
-        a, offset = self.forward(n, edges)
-        b = [0.0] * (n + 1)
-        b[n] = 1.0
-        scaled = any(offset)
-        if not scaled:
-            b[n] /= a[n]
+        ahead = self.forward(n, edges)
+        out: list[list[float]] = [[] for _ in range(n + 1)]
+        back, whole = [-math.inf] * (n + 1), ahead[n]
+        out[n].append(0.0)
+        back[n] = 0.0
         for start, end, q in reversed(edges):
-            # in the scaled case b is relative to the sum of all paths to its position
-            share = q * b[end] if not scaled else q * b[end] * math.exp(offset[start] - offset[end])
-            b[start] += share
-            if use := a[start] * share:
+            if back[end] == -math.inf and out[end]:
+                back[end] = _sum(out[end])
+            rest = q + back[end]
+            out[start].append(rest)
+            if (use := math.exp(ahead[start] + rest - whole)) > 0:
                 piece = text[start:end]
-                if piece in self.p and (start == 0 or piece[0] != MARK):
+                if self.prefixes.get(piece) is not None and (start == 0 or piece[0] != MARK):
                     into[piece] = into.get(piece, 0.0) + use
                 else:
-                    for x in self._bytes(piece):
-                        into[x] = into.get(x, 0.0) + use
+                    for b in piece.encode():
+                        name = f"<0x{b:02X}>"
+                        into[name] = into.get(name, 0.0) + use
 
 
 def lower_words(text: str) -> list[bytes]:
@@ -202,25 +202,28 @@ def _documents(batches: Iterator[pa.RecordBatch], heavy: object) -> Iterator[pa.
 
     table, end = shipped(heavy)
     number = TaskContext.get().partitionId() << 40
-    doc_type = pa.struct([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
+    sums_type = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("pieces", pa.float64())]
     names = ["rid", "word", "freq", "doc"]
     get = table.get
     for batch in batches:
+        doc_type = pa.struct([("id", batch.column("id").type), ("held_out", pa.bool_()), *sums_type])
         words, freq, rare, sums = [], [], [], []
         for text in texts(batch):
             counts = Counter(lower_words(text))
-            tokens, known, b, m, before = 1, end[0], end[1], end[2], len(words)
+            tokens, before = 1, len(words)
+            known, b, m, p = end
             for w, n in counts.items():
                 tokens += n
                 if (t := get(w)) is not None:
                     known += t[0] * n
                     b += t[1] * n
                     m += t[2] * n
+                    p += t[3] * n
                 else:
                     words.append(w)
                     freq.append(n)
             rare.append(len(words) - before)
-            sums.append((tokens, known, b, m))
+            sums.append((tokens, known, b, m, p))
         numbers = np.arange(number, number + batch.num_rows, dtype=np.int64)
         number += batch.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, rare)), pa.array(words, pa.binary()).cast(pa.string()), pa.array(freq, pa.int64()), pa.nulls(len(words), doc_type)], names)
@@ -231,17 +234,20 @@ def _documents(batches: Iterator[pa.RecordBatch], heavy: object) -> Iterator[pa.
 
 
 def lattice_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out_fold: int = 1, heavy: int = 100_000) -> DataFrame:
-    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score.
 
     The rows whose crc32(id as text) modulo folds is not held_out_fold are learned from. A text's tokens
     are its words (ASCII letters lower-cased, separated by common.SPACES) and one end. base_score sums
-    log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's log10 probability of the text. A null
-    text counts as empty: one token, the end. A null id counts as the empty text for the fold. Repeated
+    log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's log10 probability of the text, lattice_score that of its
+    segmentations into the vocabulary's pieces alone. A null text counts as empty: one token, the end. A
+    null id counts as the empty text for the fold; ids of any type are passed through. Repeated
     rows are learned from and scored each. With no rows to learn from N is 0 and every c is 0.
+
+    Rows are numbered as they are read; docs that are not read from files are written first, so that a
+    task that runs again numbers them alike.
     """
     sc = docs.sparkSession.sparkContext
-    held = fold(F.col(id_col), folds) == held_out_fold
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held.alias("held_out"))
+    rows = stable(docs.select(column(id_col).alias("id"), column(text_col).alias("text"))).withColumn("held_out", fold(F.col("id"), folds) == held_out_fold)
     part = rows.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_count, "word string, c long, uses long")
     counts = cut(part.groupBy("word").agg(F.sum("c").alias("c"), F.sum("uses").alias("uses")))
     sums = counts.agg(F.sum("c"), F.sum(F.when(F.col("c") > 0, 1)), F.sum("uses"), F.sum(F.when(F.col("word") == END, F.col("c")))).first()
@@ -251,19 +257,17 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
     pieces = vocabulary(vocabulary_path)
     ranked = {p: 1.0 / (r + 3) for r, (p, _) in enumerate(sorted(pieces, key=lambda x: -x[1]))}
     seen = counts.filter((F.col("c") > 0) & (F.col("word") != END)).select("word")
-    fitted = Lattice(ranked, 1.0)
-    for _ in range(ROUNDS):
-        expected = seen.mapInArrow(partial(_expect, lattice=ship(sc, fitted)), "piece string, n double")
-        found = {r["piece"]: r["n"] for r in expected.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # a row for each piece
-        fitted = Lattice({p: found.get(p, 0.0) + 0.05 for p in ranked}, found.get("", 0.0) + 1.0)
+    expected = seen.mapInArrow(partial(_expect, lattice=ship(sc, Lattice(ranked, 1.0))), "piece string, n double")
+    found = {r["piece"]: r["n"] for r in expected.groupBy("piece").agg(F.sum("n").alias("n")).collect()}  # a row for each piece
+    fitted = Lattice({p: found.get(p, 0.0) + 0.05 for p in ranked}, found.get("", 0.0) + 1.0)
     spelled = cut(counts.mapInArrow(partial(_spell, lattice=ship(sc, fitted)), "word string, c long, uses long, spelled double"))
 
     often = spelled.filter((F.col("uses") * heavy >= uses) & (F.col("word") != END)).select("word", "c", "spelled").toLocalIterator()
-    table = {r["word"].encode(): (int(r["c"] > 0), terms.base(r["c"]), terms.model(r["c"], r["spelled"])) for r in often}
-    end = (int(ends > 0), terms.base(ends), terms.model(ends, None))
+    table = {r["word"].encode(): (int(r["c"] > 0), terms.base(r["c"]), terms.model(r["c"], r["spelled"]), r["spelled"]) for r in often}
+    end = (int(ends > 0), terms.base(ends), terms.model(ends, None), terms.model(ends, None))
     parts = rows.mapInArrow(
         partial(_documents, heavy=ship(sc, (table, end))),
-        "rid long, word string, freq long, doc struct<id:long,held_out:boolean,n_tokens:long,n_known:long,base:double,model:double>",
+        f"rid long, word string, freq long, doc struct<id:{kind_of(rows, 'id')},held_out:boolean,n_tokens:long,n_known:long,base:double,model:double,pieces:double>",
     )
     n, free = float(max(1, tokens)), DISCOUNT * distinct / max(1, tokens) if tokens else 1.0
     whole = F.greatest(F.lit(0.0), F.col("c") - DISCOUNT) / n
@@ -275,15 +279,21 @@ def lattice_scores(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
         (F.col("c") > 0).cast("int").alias("known"),
         F.log10((F.col("c") + 0.5) / (tokens + 0.5 * (distinct + 1))).alias("base"),
         model.alias("model"),
+        F.col("spelled").alias("pieces"),
     )
     met = parts.join(rare, "word", "left")
+
+    def total(name: str) -> Column:
+        return F.max(f"doc.{name}") + F.coalesce(F.sum(rare[name] * F.col("freq")), F.lit(0.0))
+
     score = met.groupBy("rid").agg(
         F.max("doc.id").alias(id_col),
         F.max("doc.held_out").alias("held_out"),
         F.max("doc.n_tokens").alias("n_tokens"),
         (F.max("doc.n_known") + F.coalesce(F.sum(F.col("known") * F.col("freq")), F.lit(0))).cast("long").alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.max("doc.base") + F.coalesce(F.sum(rare["base"] * F.col("freq")), F.lit(0.0))).alias("base_score"),
-        (F.max("doc.model") + F.coalesce(F.sum(rare["model"] * F.col("freq")), F.lit(0.0))).alias("score"),
+        total("base").alias("base_score"),
+        total("model").alias("score"),
+        total("pieces").alias("lattice_score"),
     )
     return score.drop("rid")

@@ -160,10 +160,11 @@ def by_hand(lattice, word):
 
     def rest(i):
         if i == len(text):
-            return lattice.stop
-        total = sum(lattice.p[text[i:j]] * rest(j) for j in range(i + 1, len(text) + 1) if text[i:j] in lattice.p and (i == 0) == (text[i] == MARK))
-        if i and (text[i] == MARK or text[i] not in lattice.p):
-            total += math.prod(lattice.p[b] for b in lattice._bytes(text[i])) * rest(i + 1)
+            return math.exp(lattice.stop)
+        whole = lambda piece: piece in lattice.p and not piece.startswith("<0x")
+        total = sum(math.exp(lattice.p[text[i:j]]) * rest(j) for j in range(i + 1, len(text) + 1) if whole(text[i:j]) and (i == 0) == (text[i] == MARK))
+        if i and (text[i] == MARK or not whole(text[i])):
+            total += math.exp(sum(lattice.p[f"<0x{b:02X}>"] for b in text[i].encode())) * rest(i + 1)
         return total
 
     return math.log10(rest(0))
@@ -174,7 +175,7 @@ def lattice():
     return Lattice({p: 1 / (r + 3) for r, (p, _) in enumerate(vocabulary(PIECES))}, 1.0)
 
 
-@pytest.mark.parametrize("word", ["the", "x", "", "segmentations", "日本é", "a▁b", "🙂"])
+@pytest.mark.parametrize("word", ["the", "x", "", "segmentations", "日本é", "a▁b", "🙂", "x<0x41>", "<0x41>"])
 def test_lattice_sums_all_segmentations(lattice, word):
     assert lattice.log10(word) == pytest.approx(by_hand(lattice, word), rel=1e-9)
 
@@ -187,6 +188,41 @@ def test_lattice_long_words_and_expected_counts(lattice):
     assert sum(len(p) * n for p, n in found.items()) == pytest.approx(len("▁segmentations"))
 
 
+def paths_by_hand(lattice, word):
+    """(probability, pieces) of every segmentation."""
+    text, out = MARK + word, []
+
+    def go(i, p, used):
+        if i == len(text):
+            out.append((p, used))
+            return
+        for j in range(i + 1, len(text) + 1):
+            if text[i:j] in lattice.p and (i == 0) == (text[i] == MARK):
+                go(j, p * math.exp(lattice.p[text[i:j]]), [*used, text[i:j]])
+        if text[i] not in lattice.p:
+            names = [f"<0x{b:02X}>" for b in text[i].encode()]
+            go(i + 1, p * math.exp(sum(lattice.p[n] for n in names)), used + names)
+
+    go(0, 1.0, [])
+    return out
+
+
+@pytest.mark.parametrize("word", ["segments", "x🙂y", "aaaaaa", ""])
+def test_expected_counts_over_all_segmentations(lattice, word):
+    paths, found, want = paths_by_hand(lattice, word), {}, Counter()
+    for p, used in paths:
+        for piece in used:
+            want[piece] += p / sum(q for q, _ in paths)
+    lattice.expected(word, found)
+    assert found == pytest.approx(dict(want), abs=1e-12)
+
+
+def test_expected_counts_of_a_long_word_are_of_the_whole(lattice):
+    found = {}
+    lattice.expected("segmentations" * 30, found)
+    assert sum(len(p) * n for p, n in found.items()) == pytest.approx(13 * 30 + 1) and sum(n for p, n in found.items() if p[0] == MARK) == pytest.approx(1)
+
+
 def test_lattice_scores_contract(docs):
     rows = [(i, f"The cat sat on mat{i % 7} The") for i in range(60)] + [(100, None), (101, "unknownword zzz"), (None, "The"), (102, "w " * 50000)]
     got = {r["doc_id"]: r for r in lattice_scores(docs(rows), PIECES, heavy=3).collect()}
@@ -227,21 +263,26 @@ def test_source_targets(spark, sizes):
     assert got == pytest.approx(want)
 
 
-def test_both_rounds_are_over_every_word(docs):
-    """An unseen word's score against two rounds over the few distinct training words by hand."""
-    words, new = ["walking", "talked", "houses", "river", "stone"], "walked"
+def test_scores_by_hand(docs):
+    """One round over the few distinct training words, then both scores of seen and unseen words."""
+    words, new = ["walking", "talked", "houses", "river", "stone" * 20], "walked"
     train, held = [i for i in range(40) if fold(i) != 1][:5], next(i for i in range(40) if fold(i) == 1)
     ranked = {p: 1.0 / (r + 3) for r, (p, _) in enumerate(sorted(vocabulary(PIECES), key=lambda x: -x[1]))}
-    fitted = Lattice(ranked, 1.0)
-    for _ in range(2):
-        found = {}
-        for w in words:
-            fitted.expected(w, found)
-        fitted = Lattice({p: found.get(p, 0.0) + 0.05 for p in ranked}, len(words) + 1.0)
+    found, first = {}, Lattice(ranked, 1.0)
+    for w in words:
+        first.expected(w, found)
+    fitted = Lattice({p: found.get(p, 0.0) + 0.05 for p in ranked}, len(words) + 1.0)
     terms = Terms(10, 6)
-    got = {r["doc_id"]: r["score"] for r in lattice_scores(docs([*zip(train, words), (held, new)]), PIECES).collect()}
-    assert got[held] == pytest.approx(terms.model(0, fitted.log10(new)) + terms.model(5, None), abs=1e-9)
-    assert got[train[0]] == pytest.approx(terms.model(1, fitted.log10(words[0])) + terms.model(5, None), abs=1e-9)
+    got = {r["doc_id"]: r for r in lattice_scores(docs([*zip(train, words), (held, new)]), PIECES).collect()}
+    for i, w, c in [*((i, w, 1) for i, w in zip(train, words)), (held, new, 0)]:
+        assert got[i]["score"] == pytest.approx(terms.model(c, fitted.log10(w)) + terms.model(5, None), abs=1e-9)
+        assert got[i]["lattice_score"] == pytest.approx(fitted.log10(w) + terms.model(5, None), abs=1e-9)
+
+
+def test_lattice_scores_of_repeated_rows_and_text_ids(docs):
+    rows = docs([(1, "a cat sat"), (1, "a cat sat"), (1, "another"), (None, None), (None, "x")])
+    got = lattice_scores(rows.repartition(3).selectExpr("'d' || doc_id as doc_id", "text"), PIECES).toPandas()
+    assert len(got) == 5 and sorted(got.n_tokens) == [1, 2, 2, 4, 4] and got[got.n_tokens == 4].score.nunique() == 1
 
 
 def test_hypergeometric_law(spark):
