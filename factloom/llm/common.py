@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import Broadcast, SparkContext, cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six characters of ``[\x20\x09-\x0D]``; exactly those that ``bytes.split()`` splits at.
@@ -35,6 +35,12 @@ def unpacked(df: DataFrame, name: str, columns: list[str]) -> DataFrame:
     return df.select(*(F.col(name).getField(c).alias(c) for c in columns))
 
 
+def one_of_each(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row for each value of the keys, null included, with the named columns of its struct `row`."""
+    order = Window.partitionBy(*keys).orderBy(*keys)
+    return unpacked(df.withColumn("turn", F.row_number().over(order)).filter("turn = 1"), "row", columns)
+
+
 def kind_of(df: DataFrame, name: str) -> str:
     """A column's type in DDL."""
     return df.schema[name].dataType.simpleString()

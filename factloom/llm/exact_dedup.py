@@ -9,10 +9,10 @@ map side of that aggregation folds copies before anything is shuffled. All other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import without_spaces
+from factloom.llm.common import column, one_of_each, whole, without_spaces
 
 
 def _never_null(digest: Column) -> Column:
@@ -21,10 +21,10 @@ def _never_null(digest: Column) -> Column:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = without_spaces(F.col(text_col))
+    norm = without_spaces(column(text_col))
     return docs.select(
-        F.col(id_col).alias("id"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("points"),
+        column(id_col).alias("id"),
+        F.char_length(F.coalesce(column(text_col), F.lit(""))).cast("long").alias("points"),
         norm.alias("norm"),
         _never_null(F.unhex(F.md5(norm.cast("binary")))).alias("hash"),
     )
@@ -36,8 +36,9 @@ def has_collisions(keyed: DataFrame) -> bool:
     return not texts.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: str) -> DataFrame:
+    """One row per row of docs: id, keep_id, group_size, kept, text_sha256; more may name points, the code
+    points of the text.
 
     Texts are equal when they are identical after deleting spaces (common.SPACES). Of equal texts the
     row with most code points stays, then the smallest id; ids that are null come last. Rows that repeat
@@ -64,6 +65,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("points") == -F.col("best.minus")) & (F.col("copy") == 1)).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        *more,
     )
 
 
@@ -71,22 +73,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that exact_groups() keeps, with all their columns.
 
     The kept (id, text hash, length) triples meet the documents in one join on all three, which no hot
-    group can skew; rows that repeat a kept row whole are numbered within that same partitioning.
+    group can skew; of rows that repeat a kept row's id and text one is taken.
     """
-    kept = (
-        exact_groups(docs, id_col, text_col)
-        .filter("kept")
-        .select(F.col(id_col).alias("__id"), _never_null(F.unhex("text_sha256")).alias("__sha"))
-    )
-    norm = without_spaces(F.col(text_col)).cast("binary")
-    marked = docs.withColumns(
-        {
-            "__sha": _never_null(F.unhex(F.sha2(norm, 256))),
-            "__points": F.char_length(F.coalesce(F.col(text_col), F.lit(""))),
-            "__key": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-        }
-    )
-    kept = kept.withColumn("__key", F.coalesce(F.col("__id").cast("string"), F.lit("")))
-    stay = marked.join(kept.select("__key", "__sha"), ["__key", "__sha"], "left_semi")
-    order = Window.partitionBy("__key", "__sha").orderBy(F.col("__points").desc())
-    return stay.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
+    norm, points = without_spaces(column(text_col)).cast("binary"), F.char_length(F.coalesce(column(text_col), F.lit(""))).cast("long")
+    groups = exact_groups(docs, id_col, text_col, "points").filter("kept")
+    kept = groups.select(column(id_col).alias("id"), _never_null(F.unhex("text_sha256")).alias("sha"), "points")
+    marked = docs.select(whole(docs, "row"), column(id_col).alias("id"), _never_null(F.unhex(F.sha2(norm, 256))).alias("sha"), points.alias("points"))
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.sha") == F.col("k.sha")) & (F.col("d.points") == F.col("k.points"))
+    return one_of_each(marked.alias("d").join(kept.alias("k"), same, "left_semi"), ["id", "sha"], docs.columns)

@@ -2,23 +2,26 @@
 
 A fingerprint's 64 bits are 32 segments of two bits; their bit counts (0 to 2) are a point of a
 32-dimensional grid. Each differing bit moves one count by at most one, so the Manhattan distance of two
-points is a lower bound of the Hamming distance. If it is 3 or less, one half of the 16 + 16 counts
-differs by at most 1 in all: that half is equal, or one count is one less. The range join therefore asks
-for the own cell and up to 16 lower neighbour cells in each half (34 rows for each distinct fingerprint,
-whatever the data), tests the bound on all 32 counts and then the bits themselves.
+points is a lower bound of the Hamming distance. The segments are dealt into groups: if at most d bits
+differ, all groups but d have equal counts. The range join therefore puts a point into a cell for each
+choice of groups to leave out, the cell being the counts of the others; points that meet in a cell are tested
+for the bound on all 32 counts and then for the bits themselves. The more groups, the longer is a
+cell's key and the fewer points meet by chance; their number follows the number of points, so that a point
+meets about as many others as it has cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, texts
+from factloom.llm.common import column, cut, kind_of, one_of_each, texts, whole
 from factloom.llm.components import connected_components
 
 #: Every second bit, as a signed 64-bit number.
@@ -57,8 +60,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp) for each row of docs; fp is the fingerprint as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), "id long, fp long")
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"))
+    return rows.mapInArrow(partial(_fingerprints, shingle=shingle), f"id {kind_of(rows, 'id')}, fp long")
 
 
 def counts(fp: Column) -> Column:
@@ -77,32 +80,40 @@ def manhattan(a: Column, b: Column) -> Column:
     return F.bit_count(odd) + 2 * F.bit_count(two)
 
 
-def _cells(points: DataFrame, neighbours: bool) -> DataFrame:
-    halves = F.array(*(F.struct(F.lit(h).alias("half"), F.shiftrightunsigned("at", 32 * h).bitwiseAND(F.lit(0xFFFFFFFF)).alias("cell")) for h in (0, 1)))
-    own = points.withColumn("h", F.explode(halves)).select("fp", "node", "at", "h.half", "h.cell")
-    if not neighbours:
-        return own
-    step = [F.when(F.shiftrightunsigned("cell", 2 * i).bitwiseAND(F.lit(3)) > 0, F.col("cell") - F.lit(1 << 2 * i)) for i in range(16)]
-    cells = F.array_compact(F.array(F.col("cell"), *step))
-    return own.withColumn("cell", F.explode(cells))
-
-
-def near_links(points: DataFrame, distance: int = 3) -> DataFrame:
-    """(a, b): the nodes of every two fingerprints that differ in 1 to `distance` bits, at most 3.
-    points: fp, node; one row for each fingerprint."""
-    if not 0 <= distance <= 3:
-        raise ValueError("the half-cell search is complete for distances up to 3")
-    points = points.withColumn("at", counts(F.col("fp")))
-    left, right = _cells(points, True).alias("l"), _cells(points, False).alias("r")
-    near = (manhattan(F.col("l.at"), F.col("r.at")) <= distance) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))).between(1, distance))
-    met = left.join(right, (F.col("l.half") == F.col("r.half")) & (F.col("l.cell") == F.col("r.cell")) & near)
+def group_masks(groups: int, distance: int) -> list[int]:
+    """For each choice of `distance` groups to leave out, a mask of the counts of the others (signed)."""
+    ends = [32 * i // groups for i in range(groups + 1)]
+    own = [sum(3 << 2 * s for s in range(a, b)) for a, b in zip(ends, ends[1:], strict=False)]
+    masks = [sum(own) - sum(left) for left in combinations(own, distance)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def groups_for(points: int, distance: int) -> int:
+    """The least number of groups with which a point meets no more others by chance than it has cells. Two
+    random counts are equal with probability 3/8."""
+    groups = 2 * distance
+    while groups < 32 and points * 0.375 ** (32 * (groups - distance) / groups) > 1:
+        groups += 1
+    return max(groups, 1)
+
+
+def near_links(points: DataFrame, distance: int = 3, groups: int | None = None) -> DataFrame:
+    """(a, b): the nodes of every two fingerprints that differ in 1 to `distance` bits.
+    points: fp, node; one row for each fingerprint. groups changes the work, not the links."""
+    if not 0 <= distance <= 8:
+        raise ValueError("the search is for distances up to 8")
+    groups = groups or groups_for(points.count(), distance)
+    masks = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("at").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(group_masks(groups, distance))))
+    cells = points.withColumn("at", counts(F.col("fp"))).withColumn("c", F.explode(masks)).select("fp", "node", "at", "c.choice", "c.cell")
+    near = (manhattan(F.col("l.at"), F.col("r.at")) <= distance) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
+    met = cells.alias("l").join(cells.alias("r"), (F.col("l.choice") == F.col("r.choice")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.fp") < F.col("r.fp")) & near)
     return met.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b"))
 
 
 def _components(rows: DataFrame, distance: int) -> DataFrame:
     """(fp, id, component): for each fingerprint of rows, its smallest id and the smallest fingerprint that
     can be reached. Copies are never expanded into pairs: each distinct fingerprint is one node."""
-    points = rows.groupBy("fp").agg(F.min("id").alias("id"))
+    points = cut(rows.groupBy("fp").agg(F.min("id").alias("id")))
     found = connected_components(near_links(points.select("fp", F.col("fp").alias("node")), distance)).withColumnRenamed("node", "fp")
     return points.join(found, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
 
@@ -112,7 +123,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ASCII letters are lower-cased; words are separated by common.SPACES. component_id is the smallest id
     that can be reached over links between fingerprints of up to `distance` differing bits. A null text
-    counts as empty and gets fingerprint zero. Rows of equal text, repeated rows included, share a
+    counts as empty and gets fingerprint zero. Ids may be of any type that has an order. Rows of equal text, repeated rows included, share a
     fingerprint and so a component. A null id never names a component that has another id. Two components
     have the same component_id only if both hold rows of that id, or if both have null ids alone.
     """
@@ -130,16 +141,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     The kept (id, text hash) pairs meet the documents in one join on both, so that neither null ids nor
     rows of one id with different texts stand for one another.
     """
-    mark = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), mark.alias("mark"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("size"))
-    rows = cut(rows.mapInArrow(partial(_fingerprints, shingle=shingle), "id long, fp long, mark binary, size int"))
+    text = F.coalesce(column(text_col), F.lit(""))
+    mark = F.unhex(F.sha2(text.cast("binary"), 256))
+    rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), mark.alias("mark"), F.length(text).alias("size"))
+    rows = cut(rows.mapInArrow(partial(_fingerprints, shingle=shingle), f"id {kind_of(rows, 'id')}, fp long, mark binary, size int"))
     members = _components(rows, distance)
     no_id = F.col("id").isNull().alias("no_id")
     first = members.groupBy("component").agg(F.min(F.struct(no_id, "id", "fp")).alias("first")).select("first.id", "first.fp")
     same = F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.fp") == F.col("f.fp"))
     kept = rows.alias("r").join(first.alias("f"), same, "left_semi").groupBy("id", "fp").agg(F.min(F.struct((-F.col("size")).alias("minus"), "mark")).alias("best"))
-    kept = kept.select(F.col("id").alias("__id"), F.col("best.mark").alias("__mark"))
-    marked = docs.withColumns({"__key": F.col(id_col).cast("long"), "__sha": mark})
-    stay = marked.join(kept, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__mark")), "left_semi")
-    order = Window.partitionBy("__key", "__sha").orderBy(F.length(text_col).desc_nulls_last())
-    return stay.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select(*docs.columns)
+    kept = kept.select("id", F.col("best.mark").alias("mark"))
+    marked = docs.select(whole(docs, "row"), column(id_col).alias("id"), mark.alias("mark"))
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.mark") == F.col("k.mark"))
+    return one_of_each(marked.alias("d").join(kept.alias("k"), same, "left_semi"), ["id", "mark"], docs.columns)
