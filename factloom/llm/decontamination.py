@@ -2,9 +2,10 @@
 
 The automaton is built once over the normalised words of all items. Every document streams through it;
 the state and the longest matching length are all that is kept. Where that length reaches a window's, the
-last words are an occurrence. Documents never move: the only table that travels is the automaton, and a
-benchmark of more than `block_words` words goes in blocks of about that size, one pass of the same rows
-after the other, so its memory is bounded too.
+last words are an occurrence. Documents never move: the only table that travels is the automaton. A
+benchmark of more than `block_words` words goes in blocks of about that size, one pass after the other over
+rows that are written in between, so that no more than one automaton is held at any time; an item longer than a block
+goes in stretches that overlap by a window less one word, so that each window lies whole in one of them.
 """
 
 from __future__ import annotations
@@ -15,10 +16,10 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import ship, shipped, texts
+from factloom.llm.common import column, cut, ship, shipped, texts, unpacked, whole
 
 #: ASCII letters in lower case; digits and all bytes above 0x7F as they are; every other byte a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -155,7 +156,7 @@ def _stream(batches: Iterator[pa.RecordBatch], automaton: object, text_col: str)
     found = shipped(automaton)
     for batch in batches:
         row = batch.column("__row")
-        text_column = pa.RecordBatch.from_arrays([row.field(text_col)], ["text"])
+        text_column = pa.RecordBatch.from_arrays([row.field(row.type.get_field_index(text_col))], ["text"])
         n_words, starts, ends, names = [], [], [], []
         before = zip(*(batch.column(c).to_pylist() for c in ("starts", "ends", "items")), strict=True)
         for text, (s, e, items) in zip(texts(text_column), before, strict=True):
@@ -180,19 +181,33 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     the empty string. Items that repeat count once by name. Rows of docs that repeat are judged each.
     """
     sc = docs.sparkSession.sparkContext
-    item = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    item = benchmark.select(F.coalesce(column(item_col).cast("string"), F.lit("")).alias("name"), F.coalesce(column(item_text_col), F.lit("")).alias("text"))
     # a word has a character and, but for the last, one separator: so many words at most
     words = item.agg(F.coalesce(F.sum((F.length("text") + 1) / 2), F.lit(0.0))).first()[0]
     n_blocks = max(1, -(-int(words) // block_words))
+    if n_blocks > 1:
+        item = cut(item.select("name", F.explode(_stretches(F.col("text"), window, block_words)).alias("text")))
     nothing = "cast(null as array<bigint>)"
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.lit(0).cast("long").alias("n_words"), F.expr(nothing).alias("starts"), F.expr(nothing).alias("ends"), F.expr("cast(null as array<string>)").alias("items"))
+    rows = docs.select(whole(docs, "__row"), F.lit(0).cast("long").alias("n_words"), F.expr(nothing).alias("starts"), F.expr(nothing).alias("ends"), F.expr("cast(null as array<string>)").alias("items"))
     for block in range(n_blocks):
         part = item.filter(F.pmod(F.xxhash64("name", "text"), F.lit(n_blocks)) == block) if n_blocks > 1 else item
-        own = [(r["name"], words_of(r["text"])) for r in part.toLocalIterator()]
-        rows = rows.mapInArrow(partial(_stream, automaton=ship(sc, SuffixAutomaton(own, window)), text_col=text_col), rows.schema)
+        automaton = ship(sc, SuffixAutomaton([(r["name"], words_of(r["text"])) for r in part.toLocalIterator()], window))
+        rows = rows.mapInArrow(partial(_stream, automaton=automaton, text_col=text_col), rows.schema)
+        if n_blocks > 1:
+            rows = cut(rows)
+            automaton.destroy()
     return rows
 
 
+def _stretches(text: Column, window: int, block_words: int) -> Column:
+    """An item's text as an array: itself, or, if it has more than block_words words, stretches of so many that overlap
+    by window - 1."""
+    words = F.filter(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda w: w != "")
+    step = max(1, block_words - window + 1)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (window - 1)), F.lit(step))
+    return F.when(F.size(words) <= block_words, F.array(text)).otherwise(F.transform(starts, lambda i: F.array_join(F.slice(words, i, step + window - 1), " ")))
+
+
 def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
     """find_items() with n_hit, n_items and contaminated: some hit words, a 1/coverage part or more."""
     hit = F.aggregate(F.zip_with("starts", "ends", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
@@ -202,11 +217,40 @@ def judged(found: DataFrame, coverage: int = 20) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, coverage: int = 20) -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs; see find_items()."""
-    found = judged(find_items(docs.select(id_col, text_col), benchmark, text_col, item_col, item_text_col, window), coverage)
+    found = judged(find_items(docs.select(column(id_col), column(text_col)), benchmark, text_col, item_col, item_text_col, window), coverage)
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
-    return found.select(F.col(f"__row.{id_col}").alias(id_col), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    return found.select(F.col("__row").getField(id_col).alias(id_col), "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options: object) -> DataFrame:
     """The rows of docs that are not contaminated, as they are."""
-    return judged(find_items(docs, benchmark, **options)).filter(~F.col("contaminated")).select("__row.*")
+    return unpacked(judged(find_items(docs, benchmark, **options)).filter(~F.col("contaminated")), "__row", docs.columns)
+
+
+def _without(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    import re
+
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    for batch in batches:
+        out = []
+        for text, starts, ends in zip(batch.column("text").to_pylist(), batch.column("starts").to_pylist(), batch.column("ends").to_pylist(), strict=True):
+            gone = [(a, b) for a, b in zip(starts, ends, strict=True) if b - a >= least]
+            if gone:
+                raw = text.encode()
+                at = [m.span() for m in word.finditer(raw)]
+                edges = [0, *(x for a, b in gone for x in (at[a][0], at[b - 1][1])), len(raw)]
+                text = b"".join(raw[i:j] for i, j in zip(edges[::2], edges[1::2], strict=True)).decode()
+            out.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(out, pa.string())], ["__row", "text"])
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_words: int = 13, coverage: int | None = 20, **options: object) -> DataFrame:
+    """The rows of docs without the spans of hit words (see find_items()) that have least_words words or more:
+    each goes from the start of its first word to the end of its last, and all between the spans stays as it
+    is. With coverage, rows that are contaminated as judged() says go whole. A null text stays null."""
+    found = find_items(docs, benchmark, text_col=text_col, **options)
+    found = judged(found, coverage).filter(~F.col("contaminated")) if coverage else found
+    rows = found.select("__row", F.col("__row").getField(text_col).alias("text"), "starts", "ends")
+    schema = rows.select("__row", "text").schema
+    out = rows.mapInArrow(partial(_without, least=least_words), schema)
+    return out.select(*((F.col("text") if c == text_col else F.col("__row").getField(c)).alias(c) for c in docs.columns))
