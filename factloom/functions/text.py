@@ -23,8 +23,3 @@ def first(values: Column) -> Column:
 
 def last(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.element_at(values, -1))
-
-
-def tagged(tag: str, **fields: Column) -> Column:
-    """A tagged record: struct<tag, fields...>."""
-    return F.struct(F.lit(tag).alias("tag"), *(v.alias(k) for k, v in fields.items()))

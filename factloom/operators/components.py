@@ -7,11 +7,15 @@ python_step() works on Python values instead and runs in Arrow batches.
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import inspect
 import json
+import linecache
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
+from functools import cache
+from types import CodeType
 from typing import Any
 
 from pyspark.sql import Column
@@ -44,13 +48,38 @@ class Node:
         return refs_of(self.fn) | {k: v for k, v in self.options.items() if isinstance(v, Ref)}
 
 
+@cache
+def _parsed(path: str) -> tuple[ast.AST, ...]:
+    """The functions of a source file."""
+    text = "".join(linecache.getlines(path))
+    return tuple(n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Lambda, ast.FunctionDef)))
+
+
+def source_of(code: CodeType) -> str | None:
+    """A function's syntax tree as text, without places or names of its own; None if its source is not at hand.
+    Unlike bytecode it does not change with the version of Python."""
+    try:
+        places = [p for p in code.co_positions() if p[0] and p[2] is not None and p[0] >= code.co_firstlineno]
+        line, col = min((p[0], p[2]) for p in places if p[0] > code.co_firstlineno or p[2] > 0)
+        around = [n for n in _parsed(code.co_filename) if (n.lineno, n.col_offset) <= (line, col) < (n.end_lineno, n.end_col_offset)]
+        node = max(around, key=lambda n: (n.lineno, n.col_offset))
+    except (SyntaxError, OSError, ValueError):
+        return None
+    name = getattr(node, "name", "<lambda>")
+    body = node.body if isinstance(node.body, list) else [node.body]
+    return " ".join(ast.dump(x) for x in (node.args, *body)) if name == code.co_name else None
+
+
 def described(value: Any) -> Any:
-    """A value as data for hashing: functions by their code and constants, not by their address."""
+    """A value as data for hashing: functions by their source (or else their code) and what they hold, not by
+    their address."""
     if callable(value) and hasattr(value, "__code__"):
         code = value.__code__
         free = [described(c.cell_contents) for c in value.__closure__ or ()]
-        inner = [c.co_code.hex() if inspect.iscode(c) else repr(c) for c in code.co_consts]
-        return ["function", code.co_code.hex(), inner, list(code.co_names), free, sorted((k, described(v)) for k, v in (value.__kwdefaults__ or {}).items())]
+        source = source_of(code)
+        inner = [source] if source else [code.co_code.hex(), [c.co_code.hex() if inspect.iscode(c) else repr(c) for c in code.co_consts], list(code.co_names)]
+        kept = sorted((k, described(v)) for k, v in (value.__kwdefaults__ or {}).items())
+        return ["function", *inner, free, [described(v) for v in value.__defaults__ or ()], kept]
     if isinstance(value, dict):
         return {str(k): described(v) for k, v in value.items()}
     if isinstance(value, (list, tuple, set, frozenset)):
@@ -84,9 +113,6 @@ class Component:
         """The component's nodes, in order; the last one is where others attach."""
         raise NotImplementedError
 
-    def parents_wanted(self) -> int:
-        return 1
-
     def _node(self, part: str, kind: str, parents: tuple[str, ...], fn: Callable | None = None, name: str = "", gates: tuple[str, ...] = (), **options: Any) -> Node:
         return Node(name or f"{self.name}.{part}", kind, parents, self.name, part, fn, gates, options)
 
@@ -244,7 +270,7 @@ class Reduce(Component):
 
     fn(acc, x) works on columns; it may return halt(acc) or go_on(acc) to end the fold early. native is an aggregate
     function of Spark (F.sum, F.max, ...) that does the same with partial aggregation; combine(init,
-    result) adds the initial value.
+    result) takes the initial value in, which sums and counts add and minima and maxima compare with.
     """
 
     init: Any = None
@@ -254,6 +280,11 @@ class Reduce(Component):
     stops: bool = False
     over: str | None = None
 
+    def __post_init__(self) -> None:
+        if self.native is not None and self.init is not None and self.combine is None and self.native not in (F.sum, F.count, F.min, F.max):
+            raise ValueError("this native aggregate needs `combine` to take an initial value in")
+        super().__post_init__()
+
     def lower(self, parents: tuple[str, ...]) -> list[Node]:
         return [self._node("fan_in", "fan_in", parents, self.fn, self.name, init=self.init, native=self.native, combine=self.combine, stops=self.stops)]
 
@@ -287,10 +318,6 @@ class Accumulator(Component):
             raise ValueError("an accumulator has either `native` or `fn`")
         super().__post_init__()
 
-    @property
-    def mergeable(self) -> bool:
-        return self.native in ("sum", "count", "min", "max")
-
     def lower(self, parents: tuple[str, ...]) -> list[Node]:
         nodes, parents = self._joined(parents)
         return [*nodes, self._node("accumulator", "accumulator", parents, self.fn, self.name, init=self.init, native=self.native, state_type=self.state_type)]

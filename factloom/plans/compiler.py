@@ -4,7 +4,8 @@ A frame is a DataFrame whose rows are facts of one grain: the root facts, or the
 (root_id plus a position for each level). Row-wise nodes only add columns to their frame, so a whole region of steps,
 conditions, rules and joins is one projection and one pass. The grain changes at a map (posexplode) and
 a reduce (groupBy on the outer grain); only nodes whose parents live in different frames are joined, on
-root_id. State is a window over (key, order) where the fold is mergeable, and otherwise one ordered stream.
+root_id. State is a window over (key, order) where the fold is mergeable; any other fold is an ordered stream of
+(key, order, event) alone, whose states are a frame of their own. State may begin with what earlier batches left.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from factloom.functions.meta import MISSING, Ref, arity
 from factloom.operators.components import Node
 from factloom.operators.state import EMITTED
+from factloom.plans.cuts import matched, written
 from factloom.plans.policy import Policy, PolicyRule, merge_policies
 from factloom.plans.types import UnresolvedReferenceError, check_schema
 from factloom.plans.workflow import Workflow
 
 KEYS = ("k", "seq", "root_id")
+#: The labels of facts in the log.
 PRODUCED = ("produced", "state_initiated", "state_produced", "reduced")
 LABELS = {"step": "produced", "custom": "produced", "join": "produced", "fan_out": "fan_out", "fan_in": "reduced", "accumulator": "state_produced", "fold": "state_produced"}
 
@@ -38,6 +41,8 @@ class Frame:
 
     df: DataFrame
     positions: tuple[str, ...] = ()
+    settled: bool = False
+    done: bool = False
 
     @property
     def keys(self) -> tuple[str, ...]:
@@ -77,7 +82,7 @@ def root_facts(df: DataFrame, seq: str, key: str | None = None, value: Column |
 class Compiled:
     """The frames and outputs of a workflow over given root facts; everything in it is lazy."""
 
-    def __init__(self, workflow: Workflow, roots: DataFrame, context: dict[str, Any] | None = None, policies: tuple[PolicyRule, ...] = (), mode: str = "merge", max_depth: int | None = None, only: set[str] | None = None) -> None:
+    def __init__(self, workflow: Workflow, roots: DataFrame, context: dict[str, Any] | None = None, policies: tuple[PolicyRule, ...] = (), mode: str = "merge", max_depth: int | None = None, only: set[str] | None = None, carried: dict[str, DataFrame] | None = None, eager: bool = False, given: dict[str, Out] | None = None) -> None:
         self.workflow = workflow.put_context(context) if context else workflow
         if missing := self.workflow.validate_context():
             raise UnresolvedReferenceError(f"no value for context {', '.join(missing)}")
@@ -87,12 +92,32 @@ class Compiled:
                 schema = roots.schema["value"].dataType
                 if isinstance(schema, T.StructType) and name in schema.names:
                     check_schema(port, schema[name].dataType)
+        #: component -> (k, n, latest) that earlier batches left: how many facts, and the value of the last one
+        self.carried = carried or {}
+        self.eager = eager
         self.root = Frame(roots)
-        self.outs: dict[str, Out] = {"": Out(self.root, "value", None, None, 0)}
+        self.outs: dict[str, Out] = {"": Out(self.root, "value", None, None, 0)} | (given or {})
         for node in self.workflow.order():
-            if (max_depth is None or self.workflow.depth(node.name) <= max_depth) and (only is None or node.name in only):
+            if node.name not in self.outs and (max_depth is None or self.workflow.depth(node.name) <= max_depth) and (only is None or node.name in only):
                 self.outs[node.name] = self._compile(node)
 
+    def _settle(self, frame: Frame) -> Frame:
+        """Before another frame is made of this one: write it if it holds what Python steps made, so that
+        they do not run once for each frame."""
+        if self.eager and any(c.startswith("r:") for c in frame.df.columns) and not frame.settled:
+            frame.df, frame.settled = written(frame.df), True
+        return frame
+
+    def materialize(self, on_checkpoint: Callable[[str], None] | None = None) -> Compiled:
+        """Evaluate every frame now, and write it; all that is asked for later reads what was written.
+        on_checkpoint is called with the name of each frame's first node."""
+        for name, out in self.outs.items():
+            if not out.frame.done:
+                out.frame.df, out.frame.done = written(out.frame.df), True
+                if on_checkpoint is not None:
+                    on_checkpoint(name)
+        return self
+
     # ---- nodes -----------------------------------------------------------------------------------
 
     def _compile(self, node: Node) -> Out:
@@ -129,8 +154,9 @@ class Compiled:
             return F.coalesce(F.col(f"`{name}`"), F.lit(False))
         shared = [c for c in frame.positions if c in out.frame.positions]
         on = [*KEYS, *shared] if len(shared) == len(out.frame.positions) else [*KEYS]
+        self._settle(out.frame)
         other = out.frame.df.groupBy(*on).agg(F.max(column).alias(name)) if len(on) < len(out.frame.keys) else out.frame.df.select(*on, column.alias(name))
-        frame.df = frame.df.join(other, on, "left")
+        frame.df = matched(frame.df, other, on, "left")
         return F.coalesce(F.col(f"`{name}`"), F.lit(False))
 
     def _arguments(self, node: Node, parent: Out) -> list[Column]:
@@ -157,7 +183,10 @@ class Compiled:
     def _python(self, node: Node, parent: Out, active: str | None) -> Out:
         policy = next((r.policy for r in self.policies if r.matches(node.name, self.workflow.components.get(node.component))), Policy())
         values = {k: self._context(node, r) for k, r in node.refs.items() if r.kind == "context"}
-        run = F.udf(partial(_run_python, fn=node.fn, policy=policy, spread=arity(node.fn), values=values), f"struct<value:{node.options['returns']},status:string,error:string,attempts:int>", useArrow=True).asNondeterministic()
+        fn = node.fn
+        if hooks := self.workflow.around.get(node.component):
+            fn = _Hooked(node.component, fn, hooks, self.workflow.get_context(node.component))
+        run = F.udf(partial(_run_python, fn=fn, policy=policy, spread=arity(node.fn), values=values), f"struct<value:{node.options['returns']},status:string,error:string,attempts:int>", useArrow=True).asNondeterministic()
         got, value, fired = self._name(node, "r"), self._name(node), self._name(node, "a")
         parent.frame.add(**{got: run(F.col(f"`{parent.value}`"), F.col(active) if active else F.lit(True))})
         parent.frame.add(**{value: F.col(f"`{got}`")["value"], fired: F.coalesce(F.col(f"`{got}`")["status"] == "completed", F.lit(False))})
@@ -206,23 +235,26 @@ class Compiled:
             return Out(frame, name, active, node, 0)
         positions = tuple(c for c in parents[0].frame.positions if all(c in p.frame.positions for p in parents))
         on = [*KEYS, *positions]
+        for p in parents:
+            self._settle(p.frame)
         sides = [p.frame.df.filter(p.fired()).select(*on, F.col(f"`{p.value}`").alias(f)) for p, f in zip(parents, fields, strict=True)]
         df = sides[0]
         for side in sides[1:]:
-            df = df.join(side, on)
+            df = matched(df, side, on)
         df = df.select(*on, F.struct(*fields).alias(name))
         return Out(Frame(df, positions), name, None, node, 0)
 
     def _fan_out(self, node: Node, parents: list[Out]) -> Out:
         (parent,) = parents
-        frame, value, pos = parent.frame, F.col(f"`{parent.value}`"), self._name(node, "p")
+        frame, value, pos = self._settle(parent.frame), F.col(f"`{parent.value}`"), self._name(node, "p")
         kind = frame.df.schema[parent.value].dataType
         rows = frame.df.filter(parent.fired())
         name = self._name(node)
         if isinstance(kind, T.MapType):
             value, kind = F.map_entries(value), T.ArrayType(T.StringType())
         if isinstance(kind, T.ArrayType):
-            df = rows.select(*frame.keys, F.posexplode(value).alias(pos, name))
+            # an outer generator, as Catalyst would evaluate a plain one's input once more in a filter of its own
+            df = rows.select(*frame.keys, F.posexplode_outer(value).alias(pos, name)).filter(F.col(f"`{pos}`").isNotNull())
         else:  # what cannot be enumerated is consumed
             df = rows.filter(F.lit(False)).select(*frame.keys, F.lit(0).alias(pos), value.alias(name))
         return Out(Frame(df, (*frame.positions, pos)), name, None, node, 0)
@@ -244,9 +276,7 @@ class Compiled:
         if o.get("native"):
             made = o["native"](F.when(parent.fired(), value))
             df = group.agg(made.alias("__made"), whole).filter("__whole")
-            init = F.lit(o["init"])
-            combine = o.get("combine") or (lambda a, b: a + b)
-            df = df.select(*KEYS, *outer, (F.col("__made") if o["init"] is None else combine(init, F.col("__made"))).alias(name))
+            df = df.select(*KEYS, *outer, _from_init(o, F.col("__made")).alias(name))
             return Out(Frame(df, outer), name, None, node, 0)
         listed = F.array_sort(F.collect_list(F.when(parent.fired(), F.struct(F.col(f"`{frame.positions[-1]}`").alias("pos"), value.alias("x")))))
         df = group.agg(listed.alias("__list"), whole).filter("__whole")
@@ -300,7 +330,7 @@ class Compiled:
             made = _native_in_row(o["native"], array, kind)
             if made is None:
                 return None
-            made = made if o["init"] is None else (o.get("combine") or (lambda a, b: a + b))(F.lit(o["init"]), made)
+            made = _from_init(o, made)
         else:
             made = self._folded(node, parent, array)
         active = self._name(node, "a")
@@ -320,16 +350,18 @@ class Compiled:
         (parent,) = parents
         o, frame, name = node.options, parent.frame, self._name(node)
         if o["native"] is None:
-            return self._stream(node, parent, _reducer(node.fn, o["init"]), o["state_type"])
+            return self._stream(node, parent, Reducer(node.fn, o["init"]), o["state_type"])
         w, seen = frame.window(), F.when(parent.fired(), F.col(f"`{parent.value}`"))
         init = F.lit(o["init"])
+        if node.component in self.carried:
+            init = F.coalesce(self._carry(node.component, frame)[1], init)
         made = {
             "sum": lambda: init + F.coalesce(F.sum(seen).over(w), F.lit(0)),
             "count": lambda: init + F.count(seen).over(w),
             "min": lambda: F.least(init, F.min(seen).over(w)),
             "max": lambda: F.greatest(init, F.max(seen).over(w)),
             "last": lambda: F.coalesce(F.last(seen, True).over(w), init),
-            "collect": lambda: F.collect_list(seen).over(w),
+            "collect": lambda: F.collect_list(seen).over(w) if node.component not in self.carried else F.concat(F.coalesce(self._carry(node.component, frame)[1], F.array()), F.collect_list(seen).over(w)),
         }[o["native"]]()
         frame.add(**{name: made})
         return Out(frame, name, parent.active, node, 0)
@@ -339,15 +371,26 @@ class Compiled:
         return self._stream(node, parents[0], fold, node.options["state_type"])
 
     def _stream(self, node: Node, parent: Out, fold: Any, state_type: str) -> Out:
-        frame, name, emitted = parent.frame, self._name(node), self._name(node, "e")
-        frame.add(__on=parent.fired(), __event=F.col(f"`{parent.value}`"))
-        kinds = frame.df.schema
+        frame, name, emitted = self._settle(parent.frame), self._name(node), self._name(node, "e")
+        keys = [F.col(f"`{c}`") for c in frame.keys]
+        rows = frame.df.filter(parent.fired()).select(*keys, F.col(f"`{parent.value}`").alias("__event"))
+        if node.component in self.carried:
+            before = self.carried[node.component].select("k", F.col("latest").alias("__before"))
+            rows = matched(rows, before, ["k"], "left")
         extra = T.StructType.fromDDL(f"s {state_type}, e {EMITTED}")
-        schema = T.StructType([f for f in kinds.fields if f.name not in ("__on", "__event")] + [T.StructField(name, extra[0].dataType), T.StructField(emitted, extra[1].dataType)])
+        schema = T.StructType([*rows.select(*keys).schema.fields, T.StructField(name, extra[0].dataType), T.StructField(emitted, extra[1].dataType)])
         kinds_out = (*(to_arrow_type(f.dataType) for f in extra), isinstance(extra[0].dataType, T.MapType))
         sort = ["k", "seq", *(f"`{p}`" for p in frame.positions)]
-        frame.df = frame.df.repartition("k").sortWithinPartitions(*sort).mapInArrow(partial(run_stream, fold=fold, state=name, emitted=emitted, kinds=kinds_out), schema)
-        return Out(frame, name, parent.active, node, 0)
+        df = rows.repartition("k").sortWithinPartitions(*sort).mapInArrow(partial(run_stream, fold=fold, state=name, emitted=emitted, kinds=kinds_out), schema)
+        return Out(Frame(df, frame.positions), name, None, node, 0)
+
+    def _carry(self, component: str, frame: Frame) -> tuple[Column, Column]:
+        """(n, latest) of earlier batches for each row's key, joined to the frame once."""
+        n, latest = f"n:{component}", f"l:{component}"
+        if n not in frame.df.columns:
+            before = self.carried[component].select("k", F.col("n").alias(n), F.col("latest").alias(latest))
+            frame.df = matched(frame.df, before, ["k"], "left")
+        return F.coalesce(F.col(f"`{n}`"), F.lit(0)), F.col(f"`{latest}`")
 
     # ---- reads -----------------------------------------------------------------------------------
 
@@ -382,10 +425,15 @@ class Compiled:
             one = F.when(fired, F.lit(1))
         else:
             value, fired, w, one = self._as_of(node, frame, target, ref, last)
+        if target.frame is frame and not last and not target.active and target.node.kind in ("accumulator", "fold") and ref.kind in ("state_of", "latest_value_of"):
+            return value  # below a state that every row of the frame has advanced: no window is needed
+        before_n, before = F.lit(0), None
+        if target.node is not None and target.node.component in self.carried and target.node.kind not in ("condition", "all_of", "any_of"):
+            before_n, before = self._carry(target.node.component, frame)
         if ref.kind == "ran_here":
             return F.coalesce(fired, F.lit(False))
         if ref.kind in ("step_ran", "fact_count"):
-            n = F.coalesce(F.sum(one).over(w), F.lit(0)).cast("long")
+            n = (before_n + F.coalesce(F.sum(one).over(w), F.lit(0))).cast("long")
             return n > 0 if ref.kind == "step_ran" else n
         seen = F.when(fired, value)
         fact = F.when(fired, F.struct("seq", "root_id", value.alias("value")))
@@ -396,6 +444,8 @@ class Compiled:
         if ref.kind == "latest_fact_of":
             return F.last(fact, True).over(w)
         latest = F.last(seen, True).over(w)
+        if before is not None:
+            latest = F.coalesce(latest, before)
         if ref.kind == "state_of":
             if target.node is None or target.node.kind not in ("accumulator", "fold"):
                 return F.lit(None)
@@ -408,7 +458,7 @@ class Compiled:
         if f"m:{tag}" not in frame.df.columns:
             order = F.struct(*(F.col(f"`{p}`") for p in target.frame.positions)) if target.frame.positions else F.lit(0)
             per = target.frame.df.filter(target.fired()).groupBy(*KEYS).agg(F.max_by(F.col(f"`{target.value}`"), order).alias(f"m:{tag}"), F.count(F.lit(1)).alias(f"c:{tag}"))
-            frame.df = frame.df.join(per, [*KEYS], "left")
+            frame.df = matched(frame.df, per, [*KEYS], "left")
         first = F.lit(True)
         for p in frame.positions:
             first = first & (F.col(f"`{p}`") == 0)
@@ -422,14 +472,33 @@ class Compiled:
         out = self.outs[self.workflow.output_of(name)]
         return out.frame.df.filter(out.fired()).select(*(f"`{c}`" for c in out.frame.keys), F.col(f"`{out.value}`").alias("value"))
 
+    def left_behind(self, name: str) -> DataFrame:
+        """(k, n, latest): how many facts a component has made for each key, earlier batches included, and the
+        value of the last one. What a later batch takes as carried."""
+        out = self.outs[self.workflow.output_of(name)]
+        order = F.struct("seq", *(F.col(f"`{p}`") for p in out.frame.positions))
+        now = out.frame.df.filter(out.fired()).groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max_by(F.col(f"`{out.value}`"), order).alias("latest"))
+        if name not in self.carried:
+            return now
+        # of two rows of a key the later one has the latest value, and the counts add up
+        both = self.carried[name].withColumn("turn", F.lit(0)).unionByName(now.withColumn("turn", F.lit(1)))
+        return both.groupBy("k").agg(F.sum("n").alias("n"), F.max_by("latest", "turn").alias("latest"))
+
+    def transitions(self, name: str) -> DataFrame:
+        """(k, seq, root_id, [positions,] value, emitted) of a state component: the state after each fact and
+        the array of (tag, payload) that the fact made it emit, in one pass."""
+        out = self.outs[self.workflow.output_of(name)]
+        return out.frame.df.select(*(f"`{c}`" for c in out.frame.keys), F.col(f"`{out.value}`").alias("value"), F.col(f"`{self._name(out.node, 'e')}`").alias("emitted"))
+
     def emitted(self, name: str) -> DataFrame:
         """(k, seq, root_id, n, tag, payload) of what a state component emitted."""
         out = self.outs[self.workflow.output_of(name)]
         column = f"`{self._name(out.node, 'e')}`"
         return out.frame.df.select(*KEYS, F.posexplode(column).alias("n", "e")).select(*KEYS, "n", "e.tag", "e.payload")
 
-    def facts(self, names: list[str] | None = None, inputs: bool = True) -> DataFrame:
-        """The fact log: one row per fact, with its lineage. One pass over each frame.
+    def facts(self, names: list[str] | None = None, inputs: bool = True, typed: bool = False) -> DataFrame:
+        """The fact log: one row per fact, with its lineage. One pass over each frame. Values are JSON texts, or
+        as they are if typed, for components whose values have one type.
 
         fact_id and parent_id are hashes of (producer, root fact, position), so equal values of different
         root facts stay different facts.
@@ -439,19 +508,22 @@ class Compiled:
         for o in wanted:
             if o.frame not in frames:
                 frames.append(o.frame)
-        return _union([self._log(f, [o for o in wanted if o.frame is f]) for f in frames])
+        if typed and len(kinds := {str(o.frame.df.schema[o.value].dataType) for o in wanted}) > 1:
+            raise TypeError(f"values of several types: {', '.join(sorted(kinds))}")
+        return _union([self._log(f, [o for o in wanted if o.frame is f], typed) for f in frames])
 
     def _id(self, out: Out) -> Column:
         where = [F.col(f"`{p}`").cast("string") for p in out.frame.positions]
         return F.xxhash64(F.lit(out.node.name if out.node else "input"), F.col("root_id").cast("string"), F.col("k").cast("string"), *where)
 
-    def _log(self, frame: Frame, outs: list[Out]) -> DataFrame:
+    def _log(self, frame: Frame, outs: list[Out], typed: bool = False) -> DataFrame:
         rows = []
         kinds = frame.df.schema
         where = F.concat_ws(",", *(F.col(f"`{p}`").cast("string") for p in frame.positions))
         for o in outs:
             kind = kinds[o.value].dataType
             text = F.to_json(F.struct(F.col(f"`{o.value}`").alias("v"))) if not isinstance(kind, T.NullType) else F.lit(None).cast("string")
+            text = F.col(f"`{o.value}`") if typed else text
             known = [p for p in o.parents if set(p.frame.positions) <= set(frame.positions)]
             rows.append(
                 F.struct(
@@ -471,18 +543,24 @@ class Compiled:
         for o in first:
             init = o.node.options["fold"].initial() if "fold" in o.node.options else o.node.options["init"]
             started = frame.df.filter(o.fired()).groupBy("k").agg(F.min_by("root_id", "seq").alias("root_id"), F.min("seq").alias("seq"))
-            value = F.to_json(F.struct(_literal(init, kinds[o.value].dataType).alias("v")))
+            value = _literal(init, kinds[o.value].dataType)
+            value = value if typed else F.to_json(F.struct(value.alias("v")))
+            if o.node.component in self.carried:  # initiated in an earlier batch, for these keys
+                begun = self.carried[o.node.component].select("k")
+                started = started.join(begun, started["k"].eqNullSafe(begun["k"]), "left_anti")
             name = o.node.name
             df = df.unionByName(started.select("k", "seq", "root_id", F.lit("").alias("pos"), F.xxhash64(F.lit(f"{name}#init"), F.col("k").cast("string")).alias("fact_id"), F.lit(None).cast("long").alias("parent_id"), F.lit(name).alias("producer"), F.lit(o.node.component).alias("component"), F.lit("state_initiated").alias("label"), F.lit(o.depth).alias("depth"), value.alias("value")))
         return df
 
-    def productions(self, names: list[str] | None = None) -> DataFrame:
+    def productions(self, names: list[str] | None = None, typed: bool = False) -> DataFrame:
         """Facts that components produced: no inputs, no fan-out elements."""
-        return self.facts(names, inputs=False).filter(F.col("label").isin(*PRODUCED))
+        return self.facts(names, inputs=False, typed=typed).filter(F.col("label").isin(*PRODUCED))
 
-    def productions_by_component(self) -> DataFrame:
-        """(component, values): each component's produced values, as a sorted array of JSON texts."""
-        return self.productions().groupBy("component").agg(F.array_sort(F.collect_list("value")).alias("values"))
+    def productions_by_component(self, parts: int = 1) -> DataFrame:
+        """(component, part, values): each component's produced values, as sorted arrays of JSON texts. An array is held
+        by one task, so components with many facts go in so many parts, dealt by the facts' ids."""
+        part = F.pmod("fact_id", F.lit(parts)).cast("int").alias("part")
+        return self.productions().groupBy("component", part).agg(F.array_sort(F.collect_list("value")).alias("values"))
 
     def reactions(self) -> DataFrame:
         """Inputs and productions, each fact once."""
@@ -511,7 +589,7 @@ class Compiled:
                 others.append((name, out.frame.df.filter(out.fired()).groupBy(*KEYS).agg(made.alias(name))))
         df = df.select(*KEYS, *(c.alias(n) for n, c in plain.items()))
         for _, other in others:
-            df = df.join(other, [*KEYS], "left")
+            df = matched(df, other, [*KEYS], "left")
         return df.select(*KEYS, *wanted)
 
     def outcomes(self, name: str, also: list[str] | None = None) -> DataFrame:
@@ -535,6 +613,18 @@ class Compiled:
         return _union([o.frame.df.select(*KEYS, F.lit(o.node.name).alias("producer"), F.col(f"`{o.status}`.status").alias("status"), F.col(f"`{o.status}`.error").alias("error"), F.col(f"`{o.status}`.attempts").alias("attempts")).filter("status in ('failed', 'skipped') and attempts > 0") for o in outs])
 
 
+def _from_init(options: dict[str, Any], made: Column) -> Column:
+    """A native aggregate's result with the initial value; what is null counts for nothing."""
+    if options["init"] is None:
+        return made
+    init = F.lit(options["init"])
+    if options.get("combine"):
+        return options["combine"](init, made)
+    if options["native"] in (F.min, F.max):
+        return (F.least if options["native"] is F.min else F.greatest)(init, made)
+    return init + F.coalesce(made, F.lit(0))
+
+
 def _native_in_row(native: Callable[[Column], Column], array: Column, kind: T.DataType) -> Column | None:
     """What a native aggregate makes of an array's elements, nulls ignored; None if it is not known here."""
     known = F.filter(array, lambda x: x.isNotNull())
@@ -577,7 +667,25 @@ def _run_python(value: Any, on: bool, fn: Callable[..., Any], policy: Policy, sp
     return {"value": made, "status": status, "error": error, "attempts": attempts}
 
 
-class _reducer:
+class _Hooked:
+    """A Python step's function with its hooks called round it, in the order in which they were attached."""
+
+    def __init__(self, component: str, fn: Callable[..., Any], hooks: tuple, context: dict[str, Any]) -> None:
+        self.component, self.fn, self.hooks, self.context = component, fn, hooks, context
+
+    def __call__(self, *args: Any, **values: Any) -> Any:
+        event = {"component": self.component, "value": args[0] if len(args) == 1 else args}
+        for before, _ in self.hooks:
+            if before is not None:
+                before(event, self.context)
+        made = self.fn(*args, **values)
+        for _, after in self.hooks:
+            if after is not None:
+                after(event | {"result": made}, self.context)
+        return made
+
+
+class Reducer:
     """A plain reducer fn(value, state) as a fold."""
 
     def __init__(self, fn: Callable[[Any, Any], Any], init: Any) -> None:
@@ -591,21 +699,21 @@ class _reducer:
 
 
 def run_stream(batches: Iterator[pa.RecordBatch], fold: Any, state: str, emitted: str, kinds: tuple[pa.DataType, pa.DataType, bool]) -> Iterator[pa.RecordBatch]:
-    """Advance a fold over rows sorted by (k, order); the state starts anew with each k. kinds: the Arrow
-    types of states and of what is emitted, and whether states are maps."""
+    """Advance a fold over rows sorted by (k, order): keys, __event, and __before, the state that earlier batches
+    left, if there are any. The state starts anew with each k. kinds: the Arrow types of states and of what
+    is emitted, and whether states are maps."""
     state_kind, emitted_kind, is_map = kinds
     key, now = object(), None
     for batch in batches:
         states, made = [], []
-        for k, on, event in zip(batch.column("k").to_pylist(), batch.column("__on").to_pylist(), batch.column("__event").to_pylist(), strict=True):
+        before = batch.column("__before").to_pylist() if "__before" in batch.schema.names else [None] * batch.num_rows
+        for k, event, start in zip(batch.column("k").to_pylist(), batch.column("__event").to_pylist(), before, strict=True):
             if k != key:
-                key, now = k, fold.initial()
-            out: list = []
-            if on:
-                now, out = fold.advance(now, event)
+                key, now = k, fold.initial() if start is None else dict(start) if is_map else start
+            now, out = fold.advance(now, event)
             states.append(list(now.items()) if is_map and now is not None else now)
             made.append([{"tag": t, "payload": _text(p)} for t, p in out])
-        keep = [n for n in batch.schema.names if n not in ("__on", "__event")]
+        keep = [n for n in batch.schema.names if n not in ("__event", "__before")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(states, state_kind), pa.array(made, emitted_kind)], [*keep, state, emitted])
 
 

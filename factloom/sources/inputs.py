@@ -4,22 +4,37 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.plans.compiler import root_facts
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a column that tells its rows apart, equal ones too: (hash of the row, which of its copies)."""
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    row = df.withColumn(name, F.xxhash64(*columns))
+    copy = F.row_number().over(Window.partitionBy(name).orderBy(name)).cast("long")
+    return row.withColumn(name, F.struct(F.col(name).alias("row"), copy.alias("copy")))
+
+
 def read_facts(spark: SparkSession, path: str, seq: str | None = None, key: str | None = None, value: Column | None = None, format: str = "parquet", schema: str | T.StructType | None = None, **options: Any) -> DataFrame:
-    """Root facts of a file source. Without a seq column the order is a hash of the row, which is total
-    enough for graphs without state, and for the id of rows that have no key."""
+    """Root facts of a file source. Without a seq column the order, and the id, is the place of the row: (hash of the
+    file's path, row in it) for Parquet, which costs nothing; for other formats the rows are numbered by numbered()."""
     reader = spark.read.format(format).options(**options)
     df = (reader.schema(schema) if schema is not None else reader).load(path)
-    if seq is None:
-        seq = "__row"
-        df = df.withColumn(seq, F.xxhash64(*df.columns))
-    return root_facts(df, seq, key, value)
+    if seq is not None:
+        return root_facts(df, seq, key, value)
+    whole = F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)) if value is None else value
+    place = "__place"
+    while place in df.columns:
+        place += "_"
+    if format == "parquet":
+        df = df.withColumn(place, F.struct(F.xxhash64("_metadata.file_path").alias("row"), F.col("_metadata.row_index").alias("copy")))
+    else:
+        df = numbered(df, place)
+    return root_facts(df, place, key, whole)
 
 
 def table_facts(spark: SparkSession, name: str, seq: str, key: str | None = None) -> DataFrame:
