@@ -32,8 +32,6 @@ class Policy:
     timeout: float | None = None
     on_failure: str = "halt"
     fallback: Callable[[Any, Exception], Any] | None = None
-    mode: str = "sync"
-    priority: str = "normal"
 
     def __post_init__(self) -> None:
         if self.backoff not in ("none", "linear", "exponential", "jitter") or self.on_failure not in ("halt", "skip"):
@@ -80,6 +78,9 @@ class Policy:
             pool.shutdown(wait=False)
 
 
+# The numbers of the three presets.
+
+
 def llm_policy(**changes: Any) -> Policy:
     return replace(Policy(retries=3, backoff="exponential", base_delay=1.0, max_delay=30.0, timeout=30.0), **changes)
 

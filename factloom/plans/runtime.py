@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +20,45 @@ def react(workflow: Workflow, roots: DataFrame, rounds: int = 1, **options: Any)
     return Compiled(workflow.run_hooks("before"), roots, max_depth=rounds, **options)
 
 
-def react_until_satisfied(workflow: Workflow, roots: DataFrame, **options: Any) -> Compiled:
-    """The whole graph. before-hooks may change it first."""
-    return Compiled(workflow.run_hooks("before"), roots, **options)
+class DeadlineExceededError(TimeoutError):
+    """An evaluation took longer than it may."""
+
+
+def within(spark: SparkSession, seconds: float | None, evaluate: Callable[[], Any]) -> Any:
+    """What evaluate() gives; after so many seconds the Spark jobs it has started are cancelled."""
+    if seconds is None:
+        return evaluate()
+    group, late = uuid.uuid4().hex, threading.Event()
+
+    def stop() -> None:
+        late.set()
+        spark.sparkContext.cancelJobGroup(group)
+
+    began, timer = time.monotonic(), threading.Timer(seconds, stop)
+    spark.sparkContext.setJobGroup(group, f"within {seconds} s", True)
+    timer.start()
+    try:
+        made = evaluate()
+    except Exception as e:
+        if late.is_set():
+            raise DeadlineExceededError(f"took more than {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(name, None)
+    if time.monotonic() - began > seconds:
+        raise DeadlineExceededError(f"took more than {seconds} s")
+    return made
+
+
+def react_until_satisfied(workflow: Workflow, roots: DataFrame, deadline: float | None = None, on_checkpoint: Callable[[str], None] | None = None, **options: Any) -> Compiled:
+    """The whole graph. before-hooks may change it first. Lazy, but with a deadline (seconds) or on_checkpoint every frame
+    is evaluated and written now."""
+    done = Compiled(workflow.run_hooks("before"), roots, **options)
+    if deadline is not None or on_checkpoint is not None:
+        within(roots.sparkSession, deadline, lambda: done.materialize(on_checkpoint))
+    return done
 
 
 def plan(workflow: Workflow, roots: DataFrame, **options: Any) -> DataFrame:
@@ -96,4 +136,4 @@ def rehydrated(log: DataFrame, values: DataFrame) -> DataFrame:
     return out.withColumn("value", F.coalesce("value", "__value")).withColumn("value_stripped", F.lit(False)).drop("__value")
 
 
-__all__ = ["Compiled", "check", "check_component", "dehydrated", "events_since", "feedback", "frontier", "invoke", "plan", "react", "react_until_satisfied", "rehydrated", "resolve", "root_facts", "run_component"]
+__all__ = ["Compiled", "DeadlineExceededError", "check", "check_component", "dehydrated", "events_since", "feedback", "frontier", "invoke", "plan", "react", "react_until_satisfied", "rehydrated", "resolve", "root_facts", "run_component", "within"]

@@ -44,6 +44,7 @@ class Workflow:
     run_context: dict[str, dict[str, Any]] = field(default_factory=dict)
     before: dict[str, tuple[Callable, ...]] = field(default_factory=dict)
     after: dict[str, tuple[Callable, ...]] = field(default_factory=dict)
+    around: dict[str, tuple[tuple[Callable | None, Callable | None], ...]] = field(default_factory=dict)
     log: tuple[Any, ...] = ()
 
     # ---- building -------------------------------------------------------------------------------
@@ -130,7 +131,7 @@ class Workflow:
             raise UnresolvedReferenceError(name)
         own = {n.name for n in self.nodes.values() if n.component == name}
         used = {g for n in self.nodes.values() if n.component != name for g in n.gates if g in own}
-        out, up = Workflow(self.name, input_ports=self.input_ports, output_ports=self.output_ports, policies=self.policies, run_context=self.run_context, before=self.before, after=self.after), self.attached[name]
+        out, up = Workflow(self.name, input_ports=self.input_ports, output_ports=self.output_ports, policies=self.policies, run_context=self.run_context, before=self.before, after=self.after, around={k: v for k, v in self.around.items() if k != name}), self.attached[name]
         for other, component in self.components.items():
             if other == name:
                 continue
@@ -177,6 +178,13 @@ class Workflow:
     def attach_after(self, name: str, hook: Callable) -> Workflow:
         return replace(self, after=self.after | {name: (*self.after.get(name, ()), hook)})
 
+    def attach_around(self, name: str, before: Callable | None = None, after: Callable | None = None) -> Workflow:
+        """before(event, context) and after(event, context) are called on the executor round each attempt at a
+        Python step's fact. event: component and value, and for after the result too. An error in a hook is one of the attempt."""
+        if not any(n.component == name and n.options.get("returns") for n in self.nodes.values()):
+            raise UnresolvedReferenceError(f"{name} is no Python step; columns have no moment at which a hook could be called")
+        return replace(self, around=self.around | {name: (*self.around.get(name, ()), (before, after))})
+
     def run_hooks(self, when: str) -> Workflow:
         """Call the hooks in the order in which they were attached; changes take effect in the next round."""
         out = self
@@ -270,6 +278,12 @@ class Workflow:
         """Components that read the named one."""
         return list(dict.fromkeys(self.nodes[n].component for n, _, r in self.reads() if r.kind != "context" and name in (r.target, r.target[0])))
 
+    def kept_components(self) -> list[str]:
+        """Components whose state, count or latest value a later batch goes on from."""
+        kinds = {n.component for n in self.nodes.values() if n.kind in ("accumulator", "fold")}
+        read = {r.target for _, _, r in self.reads() if r.kind not in ("context", "ran_here") and isinstance(r.target, str)}
+        return [c for c in self.components if c in kinds | read]
+
     def required_context(self) -> list[str]:
         """Context keys that are read without a default."""
         return sorted({r.target for _, _, r in self.reads() if r.kind == "context" and r.default is MISSING})

@@ -1,25 +1,30 @@
-"""Stores for workflow logs: append-only facts and run events, snapshots, and lists of workflows."""
+"""Stores for workflow logs: facts, run events, inputs and states in parts that are written whole, specs, and lists of workflows."""
 
 from __future__ import annotations
 
 import abc
 import json
 from typing import Any
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 class Store(abc.ABC):
-    """What a runner needs of a store. Facts and events are DataFrames; specs are plain data."""
+    """What a runner needs of a store. A log is a DataFrame in parts; specs are plain data."""
 
     @abc.abstractmethod
-    def append(self, workflow_id: str, kind: str, rows: DataFrame) -> None:
-        """Add rows to a workflow's log of a kind (facts, runs)."""
+    def append(self, workflow_id: str, kind: str, rows: DataFrame, part: str) -> None:
+        """Add rows to a workflow's log of a kind as a part; a part that is there already is replaced, so that doing it
+        twice is doing it once."""
 
     @abc.abstractmethod
-    def stream(self, workflow_id: str, kind: str) -> DataFrame | None:
-        """All rows of a log so far, None if there are none."""
+    def stream(self, workflow_id: str, kind: str, part: str | None = None) -> DataFrame | None:
+        """All rows of a log so far, or those of one part; None if there are none."""
+
+    @abc.abstractmethod
+    def purge(self, workflow_id: str, kind: str) -> None:
+        """Drop a log; the workflow and its other logs stay."""
 
     @abc.abstractmethod
     def save(self, workflow_id: str, spec: Any) -> None:
@@ -42,18 +47,26 @@ class Store(abc.ABC):
 
 
 class MemoryStore(Store):
-    """Logs as DataFrames in this session: nothing is written, and a log is evaluated when it is read."""
+    """Logs as DataFrames in this session: nothing is written here. The runner's tables are written by itself."""
 
     def __init__(self) -> None:
-        self.logs: dict[tuple[str, str], DataFrame] = {}
+        self.logs: dict[tuple[str, str], dict[str, DataFrame]] = {}
         self.specs: dict[str, Any] = {}
 
-    def append(self, workflow_id: str, kind: str, rows: DataFrame) -> None:
-        old = self.logs.get((workflow_id, kind))
-        self.logs[workflow_id, kind] = rows if old is None else old.unionByName(rows)
+    def append(self, workflow_id: str, kind: str, rows: DataFrame, part: str) -> None:
+        self.logs.setdefault((workflow_id, kind), {})[part] = rows
 
-    def stream(self, workflow_id: str, kind: str) -> DataFrame | None:
-        return self.logs.get((workflow_id, kind))
+    def stream(self, workflow_id: str, kind: str, part: str | None = None) -> DataFrame | None:
+        found = self.logs.get((workflow_id, kind), {})
+        if part is not None:
+            return found.get(part)
+        out = None
+        for rows in found.values():
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
+    def purge(self, workflow_id: str, kind: str) -> None:
+        self.logs.pop((workflow_id, kind), None)
 
     def save(self, workflow_id: str, spec: Any) -> None:
         self.specs[workflow_id] = spec
@@ -71,46 +84,52 @@ class MemoryStore(Store):
 
 
 class ParquetStore(Store):
-    """Logs as Parquet below a folder that Spark reads and writes: <path>/<kind>/workflow_id=<id>/. Spark's
-    committer makes each append whole or nothing. Specs are rows of JSON; the last one counts."""
+    """Logs as Parquet below a folder that Spark reads and writes: <path>/<id>/logs/<kind>/part=<part>. Spark's
+    committer makes each part whole or nothing. A spec is one row of JSON in <path>/<id>/spec."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _read(self, kind: str) -> DataFrame | None:
-        files = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}")
-        if not files.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(files):
-            return None
-        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{kind}")
+    def _at(self, workflow_id: str, *below: str) -> str:
+        return "/".join([self.path, quote(workflow_id, safe=""), *below])
 
-    def append(self, workflow_id: str, kind: str, rows: DataFrame) -> None:
-        rows.withColumn("workflow_id", F.lit(workflow_id)).write.mode("append").partitionBy("workflow_id").parquet(f"{self.path}/{kind}")
+    def _files(self, path: str) -> tuple[Any, Any]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
 
-    def stream(self, workflow_id: str, kind: str) -> DataFrame | None:
-        return self._read(f"{kind}/workflow_id={workflow_id}")
+    def _is_there(self, path: str) -> bool:
+        files, at = self._files(path)
+        return files.exists(at)
 
-    def save(self, workflow_id: str, spec: Any) -> None:
-        self._note(workflow_id, json.dumps(spec, default=str))
+    def append(self, workflow_id: str, kind: str, rows: DataFrame, part: str) -> None:
+        rows.write.mode("overwrite").parquet(self._at(workflow_id, "logs", quote(kind, safe=""), f"part={quote(part, safe='')}"))
+
+    def stream(self, workflow_id: str, kind: str, part: str | None = None) -> DataFrame | None:
+        at = self._at(workflow_id, "logs", quote(kind, safe=""), *([f"part={quote(part, safe='')}"] if part is not None else []))
+        if not self._is_there(at):
+            return None
+        found = self.spark.read.option("mergeSchema", "true").parquet(at)
+        return found if part is not None else found.drop("part")
 
-    def _note(self, workflow_id: str, text: str | None) -> None:
-        row = self.spark.createDataFrame([(workflow_id, text)], "id string, spec string").withColumn("at", F.current_timestamp())
-        row.coalesce(1).write.mode("append").parquet(f"{self.path}/specs")
+    def purge(self, workflow_id: str, kind: str) -> None:
+        files, at = self._files(self._at(workflow_id, "logs", quote(kind, safe="")))
+        files.delete(at, True)
 
-    def _specs(self) -> dict[str, str | None]:
-        df = self._read("specs")
-        last = [] if df is None else df.groupBy("id").agg(F.max_by("spec", "at").alias("spec")).collect()
-        return {r["id"]: r["spec"] for r in last}
+    def save(self, workflow_id: str, spec: Any) -> None:
+        row = self.spark.createDataFrame([(json.dumps(spec, default=str),)], "spec string")
+        row.coalesce(1).write.mode("overwrite").parquet(self._at(workflow_id, "spec"))
 
     def load(self, workflow_id: str) -> Any:
-        if (spec := self._specs().get(workflow_id)) is None:
+        if not self._is_there(at := self._at(workflow_id, "spec")):
             raise KeyError(workflow_id)
-        return json.loads(spec)
+        return json.loads(self.spark.read.parquet(at).first()["spec"])
 
     def delete(self, workflow_id: str) -> None:
-        for kind in ("facts", "runs"):
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{kind}/workflow_id={workflow_id}")
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        self._note(workflow_id, None)
+        files, at = self._files(self._at(workflow_id))
+        files.delete(at, True)
 
     def list(self) -> list[str]:
-        return sorted(k for k, v in self._specs().items() if v is not None)
+        files, at = self._files(self.path)
+        if not files.exists(at):
+            return []
+        return sorted(unquote(f.getPath().getName()) for f in files.listStatus(at) if f.isDirectory())
