@@ -16,9 +16,10 @@ from factloom.plans.compiler import Compiled
 from factloom.plans.policy import Policy, PolicyRule
 from factloom.plans.runtime import dehydrated, frontier, invoke, plan, react, react_until_satisfied, rehydrated, resolve, root_facts
 from factloom.plans.workflow import Workflow, from_log, workflow
-from factloom.runner import pending
-from factloom.sources.inputs import read_facts
-from factloom.streaming.stream import drain, sessions, stream_fold, stream_roots, stream_rowwise
+from factloom.runner import Runner
+from factloom.sources.inputs import numbered, read_facts
+from factloom.sources.store import ParquetStore
+from factloom.streaming.stream import drain, sessions, shared_folder, stream_fold, stream_graph, stream_roots, stream_rowwise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,9 +40,8 @@ def read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Line items as root facts; their columns are no key, so the id is a hash of the row."""
-    df = read(spark, d, "lineitem")
-    return root_facts(df.withColumn("rid", F.xxhash64(*df.columns)), "rid")
+    """Line items as root facts; their columns are no key, so the id is the row's place in its file."""
+    return read_facts(spark, f"{d}/lineitem.parquet")
 
 
 def orders(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,7 @@ def events(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return root_facts(read(spark, d, "documents").filter("lang = 'en'"), "doc_id")
+    return root_facts(read(spark, d, "documents"), "doc_id")
 
 
 def run(wf: Workflow, roots: DataFrame, **options: object) -> Compiled:
@@ -95,8 +95,8 @@ def branching_fanout(spark: SparkSession, d: str) -> DataFrame:
     wf = workflow().add(step(lambda v: v["o_custkey"], "key"))
     for i in range(1, 6):
         wf = wf.add(step(lambda x, i=i: x + i, f"p{i}"), to="key")
-    log = run(wf, orders(spark, d)).productions([f"p{i}" for i in range(1, 6)])
-    return log.select(F.col("root_id").alias("o_orderkey"), "component", F.get_json_object("value", "$.v").cast("long").alias("value"))
+    log = run(wf, orders(spark, d)).productions([f"p{i}" for i in range(1, 6)], typed=True)
+    return log.select(F.col("root_id").alias("o_orderkey"), "component", "value")
 
 
 @query("SELECT o_orderkey, o_custkey * 7 AS value FROM orders")
@@ -109,8 +109,8 @@ def multi_step_constant(spark: SparkSession, d: str) -> DataFrame:
 def rule_filter(spark: SparkSession, d: str) -> DataFrame:
     price = lambda v: v["o_totalprice"]
     wf = workflow(rules=[rule(lambda v: F.lit("large"), lambda v: price(v) > 250000, "large"), rule(lambda v: F.lit("medium"), lambda v: (price(v) > 100000) & (price(v) <= 250000), "medium"), rule(lambda v: F.lit("small"), lambda v: price(v) <= 100000, "small")])
-    log = run(wf, orders(spark, d)).productions()
-    return log.select(F.col("root_id").alias("o_orderkey"), F.get_json_object("value", "$.v").alias("size_class"))
+    log = run(wf, orders(spark, d)).productions(typed=True)
+    return log.select(F.col("root_id").alias("o_orderkey"), F.col("value").alias("size_class"))
 
 
 @query("SELECT o_orderkey, o_custkey AS id, o_totalprice AS total FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AND o_totalprice > 100000")
@@ -158,8 +158,8 @@ def plan_match_phase(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderkey, o_custkey + 1 AS value FROM orders")
 def react_one_round(spark: SparkSession, d: str) -> DataFrame:
     wf = workflow(steps=[(step(lambda v: v["o_custkey"] + 1, "a"), [step(lambda x: x + 2, "b")])])
-    log = react(wf, orders(spark, d)).productions()
-    return log.select(F.col("root_id").alias("o_orderkey"), F.get_json_object("value", "$.v").cast("long").alias("value"))
+    log = react(wf, orders(spark, d)).productions(typed=True)
+    return log.select(F.col("root_id").alias("o_orderkey"), "value")
 
 
 @query("SELECT event_id, value / CAST(json_extract_string(props, '$.k') AS BIGINT) > 100 AS big FROM events WHERE CAST(json_extract_string(props, '$.k') AS BIGINT) <> 0 AND value / CAST(json_extract_string(props, '$.k') AS BIGINT) > 100")
@@ -208,14 +208,14 @@ def join_needs_both(spark: SparkSession, d: str) -> DataFrame:
 WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '')"
 
 
-@query(f"SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_unique, w[1] AS first_word, w[-1] AS last_word FROM (SELECT doc_id, {WORDS} AS w FROM documents WHERE lang = 'en')")
+@query(f"SELECT doc_id, len(w)::BIGINT AS n_words, len(list_distinct(w))::BIGINT AS n_unique, w[1] AS first_word, w[-1] AS last_word FROM (SELECT doc_id, {WORDS} AS w FROM documents)")
 def text_processing(spark: SparkSession, d: str) -> DataFrame:
     wf = workflow(steps=[(step(lambda v: tokenize(v["text"]), "words"), [step(lambda w: F.size(w).cast("long"), "n_words"), step(lambda w: F.size(F.array_distinct(w)).cast("long"), "n_unique"), step(first, "first_word"), step(last, "last_word")])])
     names = ["n_words", "n_unique", "first_word", "last_word"]
     return run(wf, docs(spark, d)).results(names).select(F.col("root_id").alias("doc_id"), *names)
 
 
-@query(f"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({WORDS}) AS word FROM documents WHERE lang = 'en') GROUP BY word")
+@query(f"SELECT word, count(*)::BIGINT AS n FROM (SELECT unnest({WORDS}) AS word FROM documents) GROUP BY word")
 def word_count_map(spark: SparkSession, d: str) -> DataFrame:
     wf = workflow().add(step(lambda v: tokenize(v["text"]), "words")).add(map_each(lambda w: w, "each"), to="words")
     return run(wf, docs(spark, d)).value_of("each").groupBy(F.col("value").alias("word")).agg(F.count(F.lit(1)).alias("n"))
@@ -238,7 +238,7 @@ def map_double(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "SELECT doc_id, sum(len(w))::BIGINT AS letters, count(*) FILTER (len(w) > 5)::BIGINT AS long_words FROM (SELECT doc_id, unnest(" + WORDS + ") AS w FROM documents WHERE lang = 'en') GROUP BY doc_id"
+    "SELECT doc_id, sum(len(w))::BIGINT AS letters, count(*) FILTER (len(w) > 5)::BIGINT AS long_words FROM (SELECT doc_id, unnest(" + WORDS + ") AS w FROM documents) GROUP BY doc_id"
 )
 def map_list_steps(spark: SparkSession, d: str) -> DataFrame:
     each = [step(lambda w: F.length(w).cast("long"), "length"), step(lambda w: (F.length(w) > 5).cast("long"), "is_long")]
@@ -257,7 +257,7 @@ def map_nested(spark: SparkSession, d: str) -> DataFrame:
     return run(wf, roots).value_of("total").select(F.col("root_id").alias("doc_id"), "value")
 
 
-@query("SELECT doc_id, sum(len(w) * 3)::BIGINT AS value FROM (SELECT doc_id, unnest(" + WORDS + ") AS w FROM documents WHERE lang = 'en') GROUP BY doc_id")
+@query("SELECT doc_id, sum(len(w) * 3)::BIGINT AS value FROM (SELECT doc_id, unnest(" + WORDS + ") AS w FROM documents) GROUP BY doc_id")
 def map_with_join(spark: SparkSession, d: str) -> DataFrame:
     n = lambda w: F.length(w).cast("long")
     each = ([step(n, "once"), step(lambda w: n(w) * 2, "twice")], [step(lambda a, b: a + b, "sum3")])
@@ -441,9 +441,8 @@ def aggregate_balance(spark: SparkSession, d: str) -> DataFrame:
         events={"deposited": lambda s, e: s + e["by"], "withdrawn": lambda s, e: s - e["by"]},
     )
     wf = workflow().add(step(lambda v: F.struct(v["event_type"].alias("tag"), money(v["value"]).alias("cents")), "command")).add(account, to="command")
-    done = run(wf, events(spark, d))
-    said = done.emitted("account").select("root_id", "tag")
-    return done.value_of("account").join(said, "root_id", "left").select(F.col("root_id").alias("event_id"), F.col("value").alias("balance"), F.coalesce("tag", F.lit("")).alias("tag"))
+    tag = F.coalesce(F.get("emitted", F.lit(0))["tag"], F.lit("")).alias("tag")
+    return run(wf, events(spark, d)).transitions("account").select(F.col("root_id").alias("event_id"), F.col("value").alias("balance"), tag)
 
 
 @query(
@@ -460,7 +459,7 @@ def saga_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT event_id, coalesce(bool_or(event_type = 'signup') OVER ({UPTO}), false) AND coalesce(bool_or(event_type = 'purchase') OVER ({UPTO}), false) AND event_type IN ('signup', 'purchase') AS completed FROM events"
+    f"SELECT event_id, coalesce(bool_or(event_type = 'signup') OVER ({UPTO}), false) AND coalesce(bool_or(event_type = 'purchase') OVER ({UPTO}), false) AND event_type IN ('signup', 'purchase') AS completed, CASE WHEN event_type = 'signup' THEN 'welcome' ELSE '' END AS command FROM events"
 )
 def process_manager_fulfilment(spark: SparkSession, d: str) -> DataFrame:
     manager = ProcessManager(
@@ -471,9 +470,9 @@ def process_manager_fulfilment(spark: SparkSession, d: str) -> DataFrame:
         complete=lambda s: s["signed"] and s["bought"],
     )
     wf = workflow().add(step(lambda v: v["event_type"], "type")).add(manager, to="type")
-    done = run(wf, events(spark, d))
-    over = done.emitted("pm").filter("tag = 'process_completed'").select("root_id", F.lit(True).alias("over"))
-    return done.value_of("pm").join(over, "root_id", "left").select(F.col("root_id").alias("event_id"), F.coalesce("over", F.lit(False)).alias("completed"))
+    over = F.exists("emitted", lambda e: e["tag"] == "process_completed").alias("completed")
+    command = F.coalesce(F.get(F.filter("emitted", lambda e: e["tag"] == "command"), F.lit(0))["payload"], F.lit("")).alias("command")
+    return run(wf, events(spark, d)).transitions("pm").select(F.col("root_id").alias("event_id"), over, command)
 
 
 # ---- composition, results, policies, log --------------------------------------------------------
@@ -512,39 +511,45 @@ def results_ports_many(spark: SparkSession, d: str) -> DataFrame:
     return run(wf, order_lines(spark, d)).results().select(F.col("root_id").alias("l_orderkey"), F.array_join("doubled", ",").alias("doubled"))
 
 
-@query("SELECT 'plus' AS component, count(*)::BIGINT AS n, sum(n_nationkey + 1)::BIGINT AS total FROM nation UNION ALL SELECT 'twice', count(*), sum((n_nationkey + 1) * 2)::BIGINT FROM nation")
+def order_flow(spark: SparkSession, d: str, extra: bool = False) -> Compiled:
+    """A small graph over all orders."""
+    wf = workflow(steps=[(step(lambda v: v["o_custkey"] + 1, "plus"), [step(lambda x: x * 2, "twice")])])
+    wf = wf.add(step(lambda a, b: a + b, "both"), to=["plus", "twice"]) if extra else wf
+    return run(wf, orders(spark, d))
+
+
+@query("SELECT 'plus' AS component, count(*)::BIGINT AS n, sum(o_custkey + 1)::BIGINT AS total FROM orders UNION ALL SELECT 'twice', count(*), sum((o_custkey + 1) * 2)::BIGINT FROM orders")
 def productions_by_component(spark: SparkSession, d: str) -> DataFrame:
-    wf = workflow(steps=[(step(lambda v: v["n_nationkey"] + 1, "plus"), [step(lambda x: x * 2, "twice")])])
-    by = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).productions_by_component()
+    by = order_flow(spark, d).productions_by_component(64)
     values = F.transform("values", lambda x: F.get_json_object(x, "$.v").cast("long"))
-    return by.select("component", F.size("values").cast("long").alias("n"), F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    total = F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x)
+    return by.groupBy("component").agg(F.sum(F.size("values")).alias("n"), F.sum(total).alias("total"))
 
 
-@query("SELECT n_nationkey::BIGINT AS root_id, producer, depth, parent FROM nation, (VALUES ('input', 0, ''), ('plus', 1, 'input'), ('twice', 2, 'plus'), ('both/join', 3, 'twice'), ('both', 4, 'both/join')) t(producer, depth, parent)")
+@query("SELECT o_orderkey, producer, depth, parent, CASE depth WHEN 1 THEN c + 1 WHEN 2 THEN (c + 1) * 2 WHEN 4 THEN (c + 1) * 3 ELSE -1 END AS value FROM (SELECT o_orderkey, o_custkey AS c FROM orders), (VALUES ('input', 0, ''), ('plus', 1, 'input'), ('twice', 2, 'plus'), ('both/join', 3, 'twice'), ('both', 4, 'both/join')) t(producer, depth, parent)")
 def fact_log_lineage(spark: SparkSession, d: str) -> DataFrame:
-    wf = workflow(steps=[(step(lambda v: v["n_nationkey"] + 1, "plus"), [step(lambda x: x * 2, "twice")])])
-    wf = wf.add(step(lambda a, b: a + b, "both"), to=["plus", "twice"])
-    log = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).facts()
+    """Every fact of every order with its value, and its parent, found by id."""
+    log = order_flow(spark, d, extra=True).facts()
     up = log.select(F.col("fact_id").alias("parent_id"), F.replace(F.col("producer"), F.lit("."), F.lit("/")).alias("parent"))
-    return log.join(up, "parent_id", "left").select(F.col("root_id").cast("long").alias("root_id"), F.replace(F.col("producer"), F.lit("."), F.lit("/")).alias("producer"), "depth", F.coalesce("parent", F.lit("")).alias("parent"))
+    number = F.when(~F.col("producer").isin("input", "both.join"), F.get_json_object("value", "$.v").cast("long"))
+    return log.join(up, "parent_id", "left").select(F.col("root_id").alias("o_orderkey"), F.replace(F.col("producer"), F.lit("."), F.lit("/")).alias("producer"), "depth", F.coalesce("parent", F.lit("")).alias("parent"), F.coalesce(number, F.lit(-1)).alias("value"))
 
 
-@query("SELECT n_nationkey::BIGINT AS root_id, 'twice' AS producer FROM nation")
+@query("SELECT o_orderkey, 'twice' AS producer, (o_custkey + 1) * 2 AS value FROM orders")
 def hot_frontier(spark: SparkSession, d: str) -> DataFrame:
-    wf = workflow(steps=[(step(lambda v: v["n_nationkey"] + 1, "plus"), [step(lambda x: x * 2, "twice")])])
-    log = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).facts()
-    return frontier(log).select(F.col("root_id").cast("long").alias("root_id"), "producer")
+    found = frontier(order_flow(spark, d).facts())
+    return found.select(F.col("root_id").alias("o_orderkey"), "producer", F.get_json_object("value", "$.v").cast("long").alias("value"))
 
 
-@query("SELECT count(*)::BIGINT AS facts, count(*) FILTER (stripped)::BIGINT AS stripped, 0::BIGINT AS lost FROM (SELECT unnest([true, true, false]) AS stripped FROM nation)")
+@query("SELECT o_orderkey, producer, producer <> 'twice' AS stripped, CASE producer WHEN 'plus' THEN o_custkey + 1 WHEN 'twice' THEN (o_custkey + 1) * 2 ELSE o_custkey END AS value FROM orders, (VALUES ('input'), ('plus'), ('twice')) t(producer)")
 def lean_replay(spark: SparkSession, d: str) -> DataFrame:
-    """Strip the values of cold facts, look them up again, and count what differs."""
-    wf = workflow(steps=[(step(lambda v: v["n_nationkey"] + 1, "plus"), [step(lambda x: x * 2, "twice")])])
-    log = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).facts()
+    """Strip the values of cold facts, and look them up again: each fact has its value back."""
+    log = order_flow(spark, d).facts()
     lean = dehydrated(log)
-    back = rehydrated(lean, log).select("fact_id", F.col("value").alias("again"))
-    met = log.join(lean.select("fact_id", "value_stripped"), "fact_id").join(back, "fact_id")
-    return met.agg(F.count(F.lit(1)).alias("facts"), F.count_if("value_stripped").alias("stripped"), F.count_if(~F.col("value").eqNullSafe(F.col("again"))).alias("lost"))
+    back = rehydrated(lean, log).select("fact_id", "value")
+    met = lean.select("fact_id", "root_id", "producer", "value_stripped").join(back, "fact_id")
+    number = F.coalesce(F.get_json_object("value", "$.v.o_custkey"), F.get_json_object("value", "$.v")).cast("long")
+    return met.select(F.col("root_id").alias("o_orderkey"), "producer", F.col("value_stripped").alias("stripped"), number.alias("value"))
 
 
 def needed() -> object:
@@ -577,14 +582,6 @@ def failure_skip_downstream(spark: SparkSession, d: str) -> DataFrame:
     return done.outcomes("k", ["next"]).select(F.col("root_id").alias("event_id"), F.when(F.col("next").isNotNull(), "next").otherwise(said).alias("producer"))
 
 
-@query("SELECT o_orderkey AS runnable_id FROM orders WHERE o_orderstatus = 'P'")
-def pending_runnables(spark: SparkSession, d: str) -> DataFrame:
-    """Dispatched and neither completed nor failed."""
-    o = read(spark, d, "orders")
-    log = o.select(F.col("o_orderkey").alias("runnable_id"), F.lit("dispatched").alias("event")).unionByName(o.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("runnable_id"), F.when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("event")))
-    return pending(log).select("runnable_id")
-
-
 @query("SELECT vec_id, list_max(embedding)::DOUBLE AS top FROM embeddings")
 def custom_component(spark: SparkSession, d: str) -> DataFrame:
     """A component that brings its own plan, over a source read as facts."""
@@ -593,22 +590,22 @@ def custom_component(spark: SparkSession, d: str) -> DataFrame:
     return done.value_of("top").select(F.col("root_id").alias("vec_id"), F.col("value").alias("top"))
 
 
-@query("SELECT count(*)::BIGINT AS facts, count(DISTINCT n_nationkey)::BIGINT AS roots FROM (SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation)")
+@query("SELECT o_orderkey, producer, count(*)::BIGINT AS facts FROM orders, (VALUES ('input'), ('plus')) t(producer) GROUP BY ALL")
 def reactions_once(spark: SparkSession, d: str) -> DataFrame:
     """Inputs and productions, each once."""
-    wf = workflow().add(step(lambda v: v["n_nationkey"] + 1, "plus"))
-    facts = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).reactions()
-    return facts.agg(F.count(F.lit(1)).alias("facts"), F.count_distinct("root_id").alias("roots"))
+    wf = workflow().add(step(lambda v: v["o_custkey"] + 1, "plus"))
+    facts = run(wf, orders(spark, d)).reactions()
+    return facts.groupBy(F.col("root_id").alias("o_orderkey"), "producer").agg(F.count(F.lit(1)).alias("facts"))
 
 
-@query("SELECT n_nationkey::BIGINT AS root_id, n_nationkey + 1 AS value FROM nation WHERE n_regionkey = 1")
+@query("SELECT o_orderkey, o_custkey + 1 AS value FROM orders WHERE o_orderstatus = 'P'")
 def fact_resolver(spark: SparkSession, d: str) -> DataFrame:
     """Values of named facts, looked up by id."""
-    wf = workflow().add(step(lambda v: v["n_nationkey"] + 1, "plus")).add(rule(lambda v: v["n_regionkey"], lambda v: v["n_regionkey"] == 1, "one"))
-    log = run(wf, root_facts(read(spark, d, "nation"), "n_nationkey")).facts()
-    wanted = log.filter("producer = 'one'").select("root_id").join(log.filter("producer = 'plus'"), "root_id")
+    wf = workflow().add(step(lambda v: v["o_custkey"] + 1, "plus")).add(rule(lambda v: v["o_custkey"], lambda v: v["o_orderstatus"] == "P", "open"))
+    log = run(wf, orders(spark, d)).facts()
+    wanted = log.filter("producer = 'open'").select("root_id").join(log.filter("producer = 'plus'"), "root_id")
     got = resolve(log, wanted).join(log.select("fact_id", "root_id"), "fact_id")
-    return got.select(F.col("root_id").cast("long").alias("root_id"), F.get_json_object("value", "$.v").cast("int").alias("value"))
+    return got.select(F.col("root_id").alias("o_orderkey"), F.get_json_object("value", "$.v").cast("long").alias("value"))
 
 
 @query("SELECT o_orderkey, (o_custkey + 1) * 2 AS value FROM orders WHERE (o_custkey + 1) % 3 = 0")
@@ -617,6 +614,52 @@ def invoke_one_component(spark: SparkSession, d: str) -> DataFrame:
     return invoke(wf, orders(spark, d), "b").select(F.col("root_id").alias("o_orderkey"), "value")
 
 
+# ---- null keys, equal rows, initial values ------------------------------------------------------
+
+NULLED = "CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END"
+
+
+@query(f"SELECT event_id, coalesce({NULLED}, -1) AS user_id, len(string_split(event_type, 'e'))::BIGINT + 2 * len(event_type) AS value FROM events")
+def null_key_join(spark: SparkSession, d: str) -> DataFrame:
+    """A reduce joined with a step, where a fifth of all root facts has no key."""
+    df = read(spark, d, "events").withColumn("user_id", F.when(F.col("event_id") % 5 != 0, F.col("user_id")))
+    wf = workflow().add(step(lambda v: F.split(v["event_type"], "e"), "parts")).add(map_each(lambda x: F.lit(1).cast("long"), "one"), to="parts").add(condition(lambda x: x > 0, "any"), to="one")
+    wf = wf.add(reduce(0, name="n", native=F.sum), to="any").add(step(lambda v: F.length(v["event_type"]).cast("long"), "length")).add(step(lambda n, m: n + 2 * m, "sum"), to=["n", "length"])
+    got = run(wf, root_facts(df, "event_id", "user_id")).results(["sum"])
+    return got.select(F.col("root_id").alias("event_id"), F.coalesce("k", F.lit(-1)).alias("user_id"), F.col("sum").alias("value"))
+
+
+@query(f"SELECT event_id, coalesce({NULLED}, -1) AS user_id, sum({CENTS}) OVER (PARTITION BY {NULLED} ORDER BY event_id)::BIGINT AS total FROM events")
+def null_key_state(spark: SparkSession, d: str) -> DataFrame:
+    """A fold in Python whose state a step of the root reads: facts without a key share one state."""
+    df = read(spark, d, "events").withColumn("user_id", F.when(F.col("event_id") % 5 != 0, F.col("user_id")))
+    wf = workflow().add(step(lambda v: money(v["value"]), "cents")).add(accumulator(0, lambda x, s: s + x, "sum"), to="cents")
+    wf = wf.add(step(lambda v: v, "a"), to="cents").add(step(lambda v: v, "b"), to="a").add(step(lambda v, *, s=meta.state_of("sum"): s, "seen"), to="b")
+    got = run(wf, root_facts(df, "event_id", "user_id")).value_of("seen")
+    return got.select(F.col("root_id").alias("event_id"), F.coalesce("k", F.lit(-1)).alias("user_id"), F.col("value").alias("total"))
+
+
+@query("SELECT l_orderkey, count(*)::BIGINT AS facts, sum(l_linenumber + 1)::BIGINT AS total FROM (SELECT l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey")
+def equal_rows_are_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Each line twice: equal rows are different root facts, through a map and a reduce."""
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber")
+    roots = root_facts(numbered(df.unionByName(df), "place"), "place", "l_orderkey")
+    wf = workflow().add(step(lambda v: F.array(v["l_linenumber"].cast("long"), F.lit(1).cast("long")), "two")).add(map_each(lambda x: x, "each"), to="two")
+    wf = wf.add(condition(lambda x: x > 0, "any"), to="each").add(reduce(0, name="sum", native=F.sum), to="any")
+    got = run(wf, roots).value_of("sum")
+    return got.groupBy(F.col("k").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("facts"), F.sum("value").alias("total"))
+
+
+@query(f"SELECT l_orderkey, greatest(5000000, list_max(c)) AS highest, least(200000, list_min(c)) AS lowest, 100 + len(c)::BIGINT AS n FROM ({ORDER_LINES})")
+def reduce_native_init(spark: SparkSession, d: str) -> DataFrame:
+    """Initial values of native reduces: compared with by minima and maxima, added by counts."""
+    wf = workflow().add(map_each(lambda x: x, "each"))
+    for name, init, native in (("highest", 5000000, F.max), ("lowest", 200000, F.min), ("n", 100, F.count)):
+        wf = wf.add(reduce(init, name=name, native=native), to="each")
+    got = run(wf, order_lines(spark, d)).results(["highest", "lowest", "n"])
+    return got.select(F.col("root_id").alias("l_orderkey"), "highest", "lowest", "n")
+
+
 # ---- streams ------------------------------------------------------------------------------------
 
 
@@ -642,11 +685,82 @@ def stream_state_machine(spark: SparkSession, d: str) -> DataFrame:
     return out.filter("tag is null").select(F.col("root_id").alias("event_id"), F.get_json_object(F.concat(F.lit('{"v":'), "state", F.lit("}")), "$.v").alias("state"))
 
 
-@query("SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+@query(SQL["state_of_post"])
+def stream_state_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of state_of_post over a stream: a step, a state, and a rule that reads it."""
+    wf = workflow().add(step(lambda v: money(v["value"]), "cents")).add(accumulator(0, name="sum", native="sum"), to="cents")
+    wf = wf.add(rule(lambda v, *, s=meta.state_of("sum"): s, lambda v, *, s=meta.state_of("sum"): s >= 500000, "over"), to="sum")
+    out = drain(stream_graph(wf, event_stream(spark, d), "over"), "stream_state_graph")
+    return out.select(F.col("root_id").alias("event_id"), F.col("value").alias("after"))
+
+
+# ---- managed runs -------------------------------------------------------------------------------
+
+
+def two_batches(spark: SparkSession, d: str) -> tuple[Workflow, DataFrame, DataFrame]:
+    """A graph with states of both kinds, and the events in two batches, the earlier ones first."""
+    wf, roots = cents_flow(spark, d)
+    wf = wf.add(accumulator(0, name="sum", native="sum"), to="cents").add(accumulator(7, lambda x, s: (s * 31 + x) % 1009, "hash"), to="cents")
+    wf = wf.add(step(lambda c: c, "a"), to="cents").add(step(lambda c: c, "b"), to="a")
+    wf = wf.add(step(lambda c, *, n=meta.fact_count("cents"): n, "nth"), to="b")
+    half = read(spark, d, "events").agg(F.max("event_id")).first()[0] // 2
+    return wf, roots.filter(F.col("seq") <= half), roots.filter(F.col("seq") > half)
+
+
+TWO_BATCHES = f"WITH RECURSIVE e AS (SELECT event_id, user_id, {CENTS} AS c, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), f AS (SELECT event_id, user_id, n, c AS total, (7 * 31 + c) % 1009 AS state FROM e WHERE n = 1 UNION ALL SELECT e.event_id, e.user_id, e.n, f.total + e.c, (f.state * 31 + e.c) % 1009 FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) SELECT event_id, total::BIGINT AS total, state::BIGINT AS state, n::BIGINT AS nth FROM f"
+
+
+@query(TWO_BATCHES)
+def runner_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs give what one run over all events gives: state and counts go from one to the next."""
+    wf, early, late = two_batches(spark, d)
+    runner = Runner(spark, checkpoint="manual")
+    runner.start_workflow("w", wf)
+    runner.run("w", early)
+    runner.run("w", late)
+    got = runner.get_results("w", ["sum", "hash", "nth"])
+    return got.select(F.col("root_id").alias("event_id"), F.col("sum").alias("total"), F.col("hash").alias("state"), "nth")
+
+
+@query(TWO_BATCHES)
+def resume_continues(spark: SparkSession, d: str) -> DataFrame:
+    """One runner evaluates a batch, notes the next and is lost; another takes up its store, state and open run."""
+    wf, early, late = two_batches(spark, d)
+    at = shared_folder(spark, "resume")
+    first = Runner(spark, ParquetStore(spark, at))
+    first.start_workflow("w", wf)
+    first.run("w", early)
+    first.dispatch("w", late)
+    second = Runner(spark, ParquetStore(spark, at))
+    second.resume("w", wf)
+    second.go_on("w")
+    log = second.facts("w").filter("label = 'state_produced' or component = 'nth'")
+    number = F.get_json_object("value", "$.v").cast("long")
+    each = log.groupBy(F.col("root_id").cast("long").alias("event_id"))
+    return each.agg(*(F.max(F.when(F.col("component") == c, number)).alias(n) for c, n in (("sum", "total"), ("hash", "state"), ("nth", "nth"))))
+
+
+@query("SELECT 1::BIGINT AS run, count(*)::BIGINT AS inputs, sum(event_id)::BIGINT AS ids FROM events WHERE event_id > (SELECT max(event_id) // 2 FROM events)")
+def pending_runnables(spark: SparkSession, d: str) -> DataFrame:
+    """Of two dispatched runs one was evaluated: the other is open, with its inputs."""
+    wf, early, late = two_batches(spark, d)
+    runner = Runner(spark, checkpoint="manual")
+    runner.start_workflow("w", wf)
+    runner.run("w", early)
+    runner.dispatch("w", late)
+    inputs = runner.store.stream("w", "inputs", "1").agg(F.lit(1).cast("long").alias("run"), F.count(F.lit(1)).alias("inputs"), F.sum("seq").alias("ids"))
+    return runner.pending("w").select(F.col("runnable_id").alias("run")).join(inputs, "run")
+
+
+@query(
+    "SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 43200000000 AS \"end\", count(*)::BIGINT AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM "
+    "(SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM (SELECT user_id, ts::TIMESTAMP AS ts FROM events))) GROUP BY user_id, session"
+)
 def event_time_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions over event time lose no event."""
+    """Each user's sessions: events at most twelve hours apart."""
     df = read(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return sessions(df, "ts", "1 hour", "1 day", ["event_type"]).groupBy("event_type").agg(F.sum("n").alias("n"))
+    by = sessions(df, "ts", "12 hours", "1 day", ["user_id"])
+    return by.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
