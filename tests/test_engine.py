@@ -10,7 +10,7 @@ from factloom.functions.patterns import Bind
 from factloom.operators.components import Map, Step, accumulator, all_of, any_of, as_component, condition, go_on, halt, map_each, python_step, reduce, rule, step
 from factloom.operators.state import Aggregate, Fsm, ProcessManager, Saga, StateMachine
 from factloom.plans import viz
-from factloom.plans.compiler import root_facts
+from factloom.plans.compiler import Compiled, root_facts
 from factloom.plans.policy import Policy, PolicyRule, Retry, fast_fail, io_policy, llm_policy
 from factloom.plans.runtime import events_since, feedback, plan, react, react_until_satisfied
 from factloom.plans.types import CycleError, IncompatiblePortError, UnresolvedReferenceError, compatible, ports, ports_compatible
@@ -374,3 +374,85 @@ def test_random_graphs_match_the_interpreter(spark, seed):
     for r, x in zip(got, inputs, strict=True):
         want = interpret(nodes, x)
         assert {n[0]: r[n[0]] for n in nodes if r[n[0]] is not None} == {k: v for k, v in want.items() if k}
+
+
+def test_native_reduces_take_the_initial_value_in(spark):
+    roots = root_facts(spark.createDataFrame([(0, [1, 2])], "i long, x array<long>"), "i", value=F.col("x"))
+    for native, want in ((F.max, 5), (F.min, 1), (F.sum, 8), (F.count, 7)):
+        for gate in (False, True):  # within the row, and by aggregation
+            wf = workflow().add(map_each(lambda x: x, "each"))
+            wf = wf.add(condition(lambda x: x > 0, "any"), to="each") if gate else wf
+            wf = wf.add(reduce(5, name="r", native=native), to="any" if gate else "each")
+            assert [r["value"] for r in Compiled(wf, roots).value_of("r").collect()] == [want], (native, gate)
+    with pytest.raises(ValueError):
+        reduce(1, native=F.stddev)
+
+
+def test_null_keys_meet_across_frames(spark):
+    df = spark.createDataFrame([(1, None, [1, 2, 3]), (2, "a", [4])], "i long, k string, x array<long>")
+    wf = workflow().add(step(lambda v: v["x"], "x")).add(map_each(lambda x: x, "each"), to="x").add(condition(lambda x: x > 0, "any"), to="each").add(reduce(0, name="sum", native=F.sum), to="any")
+    wf = wf.add(step(lambda v: F.size(v["x"]).cast("long"), "n")).add(step(lambda s, n: s * 10 + n, "both"), to=["sum", "n"])
+    done = Compiled(wf, root_facts(df, "i", "k"))
+    assert sorted(r["value"] for r in done.value_of("both").collect()) == [41, 63]
+    assert {r["root_id"]: (r["sum"], r["both"]) for r in done.results(["sum", "both"]).collect()} == {1: (6, 63), 2: (4, 41)}
+
+
+def test_equal_rows_are_facts_of_their_own(spark, tmp_path):
+    from factloom.sources.inputs import read_facts
+
+    rows = spark.createDataFrame([(1, "x"), (1, "x"), (2, None)], "a long, `b.c` string")
+    for kind in ("parquet", "json"):
+        rows.write.format(kind).save(str(tmp_path / kind))
+        roots = read_facts(spark, str(tmp_path / kind), format=kind)
+        wf = workflow().add(step(lambda v: F.array(v["a"], v["a"]), "two")).add(map_each(lambda x: x, "each"), to="two").add(condition(lambda x: x > 0, "any"), to="each").add(reduce(0, name="sum", native=F.sum), to="any")
+        done = Compiled(wf, roots)
+        assert sorted(r["value"] for r in done.value_of("sum").collect()) == [2, 2, 4], kind
+        assert done.reactions().filter("label = 'input'").count() == 3
+
+
+def test_typed_productions(spark):
+    roots = root_facts(spark.createDataFrame([(0, 5)], "i long, x long"), "i")
+    wf = workflow().add(step(lambda v: v["x"] + 1, "a")).add(step(lambda v: F.lit("t"), "b"))
+    done = Compiled(wf, roots)
+    assert [r["value"] for r in done.productions(["a"], typed=True).collect()] == [6]
+    with pytest.raises(TypeError):
+        done.productions(typed=True)
+
+
+def test_plans_of_folds_and_maps(spark, small):
+    """One Python pass over few columns, and one evaluation of what a map fans out."""
+    from factloom import queries
+
+    plan = queries.aggregate_balance(spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2 - ("Initial Plan" not in plan) and "props" not in plan and "ts#" not in plan
+    plan = queries.word_count_map(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_hooks_round_python_steps(spark, tmp_path):
+    at = str(tmp_path)
+
+    def note(event, context):
+        import os
+
+        open(os.path.join(at, f"{event['component']}-{event['value']}-{event.get('result', 'before')}-{context['c']}"), "w").close()
+
+    def refuse(event, context):
+        if event["value"] == 3:
+            raise ValueError("refused")
+
+    roots = root_facts(spark.createDataFrame([(i, i) for i in (2, 3)], "i long, x long"), "i")
+    wf = workflow().add(step(lambda v: v["x"], "x")).add(python_step(lambda x: x * 10, "bigint", "ten"), to="x").put_context({"c": 7})
+    wf = wf.attach_around("ten", note, note).attach_around("ten", before=refuse)
+    done = Compiled(wf, roots)
+    assert {r["root_id"]: r["status"] for r in done.outcomes("ten").collect()} == {2: "completed", 3: "failed"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["ten-2-20-7", "ten-2-before-7", "ten-3-before-7"]
+    with pytest.raises(LookupError):
+        wf.attach_around("x", note)
+
+
+def test_hashes_follow_the_source(spark):
+    one, two = step(lambda x: x + 1, "a"), step(lambda x: x + 1, "b")
+    assert one.content_hash() == two.content_hash() != step(lambda x: x + 2).content_hash()
+    held = [step(lambda x, n=n: x + n) for n in (1, 1, 2)]
+    assert held[0].content_hash() == held[1].content_hash() != held[2].content_hash()
