@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, texts
+from factloom.llm.common import column, cut, texts
 
 #: A perfect difference set; every residue modulo 31 but 0 is one difference of two of them.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
-#: A null id counts as the largest, and stands as this number, which is no id.
-LAST = (1 << 63) - 1
+#: Ids from here on count as one, the largest. Null ids stand there, told apart by 32 bits of their texts' hashes.
+LAST = (1 << 63) - (1 << 32)
 #: Odd multipliers of the two rolling hashes, modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 #: Rows that a task combines before they are shuffled, and words whose hashes it remembers.
@@ -86,12 +86,17 @@ def combine(h: np.ndarray, c: np.ndarray, doc: np.ndarray, key: np.ndarray, pos:
     h, c, doc, key, pos = (x[order] for x in (h, c, doc, key, pos))
     new = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])] if len(h) else np.zeros(0, bool)
     least = doc[new][np.cumsum(new) - 1] if len(h) else doc
-    known = doc > least
+    known = rank(doc) > rank(least)
     spread = doc * 0x1F123BB5 + pos * np.int64(0x9E3779B1)
     at = (key.astype(np.int64) << 32) | pos | np.where(known, KNOWN, 0)
     return pa.RecordBatch.from_arrays([pa.array(np.where(known, spread, h)), pa.array(c), pa.array(doc), pa.array(at)], ["h", "c", "doc", "at"])
 
 
+def rank(doc: np.ndarray) -> np.ndarray:
+    """What documents are compared by."""
+    return np.minimum(doc, LAST)
+
+
 def blocks(rows: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Gather (h, c, doc, key, pos) arrays into blocks and combine each."""
     held, n = [], 0
@@ -159,7 +164,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new_c = new_h | np.r_[True, c[1:] != c[:-1]]
         group, cls = np.cumsum(new_h) - 1, np.cumsum(new_c) - 1
         several = np.bincount(group[new_c])[group] > 1
-        covered = doc > doc[new_c][cls]
+        covered = rank(doc) > rank(doc[new_c][cls])
         open_ = (group == group[-1]) & ~several & ~covered
         fine = several & ~covered
         send = (covered | fine) & (pos >= 0)
@@ -235,14 +240,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if a window of `window` consecutive words that covers it also starts in a document with
     a smaller id. Windows are judged on the input. Words are separated by common.SPACES. A null text
-    has no words. A null id counts as the largest, and rows of one id (repeated rows, or several null
-    ids) never remove each other's words. Texts shorter than a window lose nothing.
+    has no words. A null id counts as the largest, as do the 2**32 ids before 2**63; rows of one id (repeated rows,
+    or several null ids) never remove each other's words. Texts shorter than a window lose nothing.
+
+    Rows are told apart by their id and 31 bits of their text's hash, those without an id by 63 bits.
     """
     if window < PERIOD + 1:
         raise ValueError(f"a window must have more than {PERIOD} words")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.xxhash64(text).cast("string").cast("binary")
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), (F.crc32(key) - F.lit(1 << 31)).cast("int").alias("key"), text.alias("text"))
+    text, none = F.coalesce(column(text_col), F.lit("")), column(id_col).isNull()
+    more = F.pmod(F.xxhash64(F.lit("id"), text), F.lit(1 << 32)) + F.lit(LAST)
+    half = F.shiftright(F.crc32(F.xxhash64(text).cast("string").cast("binary")), 1) * 2
+    # the lowest bit of the key says whether the id is null
+    key = (half + none.cast("int") - F.lit(1 << 31)).cast("int")
+    rows = docs.select(F.when(none, more).otherwise(column(id_col).cast("long")).alias("doc"), key.alias("key"), text.alias("text"))
     found = "doc long, key int, pos int, fine boolean"
     anchors = rows.select("doc", "key", "text").mapInArrow(partial(_anchors, window=window), ROW)
     met = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_meet, found)
@@ -254,6 +264,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = fine.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_meet, found)
     repeats = same.filter(~F.col("fine")).groupBy("doc", "key").agg(F.collect_set("pos").alias("repeats"))
     whole = rows.join(marks.select("doc", "key", "covered"), ["doc", "key"], "left").join(repeats, ["doc", "key"], "left")
-    whole = whole.select(F.nullif("doc", F.lit(LAST)).alias("id"), "text", "covered", "repeats")
+    whole = whole.select(F.when(F.col("key").bitwiseAND(F.lit(1)) == 0, F.col("doc")).alias("id"), "text", "covered", "repeats")
     out = whole.select("id", "text", "covered", "repeats").mapInArrow(partial(_cut_words, window=window, with_text=with_text), "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else []))

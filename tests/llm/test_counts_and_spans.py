@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from factloom.llm.decontamination import SuffixAutomaton, contamination, drop_contaminated, find_items, words_of
+from factloom.llm.decontamination import SuffixAutomaton, contamination, drop_contaminated, find_items, remove_spans, words_of
 from factloom.llm.secret_scan import TokenRatio, base_spans, scan, secret_spans
 from factloom.llm.substring import COVER, PERIOD, remove_repeats
 from factloom.llm.token_count import token_counts
@@ -213,3 +213,49 @@ def test_token_counts_repeated_rows_and_ids(docs):
     got = sorted((r["n_tokens"], str(r["doc_id"])) for r in token_counts(rows, WORDS).collect())
     assert got == [(0, "None"), (2, "1"), (2, "1"), (2, "None")]
     assert {r["doc_id"] for r in token_counts(rows.selectExpr("'x' as doc_id", "text"), WORDS).collect()} == {"x"}
+
+
+def test_repeats_of_null_and_extreme_ids(docs):
+    shared, rnd = " ".join(f"s{i}" for i in range(60)), random.Random(4)
+    own = lambda: " ".join(f"o{rnd.randrange(10**9)}" for _ in range(30))
+    long = " ".join(f"w{rnd.randrange(10**9)}" for _ in range(60_000))
+    rows = [(None, f"{own()} {shared}"), (None, f"{shared} {own()}"), ((1 << 63) - 1, f"{own()} {shared}"), (3, f"{own()} {own()}"), (5, long), (7, f"{long} {own()}"), (None, None)]
+    got = [(r["doc_id"], r["n_words"], r["n_removed"]) for r in remove_repeats(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 90, 0), (None, 90, 0), ((1 << 63) - 1, 90, 0), (3, 60, 0), (5, 60_000, 0), (7, 60_030, 60_000), (None, 0, 0)], key=str)
+    first = remove_repeats(docs([*rows, (1, shared)])).collect()
+    assert sorted((r["n_removed"] for r in first if r["doc_id"] is None or r["doc_id"] > 10)) == [0, 60, 60, 60]
+
+
+def test_benchmark_blocks_and_long_items(docs, spark):
+    """Blocks smaller than an item, and than the whole benchmark, find what one automaton finds."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rnd.choice(words) for _ in range(n))) for i, n in enumerate([200, 90, 40, 13, 5, 1, 0])]
+    rows = [(i, " ".join([*(rnd.choice(words) for _ in range(20)), *items[i % 7][1].split()[(a := rnd.randrange(60)) : a + 30], *(rnd.choice(words) for _ in range(20))])) for i in range(40)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = (find_items(docs(rows), benchmark, block_words=n) for n in (2_000_000, 40))
+    columns = ["__row.doc_id", "n_words", "starts", "ends", "items"]
+    assert sorted(map(str, whole.select(*columns).collect())) == sorted(map(str, parts.select(*columns).collect()))
+    assert whole.filter("size(items) > 0").count() > 20
+
+
+def test_remove_spans(docs, spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    benchmark = spark.createDataFrame([("a", item), ("b", "one two")], "item_id string, text string")
+    filler = " ".join(f"f{i}" for i in range(600))
+    rows = [(1, f"{filler}; <<{item.upper()}!>> end\n"), (2, item), (3, None), (4, ""), (5, f"One, two {filler}"), (5, f"One, two {filler}")]
+    got = sorted(((r["doc_id"], r["text"]) for r in remove_spans(docs(rows), benchmark).collect()), key=str)
+    assert got == sorted([(1, f"{filler}; <<!>> end\n"), (3, None), (4, ""), (5, rows[4][1]), (5, rows[5][1])], key=str)
+    short = {r["doc_id"]: r["text"] for r in remove_spans(docs(rows), benchmark, least_words=2, coverage=None).collect()}
+    assert short[2] == "" and short[5] == f" {filler}"
+    assert remove_spans(docs([]).limit(0), benchmark).columns == docs([]).columns
+
+
+def test_decontamination_repeated_rows_and_odd_columns(docs, spark):
+    benchmark = spark.createDataFrame([("a", "some words of a test")], "item_id string, text string")
+    df = docs([(1, "some words of a test"), (1, "some words of a test"), (None, "clean"), (None, "clean")])
+    got = contamination(df, benchmark).collect()
+    assert sorted(r["contaminated"] for r in got) == [False, False, True, True]
+    odd = df.selectExpr("*", "1 as __row", "2 as n_words", "3 as items", "4 as `a.b`", "5 as `c``d`")
+    kept = drop_contaminated(odd, benchmark)
+    assert kept.columns == odd.columns and [r["a.b"] for r in kept.collect()] == [4, 4]
