@@ -8,12 +8,17 @@ choice of groups to leave out, the cell being the counts of the others; points t
 for the bound on all 32 counts and then for the bits themselves. The more groups, the longer is a
 cell's key and the fewer points meet by chance; their number follows the number of points, so that a point
 meets about as many others as it has cells.
+
+near_components() works on one fingerprint of word shingles, as given. drop_near_copies() is for near copies, texts
+whose sets of five-word shingles have a similarity of 0.8 or more. An edited word changes up to five shingles but
+one word, so it takes fingerprints of the texts' distinct words: several, of independent hashes, since a pair that one
+misses is often linked by another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -51,6 +56,32 @@ def fingerprint(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def word_fingerprints(words: list[bytes], n: int) -> list[int]:
+    """n fingerprints of the set of words, each of other hashes; no words: zeros."""
+    import xxhash
+
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, set(words)), np.uint64)
+    out = []
+    for i in range(n):
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), CHUNK):
+            x = hashes[at : at + CHUNK] + np.uint64((i * 0x9E3779B97F4A7C15) & (1 << 64) - 1)
+            x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            x ^= x >> np.uint64(31)
+            ones += np.unpackbits(x.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        out.append(int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big"))
+    return out
+
+
+def _word_fingerprints(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [word_fingerprints(t.encode().lower().split(), n) for t in texts(batch)]
+        columns = np.array(found, np.uint64).reshape(-1, n).view(np.int64)
+        names = [f"f{i}" for i in range(n)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "mark", "size")), *(pa.array(columns[:, i]) for i in range(n))], ["id", "mark", "size", *names])
+
+
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = np.fromiter((fingerprint(t.encode().lower().split(), shingle) for t in texts(batch)), np.uint64, batch.num_rows)
@@ -134,23 +165,36 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """One row of each component, with all its columns: that of the smallest id, null last; of rows that
-    share it, that of the smallest fingerprint and of its texts the longest.
+def _word_links(points: DataFrame, n: int, distance: int) -> DataFrame:
+    """(a, b): nodes that have a fingerprint in common, or two of one kind that differ in up to `distance` bits.
+    points: node, f0, f1, ...; fingerprints that several nodes have are linked by the smallest of these."""
+    links = []
+    for i in range(n):
+        first = cut(points.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("node").alias("node")))
+        same = points.select(F.col(f"f{i}").alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").filter("a <> b").select("a", "b")
+        links += [same, near_links(first, distance)]
+    return reduce(DataFrame.unionByName, links)
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: int = 3, distance: int = 3) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest id, null last; of rows that
+    share it, the longest text.
 
-    The kept (id, text hash) pairs meet the documents in one join on both, so that neither null ids nor
-    rows of one id with different texts stand for one another.
+    Texts are linked if one of their fingerprints of distinct words (ASCII letters lower-cased, separated by
+    common.SPACES) differs in up to `distance` bits; a group is what links reach. Null and empty texts are one group. The
+    kept (id, text hash) pairs meet the documents in one join on both, so that neither null ids nor rows of
+    one id with different texts stand for one another.
     """
     text = F.coalesce(column(text_col), F.lit(""))
     mark = F.unhex(F.sha2(text.cast("binary"), 256))
+    names = [f"f{i}" for i in range(fingerprints)]
     rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), mark.alias("mark"), F.length(text).alias("size"))
-    rows = cut(rows.mapInArrow(partial(_fingerprints, shingle=shingle), f"id {kind_of(rows, 'id')}, fp long, mark binary, size int"))
-    members = _components(rows, distance)
-    no_id = F.col("id").isNull().alias("no_id")
-    first = members.groupBy("component").agg(F.min(F.struct(no_id, "id", "fp")).alias("first")).select("first.id", "first.fp")
-    same = F.col("r.id").eqNullSafe(F.col("f.id")) & (F.col("r.fp") == F.col("f.fp"))
-    kept = rows.alias("r").join(first.alias("f"), same, "left_semi").groupBy("id", "fp").agg(F.min(F.struct((-F.col("size")).alias("minus"), "mark")).alias("best"))
-    kept = kept.select("id", F.col("best.mark").alias("mark"))
+    rows = cut(rows.mapInArrow(partial(_word_fingerprints, n=fingerprints), f"id {kind_of(rows, 'id')}, mark binary, size int, " + ", ".join(f"{c} long" for c in names)))
+    best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), (-F.col("size")).alias("minus"), "mark")).alias("best")
+    points = cut(rows.groupBy(*names).agg(best).withColumn("node", F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in names)))))
+    found = connected_components(_word_links(points.select("node", *names), fingerprints, distance))
+    members = points.select("node", "best").join(found, "node", "left")
+    kept = members.groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.id", "best.mark")
     marked = docs.select(whole(docs, "row"), column(id_col).alias("id"), mark.alias("mark"))
     same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.mark") == F.col("k.mark"))
     return one_of_each(marked.alias("d").join(kept.alias("k"), same, "left_semi"), ["id", "mark"], docs.columns)
