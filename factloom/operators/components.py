@@ -335,10 +335,23 @@ class Custom(Component):
         return [*nodes, self._node("custom", "custom", parents, None, self.name, compile=self.compile)]
 
 
+#: type -> how a value of it becomes a component; see register_component().
+CONVERSIONS: dict[type, Callable[[Any, str], Component]] = {}
+
+
+def register_component(kind: type, convert: Callable[[Any, str], Component]) -> None:
+    """Values of the type, and of those derived from it, may be added to workflows: convert(value, name) makes the
+    component. The nearest type in a value's order of classes counts."""
+    CONVERSIONS[kind] = convert
+
+
 def as_component(x: Any, name: str = "") -> Component:
-    """A component from a function, a list or tuple pipeline, a dict description, a plain value."""
+    """A component from a value of a registered type, a function, a dict description, a plain value."""
     if isinstance(x, Component):
         return x
+    for kind in type(x).__mro__:
+        if kind in CONVERSIONS:
+            return CONVERSIONS[kind](x, name)
     if isinstance(x, dict) and x.get("type") == "custom_processor":
         return Step(name=x.get("metadata", {}).get("name", name), fn=x["function"])
     if callable(x):
@@ -375,4 +388,4 @@ def accumulator(init: Any, fn: Callable[..., Any] | None = None, name: str = "",
     return Accumulator(name=name, init=init, fn=fn, **options)
 
 
-__all__ = [n for n in dir() if n[0].isupper() or n in ("accumulator", "all_of", "any_of", "arity", "as_component", "condition", "described", "go_on", "halt", "map_each", "python_step", "reduce", "rule", "step")]
+__all__ = [n for n in dir() if n[0].isupper() or n in ("accumulator", "all_of", "any_of", "arity", "as_component", "condition", "described", "go_on", "halt", "map_each", "python_step", "reduce", "register_component", "rule", "step")]

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 from factloom.functions.meta import MISSING, Ref
-from factloom.operators.components import Component, Map, Node, Reduce, Step, as_component
+from factloom.operators.components import Component, Condition, Map, Node, Reduce, Step, as_component
 from factloom.plans.policy import Policy, PolicyRule
 from factloom.plans.types import CycleError, IncompatiblePortError, Port, UnresolvedReferenceError, ports, ports_compatible
 
@@ -126,7 +126,8 @@ class Workflow:
         return self._add_workflow(other, None)
 
     def remove(self, name: str) -> Workflow:
-        """Take a component out; what hung on it hangs on its parents then."""
+        """Take a component out; what hung on it hangs on its parents then. Conditions of it that others share
+        stay, as components of their own."""
         if name not in self.components:
             raise UnresolvedReferenceError(name)
         own = {n.name for n in self.nodes.values() if n.component == name}
@@ -134,6 +135,10 @@ class Workflow:
         out, up = Workflow(self.name, input_ports=self.input_ports, output_ports=self.output_ports, policies=self.policies, run_context=self.run_context, before=self.before, after=self.after, around={k: v for k, v in self.around.items() if k != name}), self.attached[name]
         for other, component in self.components.items():
             if other == name:
+                for n in (self.nodes[g] for g in sorted(used)):
+                    if n.kind != "condition":
+                        raise UnresolvedReferenceError(f"{name} holds {n.name}, which others share and which is no single condition")
+                    out = out.add(Condition(name=n.name, fn=n.fn), up if len(up) > 1 else up[0] if up else None)
                 continue
             targets: list[Any] = []
             for t in self.attached[other]:
@@ -141,8 +146,6 @@ class Workflow:
             if isinstance(component, Reduce) and component.over == name:
                 component = replace(component, over=None)
             out = out.add(component, targets if len(targets) > 1 else targets[0] if targets else None)
-        if used:
-            raise UnresolvedReferenceError(f"{name} holds conditions that others share: {', '.join(sorted(used))}")
         return replace(out, log=(*self.log, Removed(name)))
 
     def with_ports(self, inputs: dict[str, Any] | None = None, outputs: dict[str, Any] | None = None) -> Workflow:
@@ -334,11 +337,15 @@ class Workflow:
         return [{"added": e.component.name, "type": type(e.component).__name__, "hash": e.component.content_hash(), "to": e.to} if isinstance(e, Added) else {"removed": e.name} for e in self.log]
 
 
-def workflow(name: str = "workflow", steps: Iterable[Any] = (), rules: Iterable[Any] = (), inputs: dict | None = None, outputs: dict | None = None) -> Workflow:
-    """A workflow of pipelines and rules, with optional boundary ports."""
+def workflow(name: str = "workflow", steps: Iterable[Any] = (), rules: Iterable[Any] = (), inputs: dict | None = None, outputs: dict | None = None, before: dict[str, Callable] | None = None, after: dict[str, Callable] | None = None) -> Workflow:
+    """A workflow of pipelines and rules, with optional boundary ports, and hooks by component."""
     out = Workflow(name)
     for x in (*steps, *rules):
         out = out.add(x)
+    for component, hook in (before or {}).items():
+        out = out.attach_before(component, hook)
+    for component, hook in (after or {}).items():
+        out = out.attach_after(component, hook)
     return out.with_ports(inputs, outputs)
 
 

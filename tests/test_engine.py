@@ -456,3 +456,34 @@ def test_hashes_follow_the_source(spark):
     assert one.content_hash() == two.content_hash() != step(lambda x: x + 2).content_hash()
     held = [step(lambda x, n=n: x + n) for n in (1, 1, 2)]
     assert held[0].content_hash() == held[1].content_hash() != held[2].content_hash()
+
+
+def test_registered_types_become_components(spark):
+    from factloom.operators.components import register_component
+
+    class Times:
+        def __init__(self, by):
+            self.by = by
+
+    class Twice(Times):
+        def __init__(self):
+            super().__init__(2)
+
+    register_component(Times, lambda x, name: step(lambda v, by=x.by: v * by, name or "times"))
+    assert values(Compiled(Workflow().add(Twice()), facts(spark, [3, 4])).value_of("times")) == [6, 8]
+
+
+def test_a_shared_condition_outlives_its_rule(spark):
+    big = rule(lambda v: v, all_of(lambda v: v > 2, lambda v: v < 9), "big")
+    wf = Workflow().add(big).add(rule(lambda v: v * 10, "big.condition_0", "user")).remove("big")
+    assert "big" not in wf.components and values(Compiled(wf, facts(spark, [1, 3, 20])).value_of("user")) == [200, 30]
+    shared = Workflow().add(big).add(rule(lambda v: v, "big.condition", "user"))
+    with pytest.raises(UnresolvedReferenceError):
+        shared.remove("big")
+
+
+def test_hooks_of_a_new_workflow(spark):
+    called = []
+    wf = workflow(steps=[step(lambda v: v, "s")], before={"s": lambda w, name: called.append(name)})
+    react_until_satisfied(wf, facts(spark, [1]))
+    assert called == ["s"]
