@@ -14,7 +14,6 @@ import json
 import linecache
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
-from functools import cache
 from types import CodeType
 from typing import Any
 
@@ -48,11 +47,10 @@ class Node:
         return refs_of(self.fn) | {k: v for k, v in self.options.items() if isinstance(v, Ref)}
 
 
-@cache
-def _parsed(path: str) -> tuple[ast.AST, ...]:
-    """The functions of a source file."""
+def _parsed(path: str) -> list[ast.AST]:
+    """The functions of a source file. Not cached here: what functions refer to travels with them to executors."""
     text = "".join(linecache.getlines(path))
-    return tuple(n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Lambda, ast.FunctionDef)))
+    return [n for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.Lambda, ast.FunctionDef))]
 
 
 def source_of(code: CodeType) -> str | None:
