@@ -172,7 +172,10 @@ def _word_links(points: DataFrame, n: int, distance: int) -> DataFrame:
     for i in range(n):
         first = cut(points.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("node").alias("node")))
         same = points.select(F.col(f"f{i}").alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").filter("a <> b").select("a", "b")
-        links += [same, near_links(first, distance)]
+        near = near_links(first.select("fp", F.col("fp").alias("node")), distance)
+        for end in ("a", "b"):  # the nodes are long: only those of links are looked up
+            near = near.join(first.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+        links += [same, near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))]
     return reduce(DataFrame.unionByName, links)
 
 
