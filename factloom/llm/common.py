@@ -59,18 +59,30 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one in local mode if none is set."""
+    if (shared := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="factloom-checkpoint-")
+    return shared.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there: later jobs do not repeat
     its plan, and an executor that is lost takes nothing of it along."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="factloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of whatever file system it is in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def stable(df: DataFrame) -> DataFrame:
     """df, written first unless it only reads files: its rows then come in the same order whenever a task runs."""
     nodes, open_ = set(), [df._jdf.queryExecution().optimizedPlan()]
@@ -94,5 +106,10 @@ def ship(sc: SparkContext, model: object) -> Broadcast[bytes]:
 
 
 def shipped(model: Broadcast[bytes]) -> object:
-    """What ship() was given, on an executor."""
-    return pickle.loads(model.value)
+    """What ship() was given, on an executor: unpickled once for all tasks of a Python worker, and its pickled form
+    is not kept beside it."""
+    held = vars(model)
+    if "_loaded" not in held:
+        held["_loaded"] = pickle.loads(model.value)
+        held.pop("_value", None)
+    return held["_loaded"]
