@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import cut, table
+from factloom.llm.common import delete, shared_folder, table
 from factloom.llm.decontamination import drop_contaminated
 from factloom.llm.exact_dedup import drop_copies
 from factloom.llm.mixing import mix
@@ -24,7 +26,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
     return drop_near_copies(docs)
 
 
@@ -52,8 +54,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+    """All stages over documents. Each stage's rows are written as Parquet to the shared folder and read again; what
+    a stage has read is deleted when its own rows are written. The last stage reads the last of these."""
+    docs, top, last = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}", None
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+        if last is not None:
+            delete(spark, last)
+        last = f"{top}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
