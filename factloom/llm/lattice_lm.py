@@ -36,6 +36,8 @@ MARK = "▁"
 #: Fixed value: how the vocabulary names its byte pieces.
 BYTE = re.compile(r"<0x[0-9A-F]{2}>")
 DISCOUNT = 0.75
+#: Words of so many characters at most go through the lattice together, WORDS at once.
+LONG, WORDS = 48, 4096
 TEN = math.log(10)
 
 
@@ -73,6 +75,13 @@ class Lattice:
         #: every prefix of a piece -> the piece's log probability, None if the prefix itself is none
         self.prefixes = dict.fromkeys((p[:i] for p in own for i in range(1, len(p)))) | own
         self.byte = [self.p.get(f"<0x{b:02X}>", -math.inf) for b in range(256)]
+        # the same prefixes as a trie: (number of a prefix, next character) -> number of the longer one
+        number = {p: i for i, p in enumerate(self.prefixes, 1)} | {"": 0}
+        keys = np.array([number[p[:-1]] << 21 | ord(p[-1]) for p in self.prefixes], np.int64)
+        order = np.argsort(keys)
+        self.next_keys, self.next_numbers = keys[order], order + 1
+        self.names = ["", *self.prefixes]
+        self.q = np.array([-math.inf if q is None else q for q in (None, *self.prefixes.values())])
 
     def edges(self, word: str) -> list[tuple[int, int, float]]:
         """(start, end, log probability), by start. An edge over one character that is no piece stands for
@@ -133,6 +142,86 @@ class Lattice:
                         into[name] = into.get(name, 0.0) + use
 
 
+    def _steps(self, words: list[str]) -> tuple[np.ndarray, list[tuple]]:
+        """(lengths of the marked words, the edges of all words by start and end): a step is (start, end, which words,
+        log probabilities, numbers of the pieces, or minus the character where its bytes stand for it)."""
+        text = np.frombuffer("".join([MARK + w for w in words]).encode("utf-32-le"), np.uint32).astype(np.int64)
+        n = np.array([len(w) + 1 for w in words])
+        chars = np.full((len(words), n.max()), -1, np.int64)
+        chars[np.arange(n.max()) < n[:, None]] = text
+        kinds, at = np.unique(text, return_inverse=True)
+        spelled = np.zeros(chars.shape)
+        spelled[chars >= 0] = np.array([sum(self.byte[b] for b in chr(c).encode()) for c in kinds.tolist()])[at]
+        mark, steps = ord(MARK), []
+
+        def go(state: np.ndarray, ch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            wanted = state << 21 | ch
+            place = np.minimum(np.searchsorted(self.next_keys, wanted), len(self.next_keys) - 1)
+            return self.next_keys[place] == wanted, self.next_numbers[place]
+
+        for start in range(n.max()):
+            rows = np.flatnonzero(n > start)
+            if start:
+                ch = chars[rows, start]
+                found, state = go(np.zeros_like(ch), ch)
+                alone = (ch == mark) | ~found | (self.q[state] == -np.inf)
+                if alone.any():
+                    steps.append((start, start + 1, rows[alone], spelled[rows[alone], start], -ch[alone]))
+                rows = rows[ch != mark]
+            state, end = np.zeros(len(rows), np.int64), start
+            while len(rows):
+                found, state = go(state, chars[rows, end])
+                rows, state, end = rows[found], state[found], end + 1
+                q = self.q[state]
+                if len(piece := np.flatnonzero(q > -np.inf)):
+                    steps.append((start, end, rows[piece], q[piece], state[piece]))
+                longer = n[rows] > end
+                rows, state = rows[longer], state[longer]
+        return n, steps
+
+    def _forward(self, n: np.ndarray, steps: list[tuple]) -> np.ndarray:
+        log = np.full((len(n), n.max() + 1), -np.inf)
+        log[:, 0] = 0.0
+        for start, end, rows, q, _ in steps:
+            log[rows, end] = np.logaddexp(log[rows, end], log[rows, start] + q)
+        return log
+
+    def log10s(self, words: list[str]) -> list[float]:
+        """log10() of each word, all at once; a word over LONG characters goes by itself."""
+        out = np.zeros(len(words))
+        short = [i for i, w in enumerate(words) if len(w) <= LONG]
+        if short:
+            n, steps = self._steps([words[i] for i in short])
+            out[short] = (self._forward(n, steps)[np.arange(len(n)), n] + self.stop) / TEN
+        for i, w in enumerate(words):
+            if len(w) > LONG:
+                out[i] = self.log10(w)
+        return out.tolist()
+
+    def all_expected(self, words: list[str], into: dict[str, float]) -> None:
+        """expected() of each word, all at once; a word over LONG characters goes by itself."""
+        for w in words:
+            if len(w) > LONG:
+                self.expected(w, into)
+        short = [w for w in words if len(w) <= LONG]
+        if not short:
+            return
+        n, steps = self._steps(short)
+        ahead, every = self._forward(n, steps), np.arange(len(n))
+        back = np.full(ahead.shape, -np.inf)
+        back[every, n] = 0.0
+        whole, names, uses = ahead[every, n], [], []
+        for start, end, rows, q, name in reversed(steps):
+            rest = q + back[rows, end]
+            back[rows, start] = np.logaddexp(back[rows, start], rest)
+            names.append(name)
+            uses.append(np.exp(ahead[rows, start] + rest - whole[rows]))
+        kinds, at = np.unique(np.concatenate(names), return_inverse=True)
+        for name, use in zip(kinds.tolist(), np.bincount(at, np.concatenate(uses)).tolist(), strict=True):
+            for piece in [self.names[name]] if name > 0 else [f"<0x{b:02X}>" for b in chr(-name).encode()]:
+                into[piece] = into.get(piece, 0.0) + use
+
+
 def lower_words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
@@ -160,16 +249,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _expect(batches: Iterator[pa.RecordBatch], lattice: object) -> Iterator[pa.RecordBatch]:
     lattice, found, words = shipped(lattice), {}, 0
     for batch in batches:
-        for word in batch.column("word").to_pylist():
-            lattice.expected(word, found)
-            words += 1
+        for at in range(0, batch.num_rows, WORDS):
+            part = batch.column("word").slice(at, WORDS).to_pylist()
+            lattice.all_expected(part, found)
+            words += len(part)
     yield pa.RecordBatch.from_arrays([pa.array([*found, ""], pa.string()), pa.array([*found.values(), float(words)], pa.float64())], ["piece", "n"])
 
 
 def _spell(batches: Iterator[pa.RecordBatch], lattice: object) -> Iterator[pa.RecordBatch]:
     lattice = shipped(lattice)
     for batch in batches:
-        spelled = [lattice.log10(w) if w != END else 0.0 for w in batch.column("word").to_pylist()]
+        spelled = []
+        for at in range(0, batch.num_rows, WORDS):
+            part = batch.column("word").slice(at, WORDS).to_pylist()
+            spelled += [x if w != END else 0.0 for w, x in zip(part, lattice.log10s(part), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("word", "c", "uses")), pa.array(spelled, pa.float64())], ["word", "c", "uses", "spelled"])
 
 
