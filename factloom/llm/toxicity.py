@@ -16,10 +16,12 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -39,31 +41,80 @@ BANDS, BAND = 6, 3
 FEATURES = 6
 #: What is counted of a word or pair.
 COUNTS = ("toxic", "ordinary", "in_toxic", "in_ordinary")
+#: Words whose hashes a task remembers, and words and pairs that it counts before it passes the counts on.
+MEMORY, FLUSH = 1 << 18, 300_000
 #: Seed of the hashes of words, as Spark's own function has it.
 SEED = 42
 
 
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value or 0, found) for each wanted key; keys are sorted."""
-    if not len(keys):
-        return np.zeros(len(wanted), np.float32), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    found = keys[at] == wanted
-    return np.where(found, values[at], np.float32(0)), found
+class _Hashes(dict):
+    """Word -> hash, filled on demand; emptied when it is large."""
 
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
 
-def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """A pair's hash from those of its words; spark_pair_hash() is the same in SQL."""
-    return (first << np.uint64(21) | first >> np.uint64(43)) ^ second
+        if len(self) >= MEMORY:
+            self.clear()
+        self[word] = out = xxh64_intdigest(word, SEED)
+        return out
+
+
+class Table:
+    """Rows by 64-bit hash, for look-ups of many at once: a row stands at its hash's lowest bits, or at the next
+    free place after it. At most three quarters of the places are taken. Only the rows travel; the places are made where
+    the table is used."""
+
+    def __init__(self, keys: np.ndarray, columns: list[np.ndarray]) -> None:
+        self.rows: tuple | None = (keys, [c.astype(np.float32) for c in columns])
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows or (self.keys[self.taken], [c[self.taken] for c in self.columns])}
+
+    def _place(self) -> None:
+        (keys, columns), self.rows = self.rows, None
+        size = 1 << max(4, (4 * len(keys) // 3).bit_length())
+        self.mask = np.uint64(size - 1)
+        place = np.full(size, -1, np.int32)
+        left, step = np.arange(len(keys)), np.uint64(0)
+        while len(left):
+            at = ((keys[left] + step) & self.mask).astype(np.int64)
+            first = np.zeros(len(left), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            first &= place[at] < 0
+            place[at[first]] = left[first]
+            left, step = left[~first], step + np.uint64(1)
+        self.steps, taken = int(step), place >= 0
+        self.taken, self.keys = taken, np.zeros(size, np.uint64)
+        self.keys[taken] = keys[place[taken]]
+        self.columns = []
+        for c in columns:
+            self.columns.append(np.zeros(size, np.float32))
+            self.columns[-1][taken] = c[place[taken]]
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, found) for each wanted key; the place of one that is not there means nothing."""
+        if self.rows is not None:
+            self._place()
+        at = (wanted & self.mask).astype(np.int64)
+        found = self.taken[at] & (self.keys[at] == wanted)
+        left = np.flatnonzero(~found & self.taken[at])
+        for step in range(1, self.steps):
+            if not len(left):
+                break
+            here = ((wanted[left] + np.uint64(step)) & self.mask).astype(np.int64)
+            hit = self.taken[here] & (self.keys[here] == wanted[left])
+            at[left[hit]], found[left[hit]] = here[hit], True
+            left = left[~hit & self.taken[here]]
+        return at, found
 
 
-def spark_pair_hash(first: str, second: str) -> Column:
-    a = F.xxhash64(first)
-    return F.shiftleft(a, 21).bitwiseOR(F.shiftrightunsigned(a, 43)).bitwiseXOR(F.xxhash64(second))
+def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A pair's hash from those of its words."""
+    return (first << np.uint64(21) | first >> np.uint64(43)) ^ second
 
 
 class Model:
-    """Log-likelihood ratios of words and word pairs by hash, and the regression's weights.
+    """Log-likelihood ratios of words and word pairs by hash.
 
     words: hash, ratio, firm (the ratio when a text counts a word once, so that lines repeated in it do not weigh; 0 for
     words of fewer than SUPPORT texts), back (log ratio of the two classes' backoff weights after the word);
@@ -71,25 +122,21 @@ class Model:
     """
 
     def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray], unseen: float) -> None:
-        order = np.argsort(words["hash"])
-        self.keys = words["hash"][order]
-        self.ratio, self.firm, self.back = (words[c][order].astype(np.float32) for c in ("ratio", "firm", "back"))
-        order = np.argsort(pairs["hash"])
-        self.pairs, self.pair_ratio = pairs["hash"][order], pairs["ratio"][order].astype(np.float32)
-        self.unseen = unseen
-        self.weights: np.ndarray | None = None
+        self.words = Table(words["hash"], [words[c] for c in ("ratio", "firm", "back")])
+        self.pairs = Table(pairs["hash"], [pairs["ratio"]])
+        self.unseen, self.hashes = unseen, _Hashes()
 
     def ratios(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(log-likelihood ratio of each word after the one before it, firm evidence of each)."""
-        from xxhash import xxh64_intdigest
-
-        hashes = np.fromiter((xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        alone, known = _look_up(self.keys, self.ratio, hashes)
-        alone = np.where(known, alone, np.float32(self.unseen)).astype(float)
-        after = alone.copy()
-        pair, met = _look_up(self.pairs, self.pair_ratio, pair_hash(hashes[:-1], hashes[1:]))
-        after[1:] = np.where(met, pair, alone[1:] + _look_up(self.keys, self.back, hashes[:-1])[0])
-        return after, _look_up(self.keys, self.firm, hashes)[0].astype(float)
+        hashes = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        at, known = self.words.find(hashes)
+        ratio, firm, back = (np.where(known, c[at], np.float32(0)) for c in self.words.columns)
+        after = np.where(known, ratio, np.float32(self.unseen))
+        after[1:] += back[:-1]
+        both = np.flatnonzero(known[1:] & known[:-1])  # no other pair was seen
+        pair, met = self.pairs.find(pair_hash(hashes[both], hashes[both + 1]))
+        after[both[met] + 1] = self.pairs.columns[0][pair[met]]
+        return after.astype(float), firm.astype(float)
 
     def features(self, text: str) -> list[float]:
         words = words_of(text)
@@ -102,22 +149,31 @@ class Model:
         strong = float(np.maximum(firm - STRONG, 0).sum())
         return [total / n, total / math.sqrt(n), float(top.sum()) / PEAK, math.log1p(n), math.log1p(strong), strong / math.sqrt(n)]
 
-    def score(self, text: str) -> float:
-        z = float(self.weights @ np.r_[1.0, self.features(text)])
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+@dataclass
+class Classifier:
+    """The models, as they are shipped to executors once, and the regression's weights (intercept first)."""
+
+    model: Model
+    shipped: Broadcast
+    weights: np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(first, word, toxic, ordinary, in_toxic, in_ordinary): how often a word comes after a first one in the texts of each
-    label; first is null for the word alone, which also has the number of its texts."""
+    """(first, word, toxic, ordinary, in_toxic, in_ordinary): hashes of two words, and how often the second comes after the
+    first in the texts of each label; first is null for a word alone, which also has the number of its texts."""
     held, seen = (Counter(), Counter()), (Counter(), Counter())
 
+    hashes = _Hashes()
+
     def out() -> pa.RecordBatch:
         keys = list(held[0].keys() | held[1].keys())
         pair = [k if isinstance(k, tuple) else (None, k) for k in keys]
-        columns = [[a and a.decode() for a, _ in pair], [b.decode() for _, b in pair], [held[1][k] for k in keys], [held[0][k] for k in keys], [seen[1][k] for k in keys], [seen[0][k] for k in keys]]
-        kinds = (pa.string(), pa.string(), *[pa.int64()] * 4)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["first", "word", *COUNTS])
+        first = pa.array([0 if a is None else hashes[a] for a, _ in pair], pa.uint64(), mask=np.array([a is None for a, _ in pair], bool))
+        word = pa.array([hashes[b] for _, b in pair], pa.uint64())
+        counts = [pa.array([held[1][k] for k in keys], pa.int64()), pa.array([held[0][k] for k in keys], pa.int64())]
+        counts += [pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())]
+        return pa.RecordBatch.from_arrays([first.view(pa.int64()), word.view(pa.int64()), *counts], ["first", "word", *COUNTS])
 
     for batch in batches:
         for text, label in zip(texts(batch), batch.column("label").to_pylist(), strict=True):
@@ -125,7 +181,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[label].update(words)
             held[label].update(zip(words, words[1:], strict=False))
             seen[label].update(set(words))
-        if len(held[0]) + len(held[1]) > 400_000:
+        if len(held[0]) + len(held[1]) > FLUSH:
             yield out()
             held, seen = (Counter(), Counter()), (Counter(), Counter())
     yield out()
@@ -155,10 +211,11 @@ def _features(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*(pa.array(rows[:, i]) for i in range(FEATURES)), batch.column("label")], [*(f"f{i}" for i in range(FEATURES)), "label"])
 
 
-def _score(batches: Iterator[pa.RecordBatch], model: object) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], model: object, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
     found = shipped(model)
     for batch in batches:
-        scores = pa.array([found.score(t) for t in texts(batch)], pa.float64())
+        z = [float(weights @ np.r_[1.0, found.features(t)]) for t in texts(batch)]
+        scores = pa.array([1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) for x in z], pa.float64())
         yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "__score"])
 
 
@@ -192,7 +249,38 @@ def _smoothed(own: Column, total: float, types: float, shared: Column) -> Column
     return F.greatest(own - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * max(types, 1.0) / total * shared
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000) -> Model:
+def fitted(counts: DataFrame) -> Model:
+    """The two models from what _count() gives, summed up: a row for each word and pair of the sample. The
+    probabilities are worked out in Spark; the driver gets a hash and a ratio for each pair."""
+    alone, pairs = counts.filter("first is null").drop("first"), counts.filter("first is not null").select("first", "word", *COUNTS[:2])
+    total = dict(zip(COUNTS, (float(x or 0) for x in alone.agg(*map(F.sum, COUNTS)).first()), strict=True))
+    types_t, types_o = (float(x or 0) for x in alone.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0)).first())
+    types = dict(zip(COUNTS, (types_t, types_o) * 2, strict=True))
+
+    after = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("after"))
+    follow = pairs.groupBy(F.col("first").alias("word")).agg(*(f(c) for c in COUNTS[:2] for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
+    n_pairs = float(pairs.count())
+    words = alone.join(after, "word", "left").join(follow, "word", "left").withColumn("shared", (F.coalesce("after", F.lit(0)) + 0.5) / max(1.0, n_pairs))
+    words = words.withColumns({f"p_{c}": _smoothed(F.col(c), total[c], types[c], F.col("shared")) for c in COUNTS})
+    for c in COUNTS[:2]:  # what a first word leaves to single words, all of it where it was never followed
+        words = words.withColumn(f"total_{c}", F.greatest(F.col(f"sum_{c}"), F.lit(1)))
+        words = words.withColumn(f"back_{c}", F.when(F.col(f"sum_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / F.col(f"total_{c}")).otherwise(1.0))
+    firm = F.when(F.col("in_toxic") + F.col("in_ordinary") >= SUPPORT, F.log(F.col("p_in_toxic") / F.col("p_in_ordinary"))).otherwise(0.0)
+    ratios = {"ratio": F.log(F.col("p_toxic") / F.col("p_ordinary")), "firm": firm, "back": F.log(F.col("back_toxic") / F.col("back_ordinary"))}
+    kept = [f"{x}_{c}" for x in ("p", "total", "back") for c in COUNTS[:2]]
+    words = cut(words.select("word", *(c.cast("float").alias(n) for n, c in ratios.items()), *kept))
+    single = _arrays(words.select(F.col("word").alias("hash"), *ratios))
+
+    first = words.select(F.col("word").alias("first"), *kept[2:])
+    met = pairs.join(first, "first").join(words.select("word", *kept[:2]), "word")
+    t, o = (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{c}") + F.col(f"back_{c}") * F.col(f"p_{c}") for c in COUNTS[:2])
+    pair = F.shiftleft("first", 21).bitwiseOR(F.shiftrightunsigned("first", 43)).bitwiseXOR(F.col("word"))  # pair_hash()
+    double = _arrays(met.select(pair.alias("hash"), F.log(t / o).cast("float").alias("ratio")))
+    # a word that was never seen has its shared share from both sides
+    return Model(single, double, math.log((max(types_t, 1) / max(total["toxic"], 1)) / (max(types_o, 1) / max(total["ordinary"], 1))))
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, per_class: int = 5000) -> Classifier:
     """Fit on labelled rows outside the held-out fold: about per_class of each label, those whose hash
     of the id falls below that share; a fifth of them fits the regression, the rest the two models. Of
     near copies with one label in the sample one is learned from, or their words would pass for toxic ones.
@@ -214,46 +302,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     stay = docs.sparkSession.createDataFrame(keys[["__id"]], "__id long")
     rows = rows.join(F.broadcast(stay), "__id").select("text", "label", "part")
 
-    counts = rows.filter("part = 0").select("text", "label").mapInArrow(_count, "first string, word string, " + ", ".join(f"{c} long" for c in COUNTS))
-    counts = cut(counts.groupBy("first", "word").agg(*(F.sum(c).alias(c) for c in COUNTS)))
-    alone, pairs = counts.filter("first is null"), counts.filter("first is not null")
-    total = dict(zip(COUNTS, (float(x or 0) for x in alone.agg(*map(F.sum, COUNTS)).first()), strict=True))
-    types_t, types_o = (float(x or 0) for x in alone.agg(F.count_if(F.col("toxic") > 0), F.count_if(F.col("ordinary") > 0)).first())
-    types = dict(zip(COUNTS, (types_t, types_o) * 2, strict=True))
-    n_pairs = float(pairs.count())
-
-    after = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("after"))
-    follow = pairs.groupBy(F.col("first").alias("word")).agg(*(f(c) for c in ("toxic", "ordinary") for f in (lambda c: F.sum(c).alias(f"sum_{c}"), lambda c: F.count_if(F.col(c) > 0).alias(f"types_{c}"))))
-    words = alone.select("word", *COUNTS).join(after, "word", "left").join(follow, "word", "left").withColumn("shared", (F.coalesce("after", F.lit(0)) + 0.5) / max(1.0, n_pairs))
-    words = words.withColumns({f"p_{c}": _smoothed(F.col(c), total[c], types[c], F.col("shared")) for c in COUNTS})
-    for c in ("toxic", "ordinary"):  # what a first word leaves to single words, all of it where it was never followed
-        after = F.greatest(F.col(f"sum_{c}"), F.lit(1))
-        words = words.withColumn(f"back_{c}", F.when(F.col(f"sum_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / after).otherwise(1.0)).withColumn(f"total_{c}", after)
-    words = cut(words)
-    firm = F.when(F.col("in_toxic") + F.col("in_ordinary") >= SUPPORT, F.log(F.col("p_in_toxic") / F.col("p_in_ordinary"))).otherwise(0.0)
-    back = F.log(F.col("back_toxic") / F.col("back_ordinary"))
-    found = _arrays(words.select(F.xxhash64("word").alias("hash"), F.log(F.col("p_toxic") / F.col("p_ordinary")).cast("float").alias("ratio"), firm.cast("float").alias("firm"), back.cast("float").alias("back")))
-
-    first = words.select(F.col("word").alias("first"), "back_toxic", "back_ordinary", "total_toxic", "total_ordinary")
-    met = pairs.join(first, "first").join(words.select("word", "p_toxic", "p_ordinary"), "word")
-
-    def pair_p(c: str) -> Column:
-        return F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.col(f"total_{c}") + F.col(f"back_{c}") * F.col(f"p_{c}")
-
-    known_pairs = _arrays(met.select(spark_pair_hash("first", "word").alias("hash"), F.log(pair_p("toxic") / pair_p("ordinary")).cast("float").alias("ratio")))
-    # a word that was never seen has its shared share from both sides
-    unseen = math.log((max(types_t, 1) / max(total["toxic"], 1)) / (max(types_o, 1) / max(total["ordinary"], 1)))
-    model = Model(found, known_pairs, unseen)
+    counts = rows.filter("part = 0").select("text", "label").mapInArrow(_count, "first long, word long, " + ", ".join(f"{c} long" for c in COUNTS))
+    model = fitted(cut(counts.groupBy("first", "word").agg(*(F.sum(c).cast("int").alias(c) for c in COUNTS))))
 
-    seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=ship(sc, model)), ", ".join(f"f{i} double" for i in range(FEATURES)) + ", label int").toArrow().to_pandas()
+    sent = ship(sc, model)
+    seen = rows.filter("part = 1").select("text", "label").mapInArrow(partial(_features, model=sent), ", ".join(f"f{i} double" for i in range(FEATURES)) + ", label int").toArrow().to_pandas()
     y = seen["label"].to_numpy(float)
     prior = sizes.get(1, 0) / max(1, sizes.get(0, 0) + sizes.get(1, 0))
     if 0 < y.sum() < len(y):
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean()))
-        model.weights = logistic(seen[[f"f{i}" for i in range(FEATURES)]].to_numpy(float), y, weight)
+        weights = logistic(seen[[f"f{i}" for i in range(FEATURES)]].to_numpy(float), y, weight)
     else:  # nothing to compare: the share of toxic labels
-        model.weights = np.r_[math.log((prior + 1e-9) / (1 - prior + 1e-9)), np.zeros(FEATURES)]
-    return model
+        weights = np.r_[math.log((prior + 1e-9) / (1 - prior + 1e-9)), np.zeros(FEATURES)]
+    return Classifier(model, sent, weights)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, held_out_fold: int = 0, **options: int) -> DataFrame:
@@ -263,15 +324,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     letter or digit, gets the score of no evidence. Without labels of both kinds every score is the
     share of toxic labels. Repeated rows get equal scores; an empty table gives an empty result.
     """
-    model = train(docs, labels, id_col, text_col, label_col, folds, held_out_fold, **options)
+    found = train(docs, labels, id_col, text_col, label_col, folds, held_out_fold, **options)
     rows = docs.select(column(id_col).alias("id"), (fold(column(id_col), folds) == held_out_fold).alias("held_out"), column(text_col).alias("text"))
-    scored = rows.mapInArrow(partial(_score, model=ship(docs.sparkSession.sparkContext, model)), _with_score(rows))
+    scored = rows.mapInArrow(partial(_score, model=found.shipped, weights=found.weights), _with_score(rows))
     return scored.select(F.col("id").alias(id_col), "held_out", F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: object) -> DataFrame:
     """The rows of docs with a score below 0.5, with all their columns."""
-    model = train(docs, labels, id_col, text_col, **options)
+    found = train(docs, labels, id_col, text_col, **options)
     rows = docs.select(whole(docs, "row"), column(text_col).alias("text"))
-    scored = rows.mapInArrow(partial(_score, model=ship(docs.sparkSession.sparkContext, model)), _with_score(rows))
+    scored = rows.mapInArrow(partial(_score, model=found.shipped, weights=found.weights), _with_score(rows))
     return unpacked(scored.filter("__score < 0.5"), "row", docs.columns)

@@ -1,6 +1,7 @@
 """Language ID, toxicity, lattice scores, mixing, the pipeline, and the contracts' columns."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -13,7 +14,7 @@ from factloom.llm.language_id import Filters, Letters, grams, languages
 from factloom.llm.lattice_lm import MARK, Lattice, Terms, lattice_scores, vocabulary
 from factloom.llm import mixing
 from factloom.llm.mixing import hypergeometric, mix, mixed_documents, source_targets
-from factloom.llm.toxicity import drop_toxic, toxicity, train
+from factloom.llm.toxicity import Table, drop_toxic, toxicity, train
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -123,12 +124,12 @@ def test_toxicity_ratios_by_hand(spark, docs):
     names = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(rnd.choice(names, 12, p=np.arange(40, 0, -1) / 820))) for i in range(90)]
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
-    model = train(docs(rows), labels, per_class=10_000)
+    model = pickle.loads(pickle.dumps(train(docs(rows), labels, per_class=10_000).model))
     parts = {r[0]: r[1] for r in spark.createDataFrame(rows, "id long, t string").selectExpr("id", "pmod(xxhash64('part', id), 5) <> 0").collect()}
     learned = [([w.encode() for w in t.split()], int(i % 3 == 0)) for i, t in rows if fold(i) != 0 and parts[i]]
     ratio, firm = kneser_ney_by_hand(learned)
     words = sorted(firm)
-    assert len(model.keys) == len(words) and len(model.pairs) == len({p for t, _ in learned for p in zip(t, t[1:], strict=False)})
+    assert len(model.words.rows[0]) == len(words) and len(model.pairs.rows[0]) == len({p for t, _ in learned for p in zip(t, t[1:], strict=False)})
     for a in words:
         for b in words:
             after, own = model.ratios([a, b])
@@ -136,6 +137,19 @@ def test_toxicity_ratios_by_hand(spark, docs):
     assert model.ratios([b"never", words[0]])[0] == pytest.approx([model.unseen, ratio[None, words[0]]], abs=1e-4)
 
 
+def test_table_finds_what_it_holds_and_nothing_else():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 7, 5000):
+        keys = np.unique(np.r_[rnd.integers(0, 1 << 63, n).astype(np.uint64), (np.arange(min(n, 40), dtype=np.uint64) << np.uint64(40)) + np.uint64(3)]) if n else np.zeros(0, np.uint64)
+        table = Table(keys, [np.arange(len(keys), dtype=np.float32)])
+        at, found = table.find(keys)
+        assert found.all() and (table.columns[0][at] == np.arange(len(keys))).all()
+        again = pickle.loads(pickle.dumps(table))
+        assert again.find(keys)[1].all() and (again.columns[0][again.find(keys)[0]] == np.arange(len(keys))).all()
+        other = np.setdiff1d(np.r_[rnd.integers(0, 1 << 63, 1000).astype(np.uint64), np.arange(50, dtype=np.uint64)], keys)
+        assert not table.find(other)[1].any()
+
+
 def test_toxicity_edges(spark, docs):
     plain = [(i, f"calm words number {i % 9} and more of them {i}") for i in range(60)] + [(100 + i, f"you idiot number {i % 9} and more of them {i}") for i in range(60)]
     labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in plain], "doc_id long, toxic int")
@@ -217,6 +231,19 @@ def test_expected_counts_over_all_segmentations(lattice, word):
     assert found == pytest.approx(dict(want), abs=1e-12)
 
 
+def test_words_together_are_words_alone(lattice):
+    rnd = np.random.default_rng(9)
+    letters = [*"etaoinshr", "é", "日", "🙂", "<", "0", MARK, "\u0301"]
+    words = ["", "x<0x41>", "a▁b", *("".join(rnd.choice(letters, rnd.integers(1, 60))) for _ in range(150)), "segmentations" * 30]
+    assert lattice.log10s(words) == pytest.approx([lattice.log10(w) for w in words], rel=1e-12)
+    one, all_ = {}, {}
+    for w in words:
+        lattice.expected(w, one)
+    lattice.all_expected(words, all_)
+    assert all_ == pytest.approx(one, rel=1e-9, abs=1e-12)
+    assert lattice.log10s([]) == [] and lattice.all_expected([], {}) is None
+
+
 def test_expected_counts_of_a_long_word_are_of_the_whole(lattice):
     found = {}
     lattice.expected("segmentations" * 30, found)
@@ -410,18 +437,85 @@ def test_query_columns_and_rows(spark, small, op):
     assert df.count() == spark.read.parquet(f"{small}/documents.parquet").count()
 
 
+def kept_of_equal(rows):
+    """Brute force of the exact stage: of equal texts the longest stays, then the smallest id."""
+    best = {}
+    for i, t in rows:
+        key = "".join((t or "").split(" ")).translate(dict.fromkeys(map(ord, "\t\n\x0b\x0c\r")))
+        best[key] = min(best.get(key, (1, 0)), (-len(t or ""), i))
+    return {i for _, i in best.values()}
+
+
+def kept_of_near(rows):
+    """Brute force of the near-copy stage: fingerprints of all pairs."""
+    from factloom.llm.simhash import word_fingerprints
+
+    prints = {i: word_fingerprints((t or "").encode().lower().split(), 3) for i, t in rows}
+    group = {i: i for i in prints}
+    for a in sorted(prints):
+        for b in sorted(prints):
+            if b < a and group[a] != group[b] and any((x ^ y).bit_count() <= 3 for x, y in zip(prints[a], prints[b], strict=True)):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    return set(group.values())
+
+
+def kept_of_clean(rows, items, window=13):
+    """Brute force of the decontamination stage."""
+    from factloom.llm.decontamination import words_of
+
+    windows = set()
+    for _, t in items:
+        w = words_of(t or "")
+        windows |= {tuple(w[i : i + window]) for i in range(max(1, len(w) - window + 1))} if w else set()
+    kept = set()
+    for i, t in rows:
+        w, hit = words_of(t or ""), set()
+        for size in {len(x) for x in windows}:
+            for at in range(len(w) - size + 1):
+                if tuple(w[at : at + size]) in windows:
+                    hit |= set(range(at, at + size))
+        if not hit or 20 * len(hit) < len(w):
+            kept.add(i)
+    return kept
+
+
 def test_pipeline_stages(spark, small):
+    """Each stage against brute force on what the one before it kept."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{small}/documents.parquet")
-    columns, left = docs.columns, docs.count()
-    for name, stage in p.STAGES[:-1]:
+    docs, benchmark = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
+    columns, items = docs.columns, [(r["item_id"], r["text"]) for r in benchmark.collect()]
+    calm = {r["doc_id"] for r in toxicity(docs, spark.read.parquet(f"{small}/labels.parquet")).filter("predicted = 0").collect()}
+    want = [lambda rows: calm, kept_of_equal, kept_of_near, lambda rows: kept_of_clean(rows, items)]
+    for (name, stage), by_hand in zip(p.STAGES[:-1], want, strict=True):
+        rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
         docs = stage(spark, docs, small).checkpoint()
         assert docs.columns == columns, name
-        assert docs.select("doc_id").distinct().count() == docs.count() <= left
-        left = docs.count()
+        assert sorted(r["doc_id"] for r in docs.collect()) == sorted(by_hand(rows)), name
+    left = docs.select("doc_id", "text", "source").collect()
     out = p.STAGES[-1][1](spark, docs, small).toPandas()
-    assert len(out) == left and (out.taken <= 2 * out["size"]).all()
+    assert sorted(out.doc_id) == sorted(r["doc_id"] for r in left) and (out.taken <= 2 * out["size"]).all()
     drawn = out.draws.map(lambda d: 0 if d is None else sum(r["n_words"] * r["times"] for r in d))
     assert (drawn == out.taken).all()
+    sizes_ = {}
+    for r in left:
+        sizes_.setdefault(r["source"], []).append(len((r["text"] or "").split()))
+    targets = targets_by_hand({k: sum(v) for k, v in sizes_.items()})
+    for source, own in out.groupby("source", dropna=False):
+        source = None if source != source else source
+        quotas, words = quotas_by_hand(sizes_[source], targets[source]), Counter()
+        for d in own.draws:
+            for r in d if d is not None else []:
+                words[kind_by_hand(r["n_words"])] += r["times"] - round(targets[source]) // max(1, sum(sizes_[source]))
+        assert [words[k] for k in range(9)] == quotas, source
     assert sorted(p.run(spark, small).toPandas().doc_id) == sorted(out.doc_id)
+
+
+def test_mixing_stage_edges(spark, docs):
+    import corpus_pipeline as p
+
+    df = docs([(1, None), (None, ""), (2, "a b c " * 100), (2, "a b c " * 100), (None, "x y")]).selectExpr("*", "1 as taken", "2 as draws", "3 as number", "4 as `a.b`")
+    out = p.mixed(spark, df, "").toPandas()
+    assert len(out) == 5 and out[out["size"] == 0].taken.eq(0).all() and (out.taken <= 2 * out["size"]).all()
+    assert p.mixed(spark, docs([]).limit(0), "").count() == 0
