@@ -130,14 +130,15 @@ def groups_for(points: int, distance: int) -> int:
 
 def near_links(points: DataFrame, distance: int = 3, groups: int | None = None) -> DataFrame:
     """(a, b): the nodes of every two fingerprints that differ in 1 to `distance` bits.
-    points: fp, node; one row for each fingerprint. groups changes the work, not the links."""
+    points: fp, node, and, if there is one, class: fingerprints of one class need no link between them; one row for
+    each fingerprint. groups changes the work, not the links."""
     if not 0 <= distance <= 8:
         raise ValueError("the search is for distances up to 8")
     groups = groups or groups_for(points.count(), distance)
     masks = F.array(*(F.struct(F.lit(i).alias("choice"), F.col("at").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(group_masks(groups, distance))))
-    cells = points.withColumn("at", counts(F.col("fp"))).withColumn("c", F.explode(masks)).select("fp", "node", "at", "c.choice", "c.cell")
+    cells = points.withColumn("at", counts(F.col("fp"))).withColumn("c", F.explode(masks)).select("fp", "node", "at", "c.choice", "c.cell", *(["class"] if "class" in points.columns else []))
     near = (manhattan(F.col("l.at"), F.col("r.at")) <= distance) & (F.bit_count(F.col("l.fp").bitwiseXOR(F.col("r.fp"))) <= distance)
-    met = cells.alias("l").join(cells.alias("r"), (F.col("l.choice") == F.col("r.choice")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.fp") < F.col("r.fp")) & near)
+    met = cells.alias("l").join(cells.alias("r"), (F.col("l.choice") == F.col("r.choice")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.fp") < F.col("r.fp")) & near & (F.col("l.class") != F.col("r.class") if "class" in points.columns else F.lit(True)))
     return met.select(F.greatest("l.node", "r.node").alias("a"), F.least("l.node", "r.node").alias("b"))
 
 
@@ -165,18 +166,31 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _word_links(points: DataFrame, n: int, distance: int) -> DataFrame:
-    """(a, b): nodes that have a fingerprint in common, or two of one kind that differ in up to `distance` bits.
-    points: node, f0, f1, ...; fingerprints that several nodes have are linked by the smallest of these."""
-    links = []
+def _word_components(points: DataFrame, n: int, distance: int) -> DataFrame:
+    """(node, component): nodes are linked that have a fingerprint in common, or two of one kind that differ in up to
+    `distance` bits. points: node, f0, f1, ...
+
+    Of many copies nearly all pairs are near each other. So links of one bit come first, with those of common
+    fingerprints (all to the smallest node that has one); wider ones are only sought between what is not
+    yet linked, and stand for their whole components.
+    """
+    kinds, links = [], []
     for i in range(n):
         first = cut(points.groupBy(F.col(f"f{i}").alias("fp")).agg(F.min("node").alias("node")))
-        same = points.select(F.col(f"f{i}").alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").filter("a <> b").select("a", "b")
-        near = near_links(first.select("fp", F.col("fp").alias("node")), distance)
+        kinds.append(first)
+        links.append(points.select(F.col(f"f{i}").alias("fp"), F.col("node").alias("a")).join(first.withColumnRenamed("node", "b"), "fp").filter("a <> b").select("a", "b"))
+        near = near_links(first.select("fp", F.col("fp").alias("node")), min(1, distance))
         for end in ("a", "b"):  # the nodes are long: only those of links are looked up
             near = near.join(first.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
-        links += [same, near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))]
-    return reduce(DataFrame.unionByName, links)
+        links.append(near.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    found = cut(connected_components(reduce(DataFrame.unionByName, links)))
+    close = cut(points.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
+    if distance <= 1:
+        return close
+    own = close.select("node", F.xxhash64("component").alias("class"))
+    wide = [near_links(first.join(own, "node").select("fp", F.col("class").alias("node"), "class"), distance) for first in kinds]
+    joined = connected_components(reduce(DataFrame.unionByName, wide).distinct()).withColumnsRenamed({"node": "class", "component": "joined"})
+    return own.join(joined, "class", "left").select("node", F.coalesce("joined", "class").alias("component"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fingerprints: int = 3, distance: int = 3) -> DataFrame:
@@ -195,9 +209,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = cut(rows.mapInArrow(partial(_word_fingerprints, n=fingerprints), f"id {kind_of(rows, 'id')}, mark binary, size int, " + ", ".join(f"{c} long" for c in names)))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), (-F.col("size")).alias("minus"), "mark")).alias("best")
     points = cut(rows.groupBy(*names).agg(best).withColumn("node", F.unhex(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in names)))))
-    found = connected_components(_word_links(points.select("node", *names), fingerprints, distance))
-    members = points.select("node", "best").join(found, "node", "left")
-    kept = members.groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best")).select("best.id", "best.mark")
+    found = _word_components(points.select("node", *names), fingerprints, distance)
+    members = points.select("node", "best").join(found, "node")
+    kept = members.groupBy("component").agg(F.min("best").alias("best")).select("best.id", "best.mark")
     marked = docs.select(whole(docs, "row"), column(id_col).alias("id"), mark.alias("mark"))
     same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.mark") == F.col("k.mark"))
     return one_of_each(marked.alias("d").join(kept.alias("k"), same, "left_semi"), ["id", "mark"], docs.columns)
